@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.llm import window_dedup
+from siltstone.llm import suffix_dedup, window_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op4_substring_dedup": window_dedup.query,
 }
 ORACLES: dict[str, str] = {}
