@@ -22,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import NO_ID, Block, bucket_count, by_bucket, dealt, mixed, pack, pack_blocks, settle, table, unpack, with_parts
+from siltstone.llm.common import NO_ID, Block, bucket_count, by_bucket, dealt, pack, pack_blocks, settle, table, unpack, with_parts
 
 WIDTH = 100
 GRAM = 32
 BLOCK_BYTES = 4 << 20
 HOT = 4096
-SLICE = 1 << 20
+SLICE = 1 << 16
 #: Bits of a hash that hold a position in a slice instead while the least is sought.
-LOW = np.uint64((1 << 21) - 1)
+LOW = np.uint64((1 << 17) - 1)
 
 
 def words_at(raw: np.ndarray) -> np.ndarray:
@@ -38,6 +38,22 @@ def words_at(raw: np.ndarray) -> np.ndarray:
     return np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,)).copy()
 
 
+def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the `gram` bytes from each position on; raw has seven spare bytes at its end."""
+    loads = words_at(raw)
+    loads *= np.uint64(0x9E3779B97F4A7C15)
+    loads ^= loads >> np.uint64(32)
+    count = len(loads) - gram + 1
+    h = np.zeros(count, np.uint64)
+    for k in range(0, gram, 8):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += loads[k : k + count]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` values in a row, by doubling."""
     out, span = values, 1
@@ -64,13 +80,8 @@ def anchor_runs(block: Block, width: int, gram: int) -> Runs:
         valid[max(block.bounds[k], block.bounds[k + 1] - width + 1) : block.bounds[k + 1]] = False
     for at in range(0, n - width + 1, SLICE):
         to = min(n, at + SLICE + width - 1)
-        loads = words_at(raw[at : to + 8])
-        loads = mixed(loads)
-        count = to - at - gram + 1
-        h = np.zeros(count, np.uint64)
-        for j, k in enumerate(range(0, gram, 8)):
-            h += loads[k : k + count] * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E0 * 2 * j)
-        h = mixed(h)
+        h = gram_hashes(raw[at : to + 7], gram)
+        count = len(h)
         least = sliding_min((h & ~LOW) | np.arange(count, dtype=np.uint64), span) & LOW
         start = np.flatnonzero(valid[at : at + len(least)])
         if not len(start):
@@ -105,21 +116,38 @@ def ragged(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.append(0, ends[:-1]), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def window_classes(raw: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """A number for each start, equal for equal strings of `width` bytes: bucket-pointer refinement.
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of equal keys by number, and which members share theirs with another."""
+    _, bucket, size = np.unique(keys, return_inverse=True, return_counts=True)
+    return bucket, size[bucket] > 1
+
+
+def refined(bucket: np.ndarray, at: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The positions `at`, sorted on (own bucket, bucket of the position `later` by as much): a number for each pair."""
+    out = np.zeros(len(bucket), np.int64)
+    out[at] = numbered((bucket[at].astype(np.uint64) << np.uint64(32)) | bucket[later].astype(np.uint64))[0]
+    return out
+
+
+def window_classes(raw: np.ndarray, starts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of starts that may share their string of `width` bytes, and a number for each, equal for equal strings.
 
-    The first buckets are those of eight-byte grams; each round sorts the suffixes on (bucket, bucket at the offset that the round
-    before has reached), and its new buckets serve as the pointers of the next. Positions near the end read spare zeros.
+    Bucket-pointer refinement: the first buckets hold equal q-grams; each round sorts on (bucket, bucket at the offset that the
+    round before has reached), and what a round has refined serves the next as its pointers. A start goes as soon as a q-gram
+    inside its window stands alone, and only positions that the starts left lead to are refined.
     """
-    bucket, reach = np.unique(words_at(np.append(raw, np.zeros(8, np.uint8)))[: len(raw)], return_inverse=True)[1], 8
-    while reach < width:
-        step = min(reach, width - reach)
-        at = starts if reach + step == width else np.arange(len(raw))
-        later = at + step
-        pointer = np.where(later < len(raw), bucket[np.minimum(later, len(raw) - 1)] + 1, 0)
-        bucket = np.unique((bucket[at].astype(np.uint64) << np.uint64(32)) | pointer.astype(np.uint64), return_inverse=True)[1]
-        reach += step
-    return bucket
+    bucket, shared = numbered(gram_hashes(np.append(raw, np.zeros(7, np.uint8)), gram))
+    for k in [*range(0, width - gram, gram), width - gram]:
+        starts = starts[shared[starts + k]]
+    reaches = [gram]
+    while reaches[-1] < width:
+        reaches.append(min(2 * reaches[-1], width))
+    needed = [starts]  # from the last round back to the first
+    for reach, before in zip(reaches[:0:-1], reaches[-2::-1], strict=True):
+        needed.append(np.unique(np.concatenate([needed[-1], needed[-1] + reach - before])))
+    for at, reach, before in zip(needed[-2::-1], reaches[1:], reaches, strict=False):
+        bucket = refined(bucket, at, at + reach - before)
+    return starts, bucket[starts]
 
 
 def shared_in_buckets(parts: list[tuple[int, bytes]], hot: int) -> Iterator[tuple[int, bytes]]:
@@ -140,7 +168,7 @@ def shared_in_buckets(parts: list[tuple[int, bytes]], hot: int) -> Iterator[tupl
         a, t = a + len(hashes), t + len(mine)
 
 
-def later_in_buckets(parts: list[tuple[int, bytes]], width: int) -> Iterator[tuple[int, bytes]]:
+def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """For each block the window starts whose string occurs earlier; what a block has found out itself passes through."""
     sent = [(b, *unpack(p, True)) for b, p in parts]
     gone: dict[int, list[np.ndarray]] = {b: [own] for b, own, *_ in sent}
@@ -149,10 +177,11 @@ def later_in_buckets(parts: list[tuple[int, bytes]], width: int) -> Iterator[tup
     raw = np.frombuffer(b"".join(x[2] for x in sent), np.uint8)
     if len(raw):
         length, doc, lo = (np.concatenate([x[k] for x in sent]) for k in (3, 4, 5))
-        begin, count = np.cumsum(length) - length, length - width + 1
-        starts, back = ragged(begin, count), np.repeat(np.arange(len(length)), count)
+        begin = np.cumsum(length) - length
+        starts, classes = window_classes(raw, ragged(begin, length - width + 1), width, gram)
+        back = np.searchsorted(begin, starts, "right") - 1
         order = [doc[back], owner(3)[back], lo[back] + starts - begin[back]]
-        rows, new = first_of([window_classes(raw, starts, width)], order)
+        rows, new = first_of([classes], order)
         late = rows[~new]
         for k in np.unique(order[1][late]):
             gone[sent[k][0]].append(order[2][late][order[1][late] == k])
@@ -278,7 +307,7 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     # both later passes read these answers; settled, they are worked out once
     shared = settle(by_bucket(blocks.mapInArrow(send_anchors, schema), buckets, lambda parts: shared_in_buckets(parts, hot)))
     contexts = with_parts(blocks, shared).select("block_id", "blob", "parts0").mapInArrow(send_contexts, schema)
-    late = by_bucket(contexts, buckets, lambda parts: later_in_buckets(parts, width))
+    late = by_bucket(contexts, buckets, lambda parts: later_in_buckets(parts, width, gram))
     out = "doc_id long, kept binary, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>"
     return with_parts(blocks, shared, late).select("blob", "parts0", "parts1").mapInArrow(cut, out)
 
