@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siltstone.llm import suffix_dedup, window_dedup
+from siltstone.llm import near_dedup, suffix_dedup, vector_dedup, window_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op4_substring_dedup": window_dedup.query,
+    "op5_minhash_dedup": near_dedup.query,
+    "op7_embedding_dedup": vector_dedup.query,
 }
 ORACLES: dict[str, str] = {}
