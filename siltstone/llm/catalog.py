@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from siltstone.llm import near_dedup, suffix_dedup, vector_dedup, window_dedup
+from siltstone.llm import chat_format, license_scan, near_dedup, quality, suffix_dedup, toxicity, vector_dedup, window_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op2_license_scan": license_scan.query,
+    "op3_quality_classifier": quality.query,
     "op4_substring_dedup": window_dedup.query,
     "op5_minhash_dedup": near_dedup.query,
+    "op6_toxicity": toxicity.query,
     "op7_embedding_dedup": vector_dedup.query,
+    "op8_chat_format": chat_format.query,
+}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
 }
-ORACLES: dict[str, str] = {}

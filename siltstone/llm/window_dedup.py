@@ -25,9 +25,9 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the block, and the bounds of each document's words."""
-    kept = ~SEPARATOR[block.raw]
+def word_hashes(block: Block, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the block, and the bounds of each document's words; words are runs of bytes that don't separate."""
+    kept = ~separator[block.raw]
     starts = kept.copy()
     starts[1:] &= ~kept[:-1]
     first = block.bounds[:-1][np.diff(block.bounds) > 0]
