@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, license_scan, near_dedup, quality, suffix_dedup, toxicity, vector_dedup, window_dedup
+from siltstone.llm import chat_format, decontaminate, license_scan, near_dedup, pieces, quality, suffix_dedup, toxicity, vector_dedup, window_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_embedding_dedup": vector_dedup.query,
     "op8_chat_format": chat_format.query,
+    "op9_decontamination": decontaminate.query,
+    "op10_sentencepiece": pieces.query,
 }
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),

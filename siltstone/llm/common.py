@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay small, so that a batch of the longest documents fits a Python worker.
-BATCH_ROWS, BATCH_BYTES = "1024", "8m"
+BATCH_ROWS, BATCH_BYTES = "4096", "8m"
 NO_ID = -(2**63)
 
 
@@ -78,17 +78,17 @@ def unpack(blob: bytes, squeezed: bool = False) -> object:
 
 def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, and the offsets of its rows in them."""
-    wide = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) else column.cast(pa.large_string())
+    wide = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
     data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 class Block:
-    """Some whole documents: ids (NO_ID for null), their bytes in a row, and the bounds of each in these."""
+    """Some whole documents: ids (NO_ID for null), their bytes in a row, the bounds of each in these, and columns carried along."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> None:
-        self.ids, self.raw, self.bounds = ids, raw, bounds
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, bounds: np.ndarray, carried: pa.Table | None = None) -> None:
+        self.ids, self.raw, self.bounds, self.carried = ids, raw, bounds, carried
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -97,16 +97,16 @@ class Block:
         return self.raw[self.bounds[k] : self.bounds[k + 1]].tobytes()
 
     def packed(self) -> bytes:
-        return pack((self.ids, self.raw.tobytes(), self.bounds), 3)
+        return pack((self.ids, self.raw.tobytes(), self.bounds, self.carried), 3)
 
     @staticmethod
     def unpacked(blob: bytes) -> Block:
-        ids, raw, bounds = unpack(blob, True)
-        return Block(ids, np.frombuffer(raw, np.uint8), bounds)
+        ids, raw, bounds, carried = unpack(blob, True)
+        return Block(ids, np.frombuffer(raw, np.uint8), bounds, carried)
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Settled (block_id long, blob binary): documents in runs of about block_bytes. Null texts become empty ones.
+def pack_blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Settled (block_id long, blob binary): documents in runs of about block_bytes, with the columns `carry`. Null texts become empty.
 
     Being written once, blocks keep their members and order for every later pass, whatever is computed again.
     """
@@ -116,17 +116,19 @@ def pack_blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_
         first, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def out() -> pa.RecordBatch:
-            ids, raws, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
-            blob = Block(ids, raws, np.concatenate([[0], np.cumsum(lengths)])).packed()
+            ids, raws, lengths = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+            carried = pa.Table.from_batches([h[3] for h in held]).combine_chunks() if carry else None
+            blob = Block(ids, raws, np.concatenate([[0], np.cumsum(lengths)]), carried).packed()
             return pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([blob], pa.binary())], ["block_id", "blob"])
 
         for batch in batches:
             raw, bounds = text_parts(batch.column(1).fill_null(""))
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            rest = pa.RecordBatch.from_arrays(batch.columns[2:], list(carry)) if carry else batch
             at = 0
             while at < len(ids):  # as many rows as the block still takes
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block_bytes - size, "right")) - 1)
-                held.append((ids[at:to], raw[bounds[at] : bounds[to]], np.diff(bounds[at : to + 1])))
+                held.append((ids[at:to], raw[bounds[at] : bounds[to]], np.diff(bounds[at : to + 1]), rest.slice(at, to - at)))
                 size, at = size + int(bounds[to] - bounds[at]), to
                 if size >= block_bytes or at < len(ids):
                     yield out()
@@ -134,7 +136,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_
         if held:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)))
     return settle(rows.mapInArrow(run, "block_id long, blob binary"))
 
 

@@ -22,7 +22,7 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -
     return w
 
 
-def fit_sparse(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, l2: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], weight: float, rounds: int = 400) -> np.ndarray:
+def fit_sparse(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, l2: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], weight: float, rounds: int = 1000) -> np.ndarray:
     """Weights of `width` binary features and, last, the intercept, by accelerated gradient descent.
 
     row, col: where features are present. swaps (pair, col, sign): differences between rows and their counterfactual twins; the loss

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siltstone.llm.common import Block, settle, small_batches, table, text_parts
 from siltstone.llm.logistic import fit_dense
@@ -22,6 +23,7 @@ from siltstone.llm.window_dedup import word_hashes
 
 #: Bound of the labelled sample.
 SAMPLE_ROWS = 12_000
+LOGIT = "_siltstone_logit"
 CUT = 0.5
 #: Bounds of the strength of a prior, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 5.0, 1000.0
@@ -115,6 +117,14 @@ def judged(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_i
     text and group, so repeated rows get equal results; other columns aren't read.
     """
     rows = evidence(docs, model, id_col, text_col, host_col, path_col)
+    groups, mean = posteriors(rows)
+    out = rows.join(groups, ["host", "path"]).withColumn("final", final(mean))
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    return out.select("doc_id", "same", p.alias("doc_score"), "host_mean", "path_mean", F.col("final").alias("score"), (F.col("final") >= cut).alias("kept"))
+
+
+def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(host, path, host_mean, path_mean) for each path, and the global mean, from the evidence of all documents."""
     p = 1 / (1 + F.exp(-F.col("logit")))
     paths = settle(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
@@ -127,13 +137,35 @@ def judged(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_i
     m_path = strength(mean, paths.agg(beyond("n", "s").alias("v")).first().v)
     host_mean = (m_host * F.lit(mean) + F.col("hs")) / (m_host + F.col("hn"))
     groups = paths.join(hosts, "host").select("host", "path", host_mean.alias("host_mean"), ((m_path * host_mean + F.col("s")) / (m_path + F.col("n"))).alias("path_mean"))
-    out = rows.join(groups, ["host", "path"])
+    return settle(groups), mean
+
+
+def final(mean: float) -> Column:
+    """A document's score from its logit and its path's mean."""
     odds = lambda c: F.log(c / (1 - c))
-    final = 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("path_mean")) - odds(F.lit(mean)))))
-    return out.select("doc_id", "same", p.alias("doc_score"), "host_mean", "path_mean", final.alias("score"), (final >= cut).alias("kept"))
+    return 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("path_mean")) - odds(F.lit(mean)))))
+
+
+def keep_good(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `cut`; the texts are scored where they lie and not dealt out.
+
+    The table of groups is broadcast only if Spark finds it below its limit for that, and dealt out by group otherwise.
+    """
+    groups, mean = posteriors(evidence(docs, model, id_col, text_col, host_col, path_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col)
+            logits = np.clip(model.logits(texts.cast(pa.string()).fill_null("")), -12, 12)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logits)], [*batch.schema.names, LOGIT])
+
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(LOGIT, DoubleType())]))
+    own = groups.select(F.col("host").alias("_siltstone_host"), F.col("path").alias("_siltstone_path"), "path_mean")
+    score = final(mean)
+    held = scored.select(F.struct(*docs.columns).alias("row"), F.col(LOGIT).alias("logit"), name(host_col).alias("_siltstone_host"), name(path_col).alias("_siltstone_path"))
+    return held.join(own, ["_siltstone_host", "_siltstone_path"]).where(score >= cut).select("row.*")
+
+
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS))
-    return judged(docs, model).drop("same")

@@ -22,8 +22,8 @@ from siltstone.llm.logistic import fit_sparse, sigmoid
 from siltstone.llm.window_dedup import word_hashes
 
 #: Bound of the labelled sample, of the model's words, and the fewest sample documents a word must be in.
-SAMPLE_ROWS, MODEL_WORDS, LEAST_DOCS = 12_000, 4096, 5
-L2, PENALTY = 0.5, 4.0
+SAMPLE_ROWS, MODEL_WORDS, LEAST_DOCS = 12_000, 512, 5
+L2, PENALTY = 0.05, 4.0
 CUT = 0.7
 #: Twins of one sentence go through its list of names from the sentence's own on.
 TWINS = 3

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from siltstone.llm.common import Block, bucket_count, by_bucket, dealt, pack_blocks, table, with_parts
 
@@ -71,14 +72,15 @@ def repeated_in_buckets(parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, b
                 yield block_id, np.packbits(hit).tobytes()
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
     """Remove every word that a window of `width` words covers whose word sequence also starts elsewhere in the corpus.
 
     Returns (doc_id, text, n_words, n_removed): text has the kept words, joined by one space. Words are runs of other bytes
     than white space. All copies of a window go, the first one too. Null and empty texts give an empty text and zeros; rows
-    that repeat a document count as further documents; a null id stays null; other columns are not read, so their names can't clash.
+    that repeat a document count as further documents; a null id stays null. With tidy=False, texts that lose nothing keep their white
+    space. The columns `carry` follow, as they are; others are not read, so their names can't clash.
     """
-    blocks = pack_blocks(docs, block_bytes, id_col, text_col)
+    blocks = pack_blocks(docs, block_bytes, id_col, text_col, carry)
     buckets = bucket_count(docs, 2 << 20)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +110,17 @@ def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, block_bytes: i
                 keep = np.cumsum(edges[:-1]) == 0
                 kept, removed = [], []
                 for k in range(len(block)):
-                    mask, words = keep[bounds[k] : bounds[k + 1]], block.text(k).split()
+                    mask, text = keep[bounds[k] : bounds[k + 1]], block.text(k)
                     removed.append(len(mask) - int(mask.sum()))
-                    kept.append(b" ".join(compress(words, mask) if removed[-1] else words))
+                    words = compress(text.split(), mask) if removed[-1] else text.split() if tidy else [text]
+                    kept.append(b" ".join(words))
                 ids = pa.array(block.ids, pa.int64(), mask=block.ids == -(2**63))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(bounds), pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(bounds), pa.int64()), pa.array(removed, pa.int64()), *(c.combine_chunks() for c in (block.carried.columns if carry else ()))], ["doc_id", "text", "n_words", "n_removed", *carry])
 
+    out = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), *(docs.schema[c] for c in carry)])
     sent = blocks.mapInArrow(send, "bucket int, block_id long, part binary")
     answered = by_bucket(sent, buckets, repeated_in_buckets)
-    return with_parts(blocks, answered).select("blob", "parts0").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
+    return with_parts(blocks, answered).select("blob", "parts0").mapInArrow(cut, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
