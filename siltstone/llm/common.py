@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay small, so that a batch of the longest documents fits a Python worker.
-BATCH_ROWS, BATCH_BYTES = "4096", "8m"
+BATCH_ROWS, BATCH_BYTES = "4096", "4m"
 NO_ID = -(2**63)
 
 
