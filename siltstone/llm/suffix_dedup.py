@@ -172,6 +172,13 @@ def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> I
     """For each block the window starts whose string occurs earlier; what a block has found out itself passes through."""
     sent = [(b, *unpack(p, True)) for b, p in parts]
     gone: dict[int, list[np.ndarray]] = {b: [own] for b, own, *_ in sent}
+
+    def share_out(owners: np.ndarray, starts: np.ndarray) -> None:
+        order = np.argsort(owners, kind="stable")
+        cuts = np.searchsorted(owners[order], np.arange(len(sent) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            gone[sent[k][0]].append(starts[order[cuts[k] : cuts[k + 1]]])
+
     owner = lambda which: np.repeat(np.arange(len(sent)), [len(x[which]) for x in sent])
     # contexts: bytes, lengths, then document and first start of each
     raw = np.frombuffer(b"".join(x[2] for x in sent), np.uint8)
@@ -183,15 +190,13 @@ def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> I
         order = [doc[back], owner(3)[back], lo[back] + starts - begin[back]]
         rows, new = first_of([classes], order)
         late = rows[~new]
-        for k in np.unique(order[1][late]):
-            gone[sent[k][0]].append(order[2][late][order[1][late] == k])
+        share_out(order[1][late], order[2][late])
     hashes = np.concatenate([x[6] for x in sent])
     if len(hashes):
         doc, at, who = np.concatenate([x[7] for x in sent]), np.concatenate([x[8] for x in sent]), owner(6)
         rows, new = first_of([hashes[:, 0], hashes[:, 1]], [doc, who, at])
         late = rows[~new]
-        for k in np.unique(who[late]):
-            gone[sent[k][0]].append(at[late][who[late] == k])
+        share_out(who[late], at[late])
     for block_id, found in gone.items():
         if len(every := np.concatenate(found)):
             yield block_id, pack(np.sort(every).astype(np.int32), 1)
