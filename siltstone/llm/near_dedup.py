@@ -2,8 +2,8 @@
 
 Copies with one shingle set are merged first. Each different set gives ROWS * BANDS minima; sets that agree in all rows of a band
 meet. Within a band's bucket members are first compared with the bucket's least member; the links that this finds are turned into
-components, and only then are members of one bucket compared that still lie in different components, so a large group of copies
-costs a star and no square. A candidate pair's signatures are compared batch by batch, and it is dropped as soon as the posterior
+components. Members of one bucket that still lie apart are compared in place: first each one's likeliest partners are confirmed, then,
+with the components that this has joined, all that still lie apart; pairs that are ruled out never become rows. A candidate pair's signatures are compared batch by batch, and it is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls below MISS; survivors are compared on their full sets.
 """
 
@@ -25,6 +25,10 @@ from siltstone.llm.window_dedup import word_hashes
 
 BANDS, ROWS = 40, 6
 BATCH = 24
+#: Members of a bucket that are compared in one piece.
+CROWD = 2048
+#: Likeliest partners of each member that are confirmed before all others.
+BEST = 2
 MISS = 1e-6
 #: Bits of the filter that keeps texts without a candidate from being dealt out; a constant, so the broadcast doesn't grow.
 FILTER_BITS = 1 << 23
@@ -108,6 +112,15 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return settle(rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary"))
 
 
+def plausible(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two tables of signatures whose comparison, batch by batch, doesn't rule the pair out."""
+    left, matches, before = np.arange(len(a)), np.zeros(len(a), int), 0
+    for n, least in steps:
+        matches[left] += (a[left, before:n] == b[left, before:n]).sum(axis=1)
+        left, before = left[matches[left] >= least], n
+    return left
+
+
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) that sequential verification of their signatures doesn't rule out."""
     steps = least_matches(threshold, miss)
@@ -115,16 +128,56 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sa", "sb"))
-            left, matches, before = np.arange(len(batch)), np.zeros(len(batch), int), 0
-            for n, least in steps:
-                matches[left] += (a[left, before:n] == b[left, before:n]).sum(axis=1)
-                left, before = left[matches[left] >= least], n
-            yield batch.select(["a", "b"]).take(pa.array(left))
+            yield batch.select(["a", "b"]).take(pa.array(plausible(a, b, steps)))
 
     of = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def likely_within(members: DataFrame, sigs: DataFrame, threshold: float, miss: float, best: int | None = None) -> DataFrame:
+    """Likely pairs (a, b) of members (key, doc_id, part) with one key and different parts, compared where their bucket lies.
+
+    Only what the comparison leaves becomes a row; with `best`, only those that are among a member's so many with the most equal
+    minima, which is no decision about the others. A bucket of more than CROWD members is split into blocks that meet pair by pair.
+    """
+    steps = least_matches(threshold, miss)
+    slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // CROWD)
+    crowded = settle(members.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(2 * F.col("count") / CROWD).cast("int").alias("blocks")))
+    rows = members.join(sigs, "doc_id").join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumns({"mine": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    rows = rows.select("key", "doc_id", "part", "sig", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        key, doc, part, mine = (group.column(c).to_numpy() for c in ("key", "doc_id", "part", "mine"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
+        across = group.column("x")[0].as_py() != group.column("y")[0].as_py()
+        order, p, q = np.argsort(key, kind="stable"), [], []
+        for gap in range(1, len(order)):
+            x, y = order[:-gap], order[gap:]
+            same = key[x] == key[y]
+            if not same.any():
+                break
+            same &= part[x] != part[y]
+            if across:
+                same &= mine[x] != mine[y]
+            x, y = x[same], y[same]
+            left = plausible(sig[x], sig[y], steps)
+            p.append(x[left])
+            q.append(y[left])
+        p, q = (np.concatenate([*v, []]).astype(np.int64) for v in (p, q))
+        if best is not None and len(p):
+            equal = np.concatenate([(sig[p[k : k + 4096]] == sig[q[k : k + 4096]]).sum(axis=1) for k in range(0, len(p), 4096)])
+            ends, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+            by = np.lexsort([pair, -equal[pair], ends])
+            first = np.searchsorted(ends[by], ends[by])
+            chosen = np.unique(pair[by[np.arange(len(by)) - first < best]])
+            p, q = p[chosen], q[chosen]
+        both = np.unique(np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q])], axis=1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    return rows.groupBy("slot", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+
+
 def id_filter(ids: DataFrame) -> bytes:
     """A bitmap of FILTER_BITS bits with one bit for each id; partitions' bitmaps merge in at most 64 groups before the driver sees them."""
 
@@ -191,21 +244,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     sigs = settle(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]))
     shared = settle(members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        candidates = settle(likely(pairs.where("a < b").distinct(), sigs, threshold, miss))
-        return confirmed(candidates, docs, width, threshold, id_col, text_col)
+    def links(candidates: DataFrame) -> DataFrame:
+        return confirmed(settle(candidates), docs, width, threshold, id_col, text_col)
+
+    def star(pairs: DataFrame) -> DataFrame:
+        return links(likely(pairs.where("a < b").distinct(), sigs, threshold, miss))
 
     met = settle(members.join(shared, "key").select("key", "doc_id", "least"))
-    found = links(met.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    found = star(met.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
     parts = settle(components(found))
     # members of one bucket that still lie apart; pairs with the least member have been compared
-    labelled = met.where("doc_id <> least").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    apart = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    rest = settle(labelled.join(apart, "key"))
-    if not rest.isEmpty():
-        x, y = (rest.select("key", F.col("doc_id").alias(c), F.col("part").alias(f"p{c}")) for c in "ab")
-        found = found.union(links(x.join(y, "key").where("a < b and pa <> pb").select("a", "b")))
-        parts = settle(components(found))
+    others = met.where("doc_id <> least").select("key", "doc_id")
+
+    def apart(parts: DataFrame) -> DataFrame:
+        labelled = others.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        keys = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        return settle(labelled.join(keys, "key"))
+
+    rest = apart(parts)
+    for best in (BEST, None):  # first what most likely joins components, which leaves few apart; then all that is left
+        if not rest.isEmpty():
+            found = found.union(links(likely_within(rest, sigs, threshold, miss, best)))
+            parts = settle(components(found))
+            rest = apart(parts) if best else rest
     whole = rows.select("doc_id", "n_shingles", "set_id").join(sets, "set_id", "left")
     whole = whole.join(parts.withColumnRenamed("node", "first"), "first", "left")
     whole = whole.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
