@@ -2,8 +2,8 @@
 
 Copies with one shingle set are merged first. Each different set gives ROWS * BANDS minima; sets that agree in all rows of a band
 meet. Within a band's bucket members are first compared with the bucket's least member; the links that this finds are turned into
-components. Members of one bucket that still lie apart are compared in place: first each one's likeliest partners are confirmed, then,
-with the components that this has joined, all that still lie apart; pairs that are ruled out never become rows. A candidate pair's signatures are compared batch by batch, and it is dropped as soon as the posterior
+components. Members of one bucket that still lie apart are compared and confirmed in place: first each one's likeliest partners, then,
+with the components that this has joined, all that still lie apart; only links that join parts become rows. A candidate pair's signatures are compared batch by batch, and it is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls below MISS; survivors are compared on their full sets.
 """
 
@@ -27,6 +27,8 @@ BANDS, ROWS = 40, 6
 BATCH = 24
 #: Members of a bucket that are compared in one piece.
 CROWD = 2048
+#: Bytes of their texts.
+CROWD_BYTES = 1 << 24
 #: Likeliest partners of each member that are confirmed before all others.
 BEST = 2
 MISS = 1e-6
@@ -134,18 +136,23 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def likely_within(members: DataFrame, sigs: DataFrame, threshold: float, miss: float, best: int | None = None) -> DataFrame:
-    """Likely pairs (a, b) of members (key, doc_id, part) with one key and different parts, compared where their bucket lies.
+def links_within(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, best: int | None = None) -> DataFrame:
+    """Links (a, b) between members (key, doc_id, part) with one key and different parts, found and confirmed where their bucket lies.
 
-    Only what the comparison leaves becomes a row; with `best`, only those that are among a member's so many with the most equal
-    minima, which is no decision about the others. A bucket of more than CROWD members is split into blocks that meet pair by pair.
+    Pairs that their signatures don't rule out are taken with the most equal minima first and confirmed on the full sets, unless links
+    before them have joined their parts; only these links become rows, for a bucket fewer than it has members. With `best`, only
+    those among a member's so many likeliest pairs are looked at, which is no decision about the others. A bucket of more than CROWD
+    members or CROWD_BYTES of text is split into blocks that meet pair by pair.
     """
-    steps = least_matches(threshold, miss)
-    slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // CROWD)
-    crowded = settle(members.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.ceil(2 * F.col("count") / CROWD).cast("int").alias("blocks")))
-    rows = members.join(sigs, "doc_id").join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    steps, per_cent = least_matches(threshold, miss), round(threshold * 100)
+    sizes = settle(members.join(texts.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    total = sizes.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total.n or 0) // CROWD, (total.size or 0) // CROWD_BYTES)
+    crowded = sizes.where((F.col("n") > CROWD) | (F.col("size") > CROWD_BYTES))
+    crowded = settle(crowded.select("key", F.greatest(F.ceil(2 * F.col("n") / CROWD), F.ceil(2 * F.col("size") / CROWD_BYTES)).cast("int").alias("blocks")))
+    rows = members.join(sigs, "doc_id").join(texts, "doc_id").join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumns({"mine": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    rows = rows.select("key", "doc_id", "part", "sig", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+    rows = rows.select("key", "doc_id", "part", "sig", "text", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
 
     def meet(group: pa.Table) -> pa.Table:
         key, doc, part, mine = (group.column(c).to_numpy() for c in ("key", "doc_id", "part", "mine"))
@@ -165,17 +172,43 @@ def likely_within(members: DataFrame, sigs: DataFrame, threshold: float, miss: f
             p.append(x[left])
             q.append(y[left])
         p, q = (np.concatenate([*v, []]).astype(np.int64) for v in (p, q))
+        equal = np.concatenate([*((sig[p[k : k + 4096]] == sig[q[k : k + 4096]]).sum(axis=1) for k in range(0, len(p), 4096)), []])
         if best is not None and len(p):
-            equal = np.concatenate([(sig[p[k : k + 4096]] == sig[q[k : k + 4096]]).sum(axis=1) for k in range(0, len(p), 4096)])
             ends, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
             by = np.lexsort([pair, -equal[pair], ends])
             first = np.searchsorted(ends[by], ends[by])
             chosen = np.unique(pair[by[np.arange(len(by)) - first < best]])
-            p, q = p[chosen], q[chosen]
-        both = np.unique(np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q])], axis=1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-    return rows.groupBy("slot", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+            p, q, equal = p[chosen], q[chosen], equal[chosen]
+        return joining(group, p, q, equal, doc, part)
+
+    def joining(group: pa.Table, p: np.ndarray, q: np.ndarray, equal: np.ndarray, doc: np.ndarray, part: np.ndarray) -> pa.Table:
+        """The links among the pairs of rows p, q that join parts, the likeliest pairs first."""
+        at, node = np.unique(doc, return_index=True, return_inverse=True)[1:]
+        needed = np.unique(node[np.concatenate([p, q])])
+        sets = dict(zip(needed.tolist(), shingle_sets(group.column("text").take(pa.array(at[needed])).combine_chunks(), width), strict=True)) if len(needed) else {}
+        above: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while v in above:
+                if (up := above[v]) in above:
+                    above[v] = above[up]
+                v = up
+            return v
+
+        found = []
+        by = np.argsort(-equal, kind="stable")
+        for x, y, px, py, a, b in zip(*(v[by].tolist() for v in (node[p], node[q], part[p], part[q], doc[p], doc[q])), strict=True):
+            rx, ry = root(px), root(py)
+            few, many = sorted((sets[x], sets[y]), key=len)
+            if rx == ry or 100 * len(few) < per_cent * len(many):
+                continue
+            both = np.count_nonzero(many.take(many.searchsorted(few), mode="clip") == few)
+            if 100 * both >= per_cent * (len(few) + len(many) - both):
+                above[rx] = ry
+                found.append((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return settle(rows.groupBy("slot", "x", "y").applyInArrow(meet, "a long, b long").distinct())
 
 
 def id_filter(ids: DataFrame) -> bytes:
@@ -200,10 +233,8 @@ def id_filter(ids: DataFrame) -> bytes:
     return seen.tobytes()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets are as similar as the threshold asks."""
-    per_cent = round(threshold * 100)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Settled (doc_id, text) of the documents with these ids."""
     bits = id_filter(ids)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +244,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, i
             yield batch.filter(pa.array(seen[bucket_of(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS)]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(kept, "doc_id long, text string")
-    texts = settle(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return settle(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose full sets are as similar as the threshold asks."""
+    per_cent = round(threshold * 100)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +301,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     rest = apart(parts)
     for best in (BEST, None):  # first what most likely joins components, which leaves few apart; then all that is left
         if not rest.isEmpty():
-            found = found.union(links(likely_within(rest, sigs, threshold, miss, best)))
+            texts = texts_of(rest.select("doc_id").distinct(), docs, id_col, text_col)
+            found = found.union(links_within(rest, sigs, texts, width, threshold, miss, best))
             parts = settle(components(found))
             rest = apart(parts) if best else rest
     whole = rows.select("doc_id", "n_shingles", "set_id").join(sets, "set_id", "left")
