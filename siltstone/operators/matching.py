@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import cosine, url_key
+from siltstone.functions.columns import url_key
+from siltstone.llm.common import pack, settle, small_batches, unpack
+
+#: Rows of a block of vectors, and of the strip of it that is compared at a time.
+BLOCK_ROWS, STRIP_ROWS = 2048, 256
 
 
 def identifiers(text: Column) -> Column:
@@ -39,11 +50,69 @@ def exact_groups(rows: DataFrame, text: str, row_id: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.col(text), 256).alias("digest")).agg(F.count("*").alias("members"), F.min(row_id).alias("first_id")).where("members > 1")
 
 
-def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, block: Column | None = None) -> DataFrame:
-    """Pairs of rows of a block whose cosine reaches the threshold; without blocks, all rows are compared with each other."""
-    x = rows.select(F.col(row_id).alias("a"), F.col(vector).alias("va"), (F.lit(0) if block is None else block).alias("block"))
-    y = x.select(F.col("a").alias("b"), F.col("va").alias("vb"), "block")
-    return x.join(y, "block").where("a < b").withColumn("cos", cosine(F.col("va"), F.col("vb"))).where(F.col("cos") >= threshold).select("a", "b", "cos")
+def vector_blocks(rows: DataFrame, row_id: str, vector: str) -> tuple[DataFrame, int]:
+    """Settled (block int, ids array, blob binary), about BLOCK_ROWS rows each, and the number of blocks; rows without id or vector are left out."""
+    small_batches(rows.sparkSession)
+    kept = rows.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    n = max(1, math.ceil(kept.count() / BLOCK_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if any(b.num_rows for b in held):
+            held = pa.Table.from_batches(held)
+            ids, v = held.column("id").combine_chunks(), held.column("v").combine_chunks()
+            flat = v.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            lengths = np.asarray(pc.list_value_length(v), np.int64)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), listed, pa.array([pack((flat, lengths), 1)])], ["block", "ids", "blob"])
+
+    kind = kept.schema["id"].dataType.simpleString()
+    return settle(kept.repartition(n).mapInArrow(run, f"block int, ids array<{kind}>, blob binary")), n
+
+
+def close_cells(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) where rows of x and y reach the threshold; so near to it that rounding matters, sums run in order of the components."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cos = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)))
+        r, c = np.nonzero(cos >= threshold - 1e-9)
+        found = cos[r, c]
+        near = np.flatnonzero(found < threshold + 1e-9)
+        in_order = lambda p, q: (p * q).cumsum(1)[:, -1]
+        p, q = x[r[near]], y[c[near]]
+        found[near] = in_order(p, q) / (np.sqrt(in_order(p, p)) * np.sqrt(in_order(q, q)))
+    sure = found >= threshold
+    return r[sure], c[sure], found[sure]
+
+
+def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -> DataFrame:
+    """Pairs a < b of rows whose cosine reaches the threshold, all rows against all rows: each pair of blocks is one product of matrices.
+
+    A vector without length, or of another length than its partner's, has no cosine. Only pairs that reach the threshold become rows.
+    """
+    blocks, n = vector_blocks(rows, row_id, vector)
+    number = lambda first, last: F.explode(F.sequence(first, last))
+    left = blocks.select(F.col("block").alias("i"), number(F.col("block"), F.lit(n - 1)).alias("j"), F.col("ids").alias("ids_i"), F.col("blob").alias("blob_i"))
+    right = blocks.select(number(F.lit(0), F.col("block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("blob").alias("blob_j"))
+    met = left.join(right, ["i", "j"]).select("i", "j", "ids_i", "ids_j", "blob_i", "blob_j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
+                ids = [batch.column(c)[k].values for c in ("ids_i", "ids_j")]
+                (flat_x, long_x), (flat_y, long_y) = (unpack(batch.column(c)[k].as_py(), True) for c in ("blob_i", "blob_j"))
+                for length in np.intersect1d(long_x, long_y):
+                    (at_x, x), (at_y, y) = ((np.flatnonzero(lo == length), f[np.repeat(lo == length, lo)].reshape(-1, length)) for f, lo in ((flat_x, long_x), (flat_y, long_y)))
+                    for first in range(0, len(x), STRIP_ROWS):
+                        start = first if i == j else 0
+                        r, c, cos = close_cells(x[first : first + STRIP_ROWS], y[start:], threshold)
+                        keep = c > r if i == j else slice(None)
+                        p, q = at_x[r[keep] + first], at_y[c[keep] + start]
+                        yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(p)), ids[1].take(pa.array(q)), pa.array(cos[keep])], ["p", "q", "cos"])
+
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    found = met.mapInArrow(run, f"p {kind}, q {kind}, cos double").where("p <> q")
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cos")
 
 
 def group_ids(members: DataFrame) -> DataFrame:

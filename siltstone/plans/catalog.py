@@ -356,7 +356,7 @@ EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
 
 @register("dedup_similarity_edges", EDGES)
 def _(spark, sf):
-    return matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3, F.col("label")).select("a", "b")
+    return matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3).select("a", "b")
 
 
 @register("eval_prf", "SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold <> 1 AND pred = 1) AS fp, count(*) FILTER (gold = 1 AND pred <> 1) AS fn FROM eval_pair)")

@@ -1,10 +1,13 @@
 """Corner cases of the relational operators."""
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.operators import evaluation, gold, models, news
+from siltstone.operators import evaluation, gold, matching, models, news
 from siltstone.operators.graph import component_labels
+from siltstone.plans import catalog
 
 FACT = "geo string, year long, feature string, value double, unit string, source_system string, source_dataset string, source_column string"
 
@@ -42,6 +45,29 @@ def test_components_and_groups(spark):
     assert set(found.values()) == {1, 100} and len(found) == 42
 
 
+def brute_links(path, threshold):
+    rows = sorted(pq.read_table(path).to_pylist(), key=lambda r: r["vec_id"])
+    v = np.array([r["embedding"] for r in rows], float)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    return {(rows[x]["vec_id"], rows[y]["vec_id"]) for x, y in zip(*np.nonzero(np.triu(v @ v.T >= threshold, 1)), strict=True)}
+
+
+def test_links_cross_labels(spark, sf_dir):
+    found = [tuple(r) for r in catalog.QUERIES["dedup_similarity_edges"](spark, sf_dir).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
+
+
+def test_blocks_of_vectors_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(matching, "STRIP_ROWS", 3)
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    rows = [(f"k{k:02}", x.tolist()) for k, x in enumerate(v)] + [("none", None), ("zero", [0.0] * 4), ("short", [1.0]), (None, [1.0] * 4), ("hole", [1.0, None, 1.0, 1.0]), ("k00", v[0].tolist())]
+    found = [(r.a, r.b) for r in matching.similar_pairs(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 0.5).collect()]
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    once = [(f"k{x:02}", f"k{y:02}") for x, y in zip(*np.nonzero(np.triu(u @ u.T >= 0.5, 1)), strict=True)]
+    assert sorted(found) == sorted(once + [p for p in once if p[0] == "k00"])
+
+
 def test_metrics(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "gold int, pred int")
     row = evaluation.binary(pairs).first()
