@@ -432,5 +432,5 @@ def _(spark, sf):
 def _(spark, sf):
     from siltstone.operators.graph import component_labels
 
-    edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3, F.col("label"))
+    edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
     return matching.group_ids(component_labels(edges.select("a", "b")))

@@ -1,5 +1,7 @@
 """Corner cases of the relational operators."""
 
+import hashlib
+
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -57,6 +59,26 @@ def test_links_cross_labels(spark, sf_dir):
     assert len(found) == len(set(found)) and set(found) == brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
 
 
+def test_groups_cross_labels(spark, sf_dir):
+    links = brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    members = {}
+    for x in sorted(parent, key=str):
+        members.setdefault(find(x), []).append(str(x))
+    ids = {k: "dedup_" + hashlib.sha256("|".join(m).encode()).hexdigest()[:16] for k, m in members.items()}
+    found = catalog.QUERIES["dedup_components"](spark, sf_dir).collect()
+    assert sorted((r.node, r.component, r.group_id, r.is_duplicate) for r in found) == sorted((x, find(x), ids[find(x)], find(x) != x) for x in parent)
+
+
 def test_blocks_of_vectors_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK_ROWS", 7)
     monkeypatch.setattr(matching, "STRIP_ROWS", 3)
