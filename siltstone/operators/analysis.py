@@ -41,6 +41,11 @@ def correlations(gold: DataFrame, targets: list[str], features: list[str], by_ge
     return out.where((F.col("n") >= least) & F.col("pearson_r").isNotNull()).withColumn("fisher_z", fisher_z(F.col("pearson_r"), F.col("n")))
 
 
+def significant(found: DataFrame) -> DataFrame:
+    """Correlations whose two-sided p, erfc(|z| / sqrt 2), is below 0.05: the same as |z| above the normal quantile of 0.975; none without z."""
+    return found.where(F.abs("fisher_z") > 1.959963984540054)
+
+
 def strongest(found: DataFrame, k: int = 15) -> DataFrame:
     """The k largest correlations of each target."""
     w = Window.partitionBy("target").orderBy(F.abs("pearson_r").desc(), *(c for c in ("feature", "geo") if c in found.columns))

@@ -254,7 +254,7 @@ def _(spark, sf):
 
 @register("corr_topk", f"SELECT target, feature, geo, n, row_number() OVER (PARTITION BY target ORDER BY abs(pearson_r) DESC, feature, geo) AS rank FROM ({corr_oracle(GOLD, FEATURES, 'geo')}) QUALIFY rank <= 15")
 def _(spark, sf):
-    found = corr_shape(analysis.correlations(stats(spark, sf), FEATURES[:1], FEATURES, by_geo=True))
+    found = corr_shape(analysis.significant(analysis.correlations(stats(spark, sf), FEATURES[:1], FEATURES, by_geo=True)))
     return analysis.strongest(found).select("target", "feature", "geo", "n", F.col("rank").cast("long").alias("rank"))
 
 

@@ -1,13 +1,14 @@
 """Corner cases of the relational operators."""
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.operators import evaluation, gold, matching, models, news
+from siltstone.operators import analysis, evaluation, gold, matching, models, news
 from siltstone.operators.graph import component_labels
 from siltstone.plans import catalog
 
@@ -90,6 +91,18 @@ def test_blocks_of_vectors_meet_each_other(spark, monkeypatch):
     assert sorted(found) == sorted(once + [p for p in once if p[0] == "k00"])
 
 
+def test_only_significant_pairs_are_ranked(spark, sf_dir):
+    z = [math.atanh(r) * math.sqrt(n - 3) for r, n in ((0.9, 4), (0.5, 40), (0.3, 44))] + [None]
+    rows = [("t", "f", g, r, x) for g, r, x in zip("abcd", (0.9, 0.5, 0.3, 1.0), z, strict=True)]
+    found = analysis.strongest(analysis.significant(spark.createDataFrame(rows, "target string, feature string, geo string, pearson_r double, fisher_z double")))
+    p = {g: x is not None and math.erfc(abs(x) / math.sqrt(2)) < 0.05 for g, x in zip("abcd", z, strict=True)}
+    assert [(r.geo, r["rank"]) for r in found.orderBy("rank").collect()] == [("b", 1), ("c", 2)] and [g for g in p if p[g]] == ["b", "c"]
+    every = {(r.target, r.feature, r.geo): r.fisher_z for r in catalog.QUERIES["corr_by_geo"](spark, sf_dir).collect()}
+    top = [(r.target, r.feature, r.geo) for r in catalog.QUERIES["corr_topk"](spark, sf_dir).collect()]
+    likely = {k for k, x in every.items() if x is not None and math.erfc(abs(x) / math.sqrt(2)) < 0.05}
+    assert len(top) == min(15, len(likely)) and set(top) <= likely
+
+
 def test_metrics(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "gold int, pred int")
     row = evaluation.binary(pairs).first()
