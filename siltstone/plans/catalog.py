@@ -419,7 +419,7 @@ def _(spark, sf):
 
 @register("eval_bootstrap_ci")
 def _(spark, sf):
-    return evaluation.bootstrap(view(spark, sf, "eval_pair").withColumn("v", (F.col("gold") == F.col("pred")).cast("double")), "v", resamples=200)
+    return evaluation.bootstrap(view(spark, sf, "eval_pair").withColumn("v", (F.col("gold") == F.col("pred")).cast("double")), "v")
 
 
 @register("volume_rollup", "SELECT coalesce(source, 'TOTAL') AS source, count(*) AS artifacts, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)")

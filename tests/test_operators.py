@@ -11,6 +11,7 @@ from siltstone.functions import columns as C
 from siltstone.operators import analysis, evaluation, gold, matching, models, news
 from siltstone.operators.graph import component_labels
 from siltstone.plans import catalog
+from siltstone.plans.views import view
 
 FACT = "geo string, year long, feature string, value double, unit string, source_system string, source_dataset string, source_column string"
 
@@ -112,6 +113,13 @@ def test_metrics(spark):
     assert 0.35 < ci.ci_lo < 0.5 < ci.ci_hi < 0.65
 
 
+def test_registered_bootstrap_takes_all_resamples(spark, sf_dir):
+    scores = view(spark, sf_dir, "eval_pair").withColumn("v", (F.col("gold") == F.col("pred")).cast("double"))
+    row = catalog.QUERIES["eval_bootstrap_ci"](spark, sf_dir).first()
+    want, few = (evaluation.bootstrap(scores, "v", n).first() for n in (2000, 200))
+    assert row == want and row != few
+
+
 def test_model_failures_are_rows(spark):
     def model(text):
         if "bad" in text:
