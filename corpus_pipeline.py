@@ -33,7 +33,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), least_words=1).select("doc_id").distinct()
     return docs.join(settle(leaks), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -11,17 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, table
+from siltstone.llm.common import small_batches, table, text_parts
 from siltstone.llm.toxicity import present
 from siltstone.llm.window_dedup import BASE
 
 #: Edits an item may have, as a share of its words.
 ERROR_RATE = 0.15
-#: Items of fewer words are too common to tell anything and are not searched.
+#: Items of fewer words are too common to tell anything and are not searched, unless a caller asks for them; they stand without edits.
 LEAST_WORDS = 6
+#: Characters of scripts without spaces between words: each is a word.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 #: Bytes of item text that one pass takes to its tasks.
 CHUNK_BYTES = 8 << 20
 FILTER = 1 << 20
@@ -114,6 +117,12 @@ def places(pieces: Pieces, words: np.ndarray) -> list[tuple[int, int, int, int]]
     return found
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the bounds of each text's; characters of unspaced scripts, of three bytes or more, are words."""
+    raw, _ = text_parts(texts)
+    return present(pc.replace_substring_regex(texts, UNSPACED, r" \1 ") if (raw >= 0xE0).any() else texts)
+
+
 def chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Iterator[DataFrame]:
     """The benchmark's items in as many parts by hash as keep one under about half of chunk_bytes."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
@@ -127,7 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     """Places where documents have benchmark items with at most rate * words edits (words put in, left out or changed).
 
     Returns (doc_id, item_id, first_word, end_word, distance), one row for each place found. Words are runs of letters, digits and
-    bytes beyond ASCII, A-Z in lower case. Null and empty texts and items of fewer than `least_words` words have no places; rows that
+    bytes beyond ASCII, A-Z in lower case; in scripts without spaces, such as Chinese, Japanese and Thai, characters. Null and empty texts and items of fewer than `least_words` words have no places; rows that
     repeat a document have its places each, repeated items count once; an item whose text changes under one id counts with each
     text; a null doc_id stays null. Other columns aren't read.
     """
@@ -136,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     out = None
     for chunk in chunks(benchmark, item_id_col, item_text_col, chunk_bytes):
         got = chunk.orderBy("item_id", "text").toArrow()  # bounded by chunk_bytes
-        hashes, bounds = present(pa.concat_arrays(got.column("text").chunks) if got.num_rows else pa.array([], pa.string()))
+        hashes, bounds = words_of(pa.concat_arrays(got.column("text").chunks) if got.num_rows else pa.array([], pa.string()))
         items = [(i, hashes[a:b]) for i, a, b in zip(got.column("item_id").to_pylist(), bounds[:-1], bounds[1:], strict=True) if b - a >= least_words]
         found = searched(rows, items, rate)
         out = found if out is None else out.union(found)
@@ -147,7 +156,7 @@ def searched(rows: DataFrame, items: list[tuple[int, np.ndarray]], rate: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(items, rate)
         for batch in batches:
-            words, bounds = present(batch.column(1).fill_null(""))
+            words, bounds = words_of(batch.column(1).fill_null(""))
             out = []
             ids = batch.column(0).to_pylist()
             for d in touched(pieces, words, bounds):
@@ -170,4 +179,4 @@ def touched(pieces: Pieces, words: np.ndarray, bounds: np.ndarray) -> np.ndarray
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=1)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from siltstone.llm import chat_format, decontaminate, license_scan, pieces, quality, toxicity
 
 DOCS = "doc_id long, text string, words string, score string"
@@ -153,6 +154,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_items(spark, tmp_path):
+    rows = [(0, "so the Blue whale, sings at night"), (1, "the blue whales sing"), (2, "他说今天天气很好我们去公园散步吧然后回家"), (3, "他说今天天气很坏我们去公园散步吧然后回家"), (4, "今天公园"), (5, "ดูสวัสดีครับนะ"), (6, "yes-man"), (7, "yesterday")]
+    items = [(0, "blue whale"), (1, "今天天气很好我们去公园散步吧"), (2, "สวัสดีครับ"), (3, "Yes"), (4, "...")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.query(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 0, (2, 1): 0, (3, 1): 1, (5, 2): 0, (6, 3): 0}
+    clean = corpus_pipeline.without_leaks(spark, docs(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 4, 7]
+
+
 TEXTS = ["", " ", "  two  spaces ", "▁▁ mark", "tab\tand\nline\0", "日本語 é 𝒳", "x" * 700 + " end", "attion", "the quick brown fox " * 50]
 
 
