@@ -18,10 +18,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, quality.fit(sample))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Settled documents with a key of each row, `row_key`; ids may be null or repeat."""
+    return settle(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(settle(gone), "doc_id", "left_anti").select(docs.columns)
+    """One document of each component of near duplicates, the one with the smallest id; rows that share an id or have none are told apart."""
+    rows = keyed(docs)
+    groups = settle(near_dedup.near_duplicates(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id"))
+    many = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = rows.select("row_key", "doc_id").join(groups.join(many, "component_id"), "row_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
+    gone = members.join(first, "row_key", "left_anti").select("row_key")
+    return rows.join(settle(gone), "row_key", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +43,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), least_words=1).select("doc_id").distinct()
-    return docs.join(settle(leaks), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), least_words=1, id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(settle(leaks), "row_key", "left_anti").select(docs.columns)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

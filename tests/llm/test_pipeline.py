@@ -27,3 +27,16 @@ def test_stages(spark, sf_dir):
     benchmark = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert not [d for d, t in clean.items() if any(b in t for b in benchmark)]
     assert docs.where("lossless").count() == len(clean)
+
+
+def test_rows_without_an_id_of_their_own(spark, sf_dir):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(5, one), (5, one), (7, two), (7, three), (9, three), (None, two), (4, one)]
+    left = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(4, one), (7, two), (7, three)]
+    rows = [(1, one), (1, item), (None, two), (None, f"{two} {item}"), (2, f"{item} {three}")]
+    left = corpus_pipeline.without_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, two), (1, one)]
