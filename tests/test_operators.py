@@ -104,6 +104,13 @@ def test_only_significant_pairs_are_ranked(spark, sf_dir):
     assert len(top) == min(15, len(likely)) and set(top) <= likely
 
 
+def test_each_order_is_looked_up(spark, sf_dir):
+    orders = pq.read_table(f"{sf_dir}/orders.parquet").to_pylist()
+    hits, misses = ([r.k for r in catalog.QUERIES[q](spark, sf_dir).collect()] for q in ("cache_hits", "cache_misses"))
+    assert sorted(hits + misses) == sorted(r["o_orderkey"] for r in orders)
+    assert set(hits) == {r["o_orderkey"] for r in orders if r["o_orderstatus"] == "F"}
+
+
 def test_metrics(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0)], "gold int, pred int")
     row = evaluation.binary(pairs).first()
