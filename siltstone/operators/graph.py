@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.tables import shared_folder
+
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node that edges (a, b) reach.
@@ -14,9 +14,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     Labels start as the node's own; each round takes the least label next to a node and then the label of that label, so paths halve;
     rounds are checkpointed in the cluster's shared folder. Ends when no label changes.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    shared_folder(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     while True:

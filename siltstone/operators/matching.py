@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import url_key
-from siltstone.llm.common import pack, settle, small_batches, unpack
+from siltstone.tables import pack, settle, small_batches, unpack
 
 #: Rows of a block of vectors, and of the strip of it that is compared at a time.
 BLOCK_ROWS, STRIP_ROWS = 2048, 256

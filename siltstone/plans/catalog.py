@@ -334,13 +334,13 @@ def _(spark, sf):
     return news.validated(view(spark, sf, "news").withColumn("confidence", F.col("confidence").cast("string")))
 
 
-@register("cache_hits", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey % 4 = 1 AND o_orderstatus = 'F'")
+@register("cache_hits", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderstatus = 'F'")
 def _(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
     return matching.cache_split(orders.select("k"), orders.where("o_orderstatus = 'F'").select("k").distinct(), ["k"])[0]
 
 
-@register("cache_misses", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderkey % 4 <> 1 AND o_orderstatus = 'F'")
+@register("cache_misses", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderstatus <> 'F'")
 def _(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
     return matching.cache_split(orders.select("k"), orders.where("o_orderstatus = 'F'").select("k"), ["k"])[1]
@@ -351,7 +351,7 @@ def _(spark, sf):
     return matching.exact_groups(spark.read.parquet(f"{sf}/documents.parquet"), "text", "doc_id")
 
 
-EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"
+EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"
 
 
 @register("dedup_similarity_edges", EDGES)
