@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches stay small, so that a batch of the longest documents fits a Python worker.
-BATCH_ROWS, BATCH_BYTES = "4096", "4m"
+from siltstone.tables import forget, pack, settle, small_batches, unpack  # noqa: F401
+
 NO_ID = -(2**63)
 
 
@@ -23,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch hands to a Python worker, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_folder(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -64,16 +29,7 @@ def bucket_count(df: DataFrame, bytes_each: int, at_least: int = 4) -> int:
     """Buckets for an exchange: some for each shuffle partition, and more as the input grows, so that one bucket keeps its size."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    return int(max(at_least * partitions, min(size // bytes_each, 1 << 20) if size < 1 << 50 else 0))
-
-
-def pack(value: object, level: int = 0) -> bytes:
-    raw = pickle.dumps(value, protocol=5)
-    return zstandard.ZstdCompressor(level=level).compress(raw) if level else raw
-
-
-def unpack(blob: bytes, squeezed: bool = False) -> object:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob) if squeezed else blob)
+    return int(max(at_least * partitions, size // bytes_each if size < 1 << 60 else 0))  # beyond that Spark doesn't know the size
 
 
 def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +132,36 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed(h) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts keys by bucket, and the bounds of each bucket in it."""
-    which = bucket_of(keys, buckets)
-    order = np.argsort(which, kind="stable")
-    return order, np.searchsorted(which[order], np.arange(buckets + 1))
+class Dealt:
+    """Keys by bucket; only buckets that have some take room, however many there are."""
+
+    def __init__(self, keys: np.ndarray, buckets: int) -> None:
+        which = bucket_of(keys, buckets)
+        self.order = np.argsort(which, kind="stable")
+        self.buckets, first = np.unique(which[self.order], return_index=True)
+        ends = np.append(first[1:], len(which)) if len(first) else first
+        self._bounds = dict(zip(self.buckets.tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))
+
+    def of(self, bucket: int) -> np.ndarray:
+        """Where the keys of a bucket stand."""
+        lo, hi = self._bounds.get(int(bucket), (0, 0))
+        return self.order[lo:hi]
+
+
+def flat(*arrays: np.ndarray, level: int = 0) -> bytes:
+    """Arrays as bytes: six for each array's type, columns and length, then their numbers."""
+    head = b"".join(a.dtype.char.encode() + bytes([a.shape[1] if a.ndim == 2 else 0]) + len(a).to_bytes(4, "little") for a in arrays)
+    raw = b"".join([bytes([len(arrays)]), head, *(a.tobytes() for a in arrays)])
+    return zstandard.ZstdCompressor(level=level).compress(raw) if level else raw
+
+
+def unflat(blob: bytes, squeezed: bool = False) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob) if squeezed else blob
+    out, at = [], 1 + 6 * raw[0]
+    for k in range(1, at, 6):
+        kind, columns, length = np.dtype(chr(raw[k])), raw[k + 1], int.from_bytes(raw[k + 2 : k + 6], "little")
+        count = length * max(1, columns)
+        found = np.frombuffer(raw, kind, count, at)
+        out.append(found.reshape(length, columns) if columns else found)
+        at += count * kind.itemsize
+    return out

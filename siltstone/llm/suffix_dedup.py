@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import NO_ID, Block, bucket_count, by_bucket, dealt, pack, pack_blocks, settle, table, unpack, with_parts
+from siltstone.llm.common import NO_ID, Block, Dealt, bucket_count, by_bucket, flat, pack_blocks, settle, table, unflat, with_parts
 
 WIDTH = 100
 GRAM = 32
@@ -152,7 +152,7 @@ def window_classes(raw: np.ndarray, starts: np.ndarray, width: int, gram: int) -
 
 def shared_in_buckets(parts: list[tuple[int, bytes]], hot: int) -> Iterator[tuple[int, bytes]]:
     """For each block: 0, 1 or 2 for each anchor it sent (in one place only, shared, hot), and which texts it has before all others."""
-    sent = [(b, *unpack(p)) for b, p in parts]
+    sent = [(b, *unflat(p)) for b, p in parts]
     anchors, places = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent])
     distinct, inverse = np.unique(anchors, return_inverse=True)
     total = np.bincount(inverse, places, len(distinct)) if len(anchors) else np.zeros(0)
@@ -164,13 +164,13 @@ def shared_in_buckets(parts: list[tuple[int, bytes]], hot: int) -> Iterator[tupl
     first[rows[new]] = True
     a = t = 0
     for block_id, hashes, _, mine, _ in sent:
-        yield block_id, pack((code[a : a + len(hashes)], first[t : t + len(mine)]))
+        yield block_id, flat(code[a : a + len(hashes)], first[t : t + len(mine)])
         a, t = a + len(hashes), t + len(mine)
 
 
 def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """For each block the window starts whose string occurs earlier; what a block has found out itself passes through."""
-    sent = [(b, *unpack(p, True)) for b, p in parts]
+    sent = [(b, *unflat(p, True)) for b, p in parts]
     gone: dict[int, list[np.ndarray]] = {b: [own] for b, own, *_ in sent}
 
     def share_out(owners: np.ndarray, starts: np.ndarray) -> None:
@@ -181,7 +181,7 @@ def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> I
 
     owner = lambda which: np.repeat(np.arange(len(sent)), [len(x[which]) for x in sent])
     # contexts: bytes, lengths, then document and first start of each
-    raw = np.frombuffer(b"".join(x[2] for x in sent), np.uint8)
+    raw = np.concatenate([x[2] for x in sent])
     if len(raw):
         length, doc, lo = (np.concatenate([x[k] for x in sent]) for k in (3, 4, 5))
         begin = np.cumsum(length) - length
@@ -199,7 +199,7 @@ def later_in_buckets(parts: list[tuple[int, bytes]], width: int, gram: int) -> I
         share_out(who[late], at[late])
     for block_id, found in gone.items():
         if len(every := np.concatenate(found)):
-            yield block_id, pack(np.sort(every).astype(np.int32), 1)
+            yield block_id, flat(np.sort(every).astype(np.int32), level=1)
 
 
 def window_digests(block: Block, starts: np.ndarray, width: int) -> np.ndarray:
@@ -227,29 +227,27 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
                 texts = digests(block)
                 rows, new = first_of([texts[:, 0], texts[:, 1]], [block.ids])
                 texts, ids = texts[rows[new]], block.ids[rows[new]]
-                order, cuts = dealt(anchors, buckets)
-                torder, tcuts = dealt(texts[:, 0], buckets)
-                full = np.flatnonzero(np.diff(cuts) + np.diff(tcuts))
-                out = []
+                by_anchor, by_text = Dealt(anchors, buckets), Dealt(texts[:, 0], buckets)
+                full, out = np.union1d(by_anchor.buckets, by_text.buckets), []
                 for k in full:
-                    a, t = order[cuts[k] : cuts[k + 1]], torder[tcuts[k] : tcuts[k + 1]]
-                    out.append(pack((anchors[a], counts[a], texts[t], ids[t])))
+                    a, t = by_anchor.of(k), by_text.of(k)
+                    out.append(flat(anchors[a], counts[a].astype(np.int32), texts[t], ids[t]))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block_id] * len(full), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block_id", "part"])
 
     def codes(anchors: np.ndarray, parts: list[dict] | None) -> np.ndarray:
         """The code of each distinct anchor of a block."""
-        code, (order, cuts) = np.zeros(len(anchors), np.uint8), dealt(anchors, buckets)
+        code, by_anchor = np.zeros(len(anchors), np.uint8), Dealt(anchors, buckets)
         for part in parts or ():
-            code[order[cuts[part["bucket"]] : cuts[part["bucket"] + 1]]] = unpack(part["part"])[0]
+            code[by_anchor.of(part["bucket"])] = unflat(part["part"])[0]
         return code
 
     def copies(block: Block, parts: list[dict] | None) -> np.ndarray:
         """Which documents are later copies of a whole text."""
         texts = digests(block)
         rows, new = first_of([texts[:, 0], texts[:, 1]], [block.ids])
-        first, (order, cuts) = np.zeros(len(block), bool), dealt(texts[rows[new]][:, 0], buckets)
+        first, by_text = np.zeros(len(block), bool), Dealt(texts[rows[new]][:, 0], buckets)
         for part in parts or ():
-            first[rows[new][order[cuts[part["bucket"]] : cuts[part["bucket"] + 1]]]] = unpack(part["part"])[1]
+            first[rows[new][by_text.of(part["bucket"])]] = unflat(part["part"])[1]
         return ~first
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,23 +261,23 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
                 code = np.where(copy[of], 0, code[inverse])
                 here = np.flatnonzero(code == 1)
                 anchor, lo, hi, doc = runs.anchor[here], runs.lo[here], runs.hi[here], block.ids[of[here]]
-                order, cuts = dealt(anchor, buckets)
+                by_anchor = Dealt(anchor, buckets)
                 # windows of hot anchors: the block's earliest of equal ones goes on, the others are late already
                 at = ragged(runs.lo[code == 2], (runs.hi - runs.lo + 1)[code == 2])
                 hashes, docs_at = window_digests(block, at, width), block.ids[np.searchsorted(block.bounds, at, "right") - 1]
                 rows, new = first_of([hashes[:, 0], hashes[:, 1]], [docs_at, at])
                 late, rows = at[rows[~new]], rows[new]
                 hashes, docs_at, at = hashes[rows], docs_at[rows], at[rows]
-                horder, hcuts = dealt(hashes[:, 0], buckets)
-                full = np.flatnonzero(np.diff(cuts) + np.diff(hcuts))
+                by_hash = Dealt(hashes[:, 0], buckets)
+                full = np.union1d(by_anchor.buckets, by_hash.buckets).astype(np.int64)
                 if len(late) and not len(full):
                     full = np.zeros(1, int)
                 out = []
                 for k in full:
-                    c, h = order[cuts[k] : cuts[k + 1]], horder[hcuts[k] : hcuts[k + 1]]
+                    c, h = by_anchor.of(k), by_hash.of(k)
                     length = hi[c] - lo[c] + width
                     own = late if k == full[0] else late[:0]
-                    out.append(pack((own, block.raw[ragged(lo[c], length)].tobytes(), length, doc[c], lo[c], hashes[h], docs_at[h], at[h]), 3))
+                    out.append(flat(own, block.raw[ragged(lo[c], length)], length, doc[c], lo[c], hashes[h], docs_at[h], at[h], level=3))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block_id] * len(full), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block_id", "part"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +287,7 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
                 copy = copies(block, shared)
                 edges = np.zeros(len(block.raw) + 1, np.int32)
                 for part in late or ():
-                    starts = unpack(part["part"], True)
+                    starts = unflat(part["part"], True)[0]
                     np.add.at(edges, starts, 1)
                     np.add.at(edges, starts + width, -1)
                 size = np.diff(block.bounds)
@@ -320,3 +318,19 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_later_copies(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle() -> str:
+    """Every window of hexadecimal bytes, numbered by where it starts in DuckDB; runs of covered bytes by gaps between windows."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, {2 * (512 + WIDTH - 1)}) AS c FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {WIDTH - 1}, 512)) AS o FROM d WHERE length(h) >= {2 * WIDTH})),
+g AS (SELECT doc_id, o + q AS p, substr(c, 2 * q + 1, {2 * WIDTH}) AS g FROM (SELECT doc_id, o, c, unnest(range(0, least(512, length(c) // 2 - {WIDTH - 1}))) AS q FROM c)),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(g) ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
+run AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {WIDTH} THEN 0 ELSE 1 END AS new FROM late)),
+span AS (SELECT doc_id, min(p) AS lo, max(p) + {WIDTH} AS hi FROM run GROUP BY doc_id, run),
+gap AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM (SELECT doc_id, lo, hi FROM span UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
