@@ -5,16 +5,21 @@ No piece has a space after another character, and none has bytes such as a line
 batch's different words are filtered once, each in all positions at a time, and every occurrence is sampled by itself, with random
 numbers that depend on the row's key and the position in the text alone. Equal keys and texts thus give equal pieces, however rows
 are dealt out. Piece weights follow Zipf's law by rank in the vocabulary, tempered by `alpha`.
+
+Memory: words go through lattices of at most LATTICE_BYTES of text, so a lattice has at most that many bytes times the bytes of the
+longest piece as edges, whatever the batch. A word of more than LONG_WORD bytes is filtered along stretches of STRETCH bytes, of which
+only the weight of each position is kept, and sampled from the last stretch back, whose edges are then made again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ ALPHA = 0.5
 #: Added to a piece's rank: the first pieces weigh about alike.
 FLAT = 100
 SPACE = 0x20
+#: Bytes of words in one lattice; bytes beyond which a word goes by stretches, and those of a stretch.
+LATTICE_BYTES, LONG_WORD, STRETCH = 1 << 16, 1 << 10, 1 << 13
 #: Bytes of the character that a byte begins; 0 for one inside a character.
 WIDTH_OF = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int8)
 
@@ -92,6 +99,58 @@ def word_starts(raw: np.ndarray, bounds: np.ndarray, alone: np.ndarray) -> np.nd
     return np.flatnonzero(cut)
 
 
+def edges_of(words: np.ndarray, left: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece) of all edges, by end and of the ways to one end the longest first; left: bytes from each byte to its word's end.
+
+    An edge is a piece that stands in a word, or a byte of a character that is no piece by itself.
+    """
+    state = vocab.start[words]
+    at = np.flatnonzero(state >= 0).astype(np.int32)
+    state = state[at]
+    keys, ids = [], []
+    width = WIDTH_OF[words]
+    single = np.zeros(len(words), bool)  # characters that are a piece by themselves
+    for n in range(1, vocab.longest + 1):
+        piece = vocab.piece_at[state]
+        full = piece >= 0
+        begins = at[full]
+        keys.append((begins.astype(np.int64) + n) * 64 - n)
+        ids.append(piece[full])
+        single[begins[width[begins] == n]] = True
+        more = left[at] > n
+        at = at[more]
+        if not len(at):
+            break
+        key = (state[more] << 8) | words[at + n]
+        edge = np.minimum(np.searchsorted(vocab.edge_keys, key), len(vocab.edge_keys) - 1)
+        ok = vocab.edge_keys[edge] == key
+        at, state = at[ok], vocab.edge_to[edge[ok]]
+    # bytes of characters without a piece
+    lead = np.flatnonzero((width > 0) & ~single)
+    by_byte = lead[:, None] + np.arange(4)
+    by_byte = by_byte[(np.arange(4) < width[lead][:, None]) & (by_byte < len(words))]
+    key = np.concatenate([*keys, (by_byte + 1) * 64 - 1])
+    order = np.argsort(key)  # no two edges have both end and length in common
+    key = key[order]
+    end = (key + 63) >> 6
+    return end - (-key & 63), end, np.concatenate([*ids, vocab.byte_ids[words[by_byte]].astype(np.int32)])[order]
+
+
+def upto_of(share: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For edges sorted by end: the share of each and those before it to the same end, the last taking whatever rounding leaves; and
+    which edges are the first of an end."""
+    group = np.append(True, end[1:] != end[:-1])[: len(end)]
+    total = np.cumsum(share)
+    upto = total - (total - share)[group][np.cumsum(group) - 1] if len(share) else total
+    upto[np.flatnonzero(np.append(group[1:], True))[: len(share)]] = 2.0
+    return upto, group
+
+
+def random_at(seed: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each seed and position in its word."""
+    return (mixed(seed + far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
 class Lattice:
     """All edges of some words, laid one after the other, and for each position the weights of the ways to come from behind.
 
@@ -102,41 +161,11 @@ class Lattice:
         offsets = offsets.astype(np.int32)
         length = np.diff(offsets)
         word = np.repeat(np.arange(len(length), dtype=np.int32), length)
-        left = offsets[1:][word] - np.arange(len(words), dtype=np.int32)  # bytes to the word's end
-        state = vocab.start[words]
-        at = np.flatnonzero(state >= 0).astype(np.int32)
-        state = state[at]
-        keys, ids = [], []
-        width = WIDTH_OF[words]
-        single = np.zeros(len(words), bool)  # characters that are a piece by themselves
-        for n in range(1, vocab.longest + 1):
-            piece = vocab.piece_at[state]
-            full = piece >= 0
-            begins = at[full]
-            keys.append((begins.astype(np.int64) + n) * 64 - n)
-            ids.append(piece[full])
-            single[begins[width[begins] == n]] = True
-            more = left[at] > n
-            at = at[more]
-            if not len(at):
-                break
-            key = (state[more] << 8) | words[at + n]
-            edge = np.minimum(np.searchsorted(vocab.edge_keys, key), len(vocab.edge_keys) - 1)
-            ok = vocab.edge_keys[edge] == key
-            at, state = at[ok], vocab.edge_to[edge[ok]]
-        # bytes of characters without a piece
-        lead = np.flatnonzero((width > 0) & ~single)
-        by_byte = lead[:, None] + np.arange(4)
-        by_byte = by_byte[np.arange(4) < width[lead][:, None]]
-        key = np.concatenate([*keys, (by_byte + 1) * 64 - 1])
-        order = np.argsort(key)  # by end, and of the ways to come to it the longest piece first; no two edges have both in common
-        key = key[order]
-        self.piece = np.concatenate([*ids, vocab.byte_ids[words[by_byte]].astype(np.int32)])[order]
-        end = ((key + 63) >> 6).astype(np.int32)
+        begin, end, self.piece = edges_of(words, offsets[1:][word] - np.arange(len(words), dtype=np.int32), vocab)
         owner = word[end - 1]
-        level = end - offsets[owner]
-        self.end = end + owner
-        self.begin = self.end - (-key & 63).astype(np.int32)
+        level = (end - offsets[owner]).astype(np.int32)
+        self.end = (end + owner).astype(np.int32)
+        self.begin = (begin + owner).astype(np.int32)
         self.first = offsets[:-1] + np.arange(len(length), dtype=np.int32)
         self.last = offsets[1:] + np.arange(len(length), dtype=np.int32)
         share = np.zeros(len(end))
@@ -154,11 +183,7 @@ class Lattice:
             sums = np.add.reduceat(each, group)
             ahead[ends[group]] = most + np.log(sums)
             share[now] = each / np.repeat(sums, many)
-        # for each position its ways, and the share of each and those before it; the last takes whatever rounding leaves
-        group = np.append(True, self.end[1:] != self.end[:-1]) if len(share) else np.zeros(0, bool)
-        total = np.cumsum(share)
-        self.upto = total - (total - share)[group][np.cumsum(group) - 1] if len(share) else total
-        self.upto[np.flatnonzero(np.append(group[1:], True))[: len(share)]] = 2.0
+        self.upto, group = upto_of(share, self.end)
         self.ways = np.zeros(offsets[-1] + len(length), np.int32)
         self.ways[self.end[group]] = np.flatnonzero(group)
 
@@ -168,8 +193,7 @@ class Lattice:
         at, first = self.last[word[live]], self.first[word]
         who, what = [], []
         while len(live):
-            far = (at - first[live]).astype(np.uint64)
-            u = (mixed(seed[live] + far * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) * 2.0**-53
+            u = random_at(seed[live], at - first[live])
             edge = self.ways[at]
             past = np.flatnonzero(self.upto[edge] <= u)
             while len(past):
@@ -187,14 +211,94 @@ class Lattice:
         return out, count
 
 
+def stretch_edges(word: np.ndarray, lo: int, hi: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of a word that end in (lo, hi]; pieces may begin before."""
+    from_ = max(0, lo - vocab.longest)
+    while from_ and WIDTH_OF[word[from_]] == 0:  # a character counts from its first byte
+        from_ -= 1
+    to = min(len(word), hi + 4)
+    begin, end, piece = edges_of(word[from_:to], np.arange(to - from_, 0, -1), vocab)
+    begin, end = begin + from_, end + from_
+    here = (end > lo) & (end <= hi)
+    return begin[here], end[here], piece[here]
+
+
+def sampled_long(word: np.ndarray, seeds: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
+    """Pieces of each occurrence of one long word: forward filtering by stretches, then backward sampling from the last stretch on.
+
+    Kept are eight bytes for each byte of the word, and the edges of one stretch.
+    """
+    cuts = [*range(0, len(word), STRETCH), len(word)]
+    ahead = np.full(len(word) + 1, -np.inf)
+    ahead[0] = 0.0
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        begin, end, piece = stretch_edges(word, lo, hi, vocab)
+        first = max(0, lo - vocab.longest)
+        known, weight = ahead[first : hi + 1].tolist(), vocab.log_weight[piece].tolist()
+        ends, begins, at = (end - first).tolist(), (begin - first).tolist(), 0
+        while at < len(ends):
+            to = at + 1
+            while to < len(ends) and ends[to] == ends[at]:
+                to += 1
+            ways = [known[begins[k]] + weight[k] for k in range(at, to)]
+            most = max(ways)
+            known[ends[at]] = most + log(sum(exp(w - most) for w in ways)) if to > at + 1 else most
+            at = to
+        ahead[lo + 1 : hi + 1] = known[lo + 1 - first :]
+    place, out = [len(word)] * len(seeds), [[] for _ in seeds]
+    for lo, hi in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        begin, end, piece = stretch_edges(word, lo, hi, vocab)
+        upto, group = upto_of(np.exp(ahead[begin] + vocab.log_weight[piece] - ahead[end]), end)
+        ways = np.zeros(hi - lo + 1, np.int64)
+        ways[end[group] - lo] = np.flatnonzero(group)
+        for k, seed in enumerate(seeds):
+            draws = random_at(np.full(hi - lo + 1, seed, np.uint64), np.arange(lo, hi + 1))
+            at, found = place[k], out[k]
+            while at > lo:
+                edge = ways[at - lo]
+                while upto[edge] <= draws[at - lo]:
+                    edge += 1
+                found.append(piece[edge])
+                at = int(begin[edge])
+            place[k] = at
+    return [np.array(found[::-1], np.int32) for found in out]
+
+
+def words_sampled(different: np.ndarray, offsets: np.ndarray, word: np.ndarray, seed: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of occurrences of words, one after the other, and how many each has; one bounded lattice after the other."""
+    length = np.diff(offsets)
+    by_word = np.argsort(word, kind="stable")
+    cuts = np.searchsorted(word[by_word], np.arange(len(length) + 1))
+    count, parts = np.zeros(len(word), np.int64), []
+    long = np.flatnonzero(length > LONG_WORD)
+    for k in long.tolist():
+        who = by_word[cuts[k] : cuts[k + 1]]
+        for one in range(0, len(who), 64):
+            found = sampled_long(different[offsets[k] : offsets[k + 1]], seed[who[one : one + 64]], vocab)
+            count[who[one : one + 64]] = [len(f) for f in found]
+            parts.append((who[one : one + 64], np.concatenate(found)))
+    lo = 0
+    for stop in [*long.tolist(), len(length)]:
+        while lo < stop:
+            hi = max(lo + 1, min(stop, int(np.searchsorted(offsets, offsets[lo] + LATTICE_BYTES, "right")) - 1))
+            who = by_word[cuts[lo] : cuts[hi]]
+            ids, many = Lattice(different[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vocab).sampled(word[who] - lo, seed[who])
+            count[who] = many
+            parts.append((who, ids))
+            lo = hi
+        lo = stop + 1
+    begin = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.int32)
+    for who, ids in parts:
+        many = count[who]
+        out[np.repeat(begin[who] - (np.cumsum(many) - many), many) + np.arange(len(ids))] = ids
+    return out, count
+
+
 def encode_batch(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of all texts, and the bounds of each text's; a space goes before each text that isn't empty."""
-    raw, bounds = text_parts(texts)
-    size = np.diff(bounds)
-    spaced = np.full(len(raw) + int((size > 0).sum()), SPACE, np.uint8)
-    shift = np.cumsum(size > 0)
-    spaced[np.arange(len(raw)) + np.repeat(shift, size)] = raw
-    bounds = bounds + np.append(0, shift)
+    texts, empty, space = texts.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    spaced, bounds = text_parts(pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(empty, texts, space)))
     starts = word_starts(spaced, bounds, vocab.alone)
     if len(starts) < 2:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
@@ -202,7 +306,7 @@ def encode_batch(texts: pa.Array, keys: np.ndarray, vocab: Vocabulary) -> tuple[
     different, offsets = text_parts(words.dictionary)
     text_of = np.searchsorted(bounds, starts[:-1], "right") - 1
     seed = mixed(keys.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))[text_of] + (starts[:-1] - bounds[text_of]).astype(np.uint64) * np.uint64(0xDA942042E4DD58B5)
-    ids, count = Lattice(different, offsets, vocab).sampled(words.indices.to_numpy(), mixed(seed))
+    ids, count = words_sampled(different, offsets, words.indices.to_numpy(), mixed(seed), vocab)
     total = np.append(0, np.cumsum(count))
     return ids, total[np.searchsorted(starts, bounds)]
 
@@ -232,7 +336,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, alpha: float = ALPHA, id_co
         for batch in batches:
             texts = batch.column(2).fill_null("")
             ids, bounds = encode_batch(texts, batch.column(1).to_numpy(), vocab)
-            same = pa.compute.equal(decode_batch(ids, bounds, vocab), texts.cast(pa.large_string()).cast(pa.large_binary()))
+            same = pc.equal(decode_batch(ids, bounds, vocab), texts.cast(pa.large_string()).cast(pa.large_binary()))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(bounds), pa.int64()), same], ["doc_id", "ids", "n_pieces", "lossless"])
 
@@ -249,7 +353,7 @@ def decode(encoded: DataFrame, model_file: str = MODEL, alpha: float = ALPHA, id
         for batch in batches:
             lists = batch.column(1)
             ids = lists.flatten().to_numpy()
-            bounds = np.append(0, np.cumsum([len(x) for x in lists.to_pylist()])).astype(np.int64)
+            bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), decode_batch(ids, bounds, vocab).cast(pa.large_string()).cast(pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
