@@ -136,6 +136,61 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def likely_rows(group: pa.Table, steps: list[tuple[int, int]], best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group's rows with one key and different parts that their signatures don't rule out, and their equal minima.
+
+    With `best`, only those among a row's so many likeliest pairs.
+    """
+    key, part, mine = (group.column(c).to_numpy() for c in ("key", "part", "mine"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
+    across = group.column("x")[0].as_py() != group.column("y")[0].as_py()
+    order, p, q = np.argsort(key, kind="stable"), [], []
+    for gap in range(1, len(order)):
+        x, y = order[:-gap], order[gap:]
+        same = key[x] == key[y]
+        if not same.any():
+            break
+        same &= part[x] != part[y]
+        if across:
+            same &= mine[x] != mine[y]
+        x, y = x[same], y[same]
+        left = plausible(sig[x], sig[y], steps)
+        p.append(x[left])
+        q.append(y[left])
+    p, q = (np.concatenate([*v, []]).astype(np.int64) for v in (p, q))
+    equal = np.concatenate([*((sig[p[k : k + 4096]] == sig[q[k : k + 4096]]).sum(axis=1) for k in range(0, len(p), 4096)), []])
+    if best is not None and len(p):
+        ends, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+        by = np.lexsort([pair, -equal[pair], ends])
+        first = np.searchsorted(ends[by], ends[by])
+        chosen = np.unique(pair[by[np.arange(len(by)) - first < best]])
+        p, q, equal = p[chosen], q[chosen], equal[chosen]
+    return p, q, equal
+
+
+def dealt_members(members: DataFrame, blocks: DataFrame, slots: int) -> DataFrame:
+    """members with the group (slot, x, y) in which they meet; keys of `blocks` (key, blocks) are split into blocks that meet pair by pair."""
+    rows = members.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumns({"mine": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return rows.select(*members.columns, "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+
+
+def likely_members(members: DataFrame, sigs: DataFrame, threshold: float, miss: float, best: int | None) -> DataFrame:
+    """Settled members (key, doc_id, part) that have a likely partner in their bucket; only signatures are dealt out."""
+    steps = least_matches(threshold, miss)
+    sizes = settle(members.groupBy("key").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n").alias("n")).first().n or 0
+    slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // CROWD)
+    blocks = settle(sizes.where(F.col("n") > CROWD).select("key", F.ceil(2 * F.col("n") / CROWD).cast("int").alias("blocks")))
+
+    def meet(group: pa.Table) -> pa.Table:
+        p, q, _ = likely_rows(group, steps, best)
+        return group.select(["key", "doc_id", "part"]).take(pa.array(np.unique(np.concatenate([p, q]))))
+
+    rows = dealt_members(members.join(sigs, "doc_id"), blocks, slots)
+    return settle(rows.groupBy("slot", "x", "y").applyInArrow(meet, "key long, doc_id long, part long").distinct())
+
+
 def links_within(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, best: int | None = None) -> DataFrame:
     """Links (a, b) between members (key, doc_id, part) with one key and different parts, found and confirmed where their bucket lies.
 
@@ -150,36 +205,10 @@ def links_within(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: i
     slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total.n or 0) // CROWD, (total.size or 0) // CROWD_BYTES)
     crowded = sizes.where((F.col("n") > CROWD) | (F.col("size") > CROWD_BYTES))
     crowded = settle(crowded.select("key", F.greatest(F.ceil(2 * F.col("n") / CROWD), F.ceil(2 * F.col("size") / CROWD_BYTES)).cast("int").alias("blocks")))
-    rows = members.join(sigs, "doc_id").join(texts, "doc_id").join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumns({"mine": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    rows = rows.select("key", "doc_id", "part", "sig", "text", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+    rows = dealt_members(members.join(sigs, "doc_id").join(texts, "doc_id"), crowded, slots)
 
     def meet(group: pa.Table) -> pa.Table:
-        key, doc, part, mine = (group.column(c).to_numpy() for c in ("key", "doc_id", "part", "mine"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(key), -1)
-        across = group.column("x")[0].as_py() != group.column("y")[0].as_py()
-        order, p, q = np.argsort(key, kind="stable"), [], []
-        for gap in range(1, len(order)):
-            x, y = order[:-gap], order[gap:]
-            same = key[x] == key[y]
-            if not same.any():
-                break
-            same &= part[x] != part[y]
-            if across:
-                same &= mine[x] != mine[y]
-            x, y = x[same], y[same]
-            left = plausible(sig[x], sig[y], steps)
-            p.append(x[left])
-            q.append(y[left])
-        p, q = (np.concatenate([*v, []]).astype(np.int64) for v in (p, q))
-        equal = np.concatenate([*((sig[p[k : k + 4096]] == sig[q[k : k + 4096]]).sum(axis=1) for k in range(0, len(p), 4096)), []])
-        if best is not None and len(p):
-            ends, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
-            by = np.lexsort([pair, -equal[pair], ends])
-            first = np.searchsorted(ends[by], ends[by])
-            chosen = np.unique(pair[by[np.arange(len(by)) - first < best]])
-            p, q, equal = p[chosen], q[chosen], equal[chosen]
-        return joining(group, p, q, equal, doc, part)
+        return joining(group, *likely_rows(group, steps, best), *(group.column(c).to_numpy() for c in ("doc_id", "part")))
 
     def joining(group: pa.Table, p: np.ndarray, q: np.ndarray, equal: np.ndarray, doc: np.ndarray, part: np.ndarray) -> pa.Table:
         """The links among the pairs of rows p, q that join parts, the likeliest pairs first."""
@@ -301,15 +330,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     rest = apart(parts)
     for best in (BEST, None):  # first what most likely joins components, which leaves few apart; then all that is left
         if not rest.isEmpty():
-            texts = texts_of(rest.select("doc_id").distinct(), docs, id_col, text_col)
-            found = found.union(links_within(rest, sigs, texts, width, threshold, miss, best))
+            near = likely_members(rest, sigs, threshold, miss, best)
+            texts = texts_of(near.select("doc_id").distinct(), docs, id_col, text_col)
+            found = found.union(links_within(near, sigs, texts, width, threshold, miss, best))
             parts = settle(components(found))
             rest = apart(parts) if best else rest
-    whole = rows.select("doc_id", "n_shingles", "set_id").join(sets, "set_id", "left")
-    whole = whole.join(parts.withColumnRenamed("node", "first"), "first", "left")
-    whole = whole.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
-    return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # rows without a set or an id link with nothing and take no part in the join, so they don't pile up in one task
+    linked = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
+    groups = sets.join(parts.withColumnRenamed("node", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component_id"))
+    out = rows.where(linked).select("doc_id", "n_shingles", "set_id").join(groups, "set_id").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.union(rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def oracle() -> str:
+    """All pairs of documents that share a shingle, counted in DuckDB, and their closure."""
+    return r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[p] || ' ' || w[p + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.a = e.a),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
