@@ -22,17 +22,17 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -
     return w
 
 
-def fit_sparse(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, l2: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], weight: float, rounds: int = 1000) -> np.ndarray:
+def fit_sparse(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, l2: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Weights of `width` binary features and, last, the intercept, by accelerated gradient descent.
 
     row, col: where features are present. swaps (pair, col, sign): differences between rows and their counterfactual twins; the loss
-    gains weight * (w . difference)^2 for each pair.
+    gains (w . difference)^2 for each pair, times the pair's weight.
     """
     n, (pair, swapped, sign) = len(y), swaps
-    pairs = int(pair.max()) + 1 if len(pair) else 0
+    pairs = len(weight) if len(pair) else 0
     degree = np.bincount(row, minlength=n).max() + 1 if len(row) else 1
-    twin = np.bincount(pair).max() if len(pair) else 0
-    rate = 1 / (0.25 * degree * n * 0.05 + l2 + 2 * weight * twin * max(1, pairs) * 0.05)
+    stiff = np.bincount(swapped, weight[pair], width).max() if pairs else 0.0
+    rate = 1 / (0.25 * degree * n * 0.05 + l2 + 4 * stiff)
     w = np.zeros(width + 1)
     ahead, momentum = w.copy(), 1.0
     last = np.inf
@@ -43,8 +43,8 @@ def fit_sparse(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, l2:
         loss = np.logaddexp(0, np.where(y > 0, -z, z)).sum() + l2 / 2 * (ahead[:-1] ** 2).sum()
         if pairs:
             d = np.bincount(pair, sign * ahead[swapped], pairs)
-            grad[:-1] += 2 * weight * np.bincount(swapped, sign * d[pair], width)
-            loss += weight * (d**2).sum()
+            grad[:-1] += 2 * np.bincount(swapped, sign * (weight * d)[pair], width)
+            loss += (weight * d**2).sum()
         if not loss <= last * 1.02 + 1e-9:  # too far: start again from here with a shorter step
             rate, momentum, ahead, last = rate / 2, 1.0, w.copy(), np.inf
             continue
