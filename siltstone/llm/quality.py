@@ -3,7 +3,7 @@
 A logistic regression over counts of bytes, words and repeats gives each document's evidence. Hosts and, inside them, paths get
 posterior means of it: sums by group are shrunk towards the level above, the more the sparser the group, with a strength that the
 method of moments takes from the spread between groups. A document's odds are then those of its own evidence times the odds of its
-path over the global odds.
+path over the global odds; the path's posterior leaves the document itself out, so that its evidence counts once.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CLASSES = np.zeros(256, np.uint8)
 for _k, _bytes in enumerate((range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b"#$%&*|", b"!?", b".,;:'\"-()", b"\n"), 1):
     CLASSES[list(_bytes)] = _k
 N_FEATURES = 14
+#: Columns of groups that leaving a document out takes.
+LEAVING = ["n", "s", "hn", "hs", "m_host", "m_path"]
 
 
 def features(batch: pa.Array) -> np.ndarray:
@@ -124,7 +126,10 @@ def judged(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_i
 
 
 def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_mean, path_mean) for each path, and the global mean, from the evidence of all documents."""
+    """(host, path, host_mean, path_mean) for each path, and the global mean, from the evidence of all documents.
+
+    With them go what leaving one document out takes: n, s, hn, hs (documents and summed evidence of path and host), m_host, m_path.
+    """
     p = 1 / (1 + F.exp(-F.col("logit")))
     paths = settle(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
@@ -136,14 +141,18 @@ def posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
     m_host = strength(mean, hosts.agg(beyond("hn", "hs").alias("v")).first().v)
     m_path = strength(mean, paths.agg(beyond("n", "s").alias("v")).first().v)
     host_mean = (m_host * F.lit(mean) + F.col("hs")) / (m_host + F.col("hn"))
-    groups = paths.join(hosts, "host").select("host", "path", host_mean.alias("host_mean"), ((m_path * host_mean + F.col("s")) / (m_path + F.col("n"))).alias("path_mean"))
+    groups = paths.join(hosts, "host").select("host", "path", host_mean.alias("host_mean"), ((m_path * host_mean + F.col("s")) / (m_path + F.col("n"))).alias("path_mean"), *LEAVING[:4], F.lit(m_host).alias("m_host"), F.lit(m_path).alias("m_path"))
     return settle(groups), mean
 
 
 def final(mean: float) -> Column:
-    """A document's score from its logit and its path's mean."""
+    """A document's score from its logit and the evidence of the other documents of its path and host."""
     odds = lambda c: F.log(c / (1 - c))
-    return 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("path_mean")) - odds(F.lit(mean)))))
+    c, p = F.col, 1 / (1 + F.exp(-F.col("logit")))
+    host = (c("m_host") * mean + c("hs") - p) / (c("m_host") + c("hn") - 1)
+    path = (c("m_path") * host + c("s") - p) / (c("m_path") + c("n") - 1)
+    path = F.greatest(F.least(path, F.lit(1 - 1e-6)), F.lit(1e-6))
+    return 1 / (1 + F.exp(-(F.col("logit") + odds(path) - odds(F.lit(mean)))))
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
@@ -161,14 +170,12 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "do
 
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     scored = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(LOGIT, DoubleType())]))
-    own = groups.select(F.col("host").alias("_siltstone_host"), F.col("path").alias("_siltstone_path"), "path_mean")
+    own = groups.select(F.col("host").alias("_siltstone_host"), F.col("path").alias("_siltstone_path"), *LEAVING)
     score = final(mean)
     held = scored.select(F.struct(*docs.columns).alias("row"), F.col(LOGIT).alias("logit"), name(host_col).alias("_siltstone_host"), name(path_col).alias("_siltstone_path"))
     return held.join(own, ["_siltstone_host", "_siltstone_path"]).where(score >= cut).select("row.*")
 
 
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE_ROWS))
