@@ -2,7 +2,8 @@
 
 Turns are dealt by range of (conversation, turn), so even one conversation with most of the rows spreads over tasks. A batch's turns
 are laid out in numpy: the lengths of all segments give cumulative offsets and, from these, scatter indices, by which headers and
-contents are copied into one preallocated buffer that Arrow then takes as it is.
+contents are copied into one preallocated buffer. Arrow takes it as it is: the bounds of conversations in it are the offsets of the
+column, which leaves as one batch. Only the rows of a batch's last conversation wait for the next batch.
 
 The template is START role NEWLINE text END NEWLINE for each turn. Inside roles and texts a backslash is doubled and every control
 string gets a backslash after its first character (a line feed in a role becomes backslash n), which `unescape` undoes exactly.
@@ -70,36 +71,42 @@ def format_chats(turns: DataFrame, part_bytes: int = PART_BYTES, learned: str =
     """
     small_batches(turns.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seq = TaskContext.get().partitionId() << 32, 0
-        held: list | None = None  # conversation, turns, bytes, spans
-
-        def out() -> pa.RecordBatch:
-            nonlocal seq
-            conv, count, data, spans, _ = held
-            seq += 1
-            text = pa.array([b"".join(data)], pa.binary()).cast(pa.string())
-            loss = pa.array([[{"start": a, "stop": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([first + seq], pa.int64()), pa.array([count], pa.int64()), text, loss], ["conv_id", "part", "n_turns", "formatted", "loss"])
+    def parts(rows: pa.Table, last: bool, first: int) -> tuple[pa.RecordBatch | None, pa.Table]:
+        """The finished parts of some turns, and the turns of the last one unless it is finished too."""
+        roles = rows.column("role").combine_chunks().fill_null("")
+        data, at, texts = assemble(escape(roles, True), escape(rows.column("text").combine_chunks().fill_null("")))
+        conv = rows.column("conv_id").combine_chunks()
+        known, number = conv.is_valid().to_numpy(zero_copy_only=False), conv.fill_null(0).to_numpy()
+        new = np.append(True, (number[1:] != number[:-1]) | (known[1:] != known[:-1]))
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        share = (at[:-1] - at[begin]) // part_bytes  # of a long conversation
+        new[1:] |= share[1:] != share[:-1]
+        cuts = np.append(np.flatnonzero(new), len(new))
+        if not last and at[cuts[-1]] - at[cuts[-2]] < part_bytes:
+            cuts = cuts[:-1]
+        n = len(cuts) - 1
+        if not n:
+            return None, rows
+        mask = pc.equal(roles, learned).to_numpy(zero_copy_only=False)[: cuts[-1]]
+        spans = texts[: cuts[-1]][mask] - np.repeat(at[cuts[:-1]], np.diff(cuts))[mask][:, None]
+        spans = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())], ["start", "stop"])
+        counts = np.append(0, np.cumsum(mask))[cuts].astype(np.int32)
+        text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(at[cuts].astype(np.int32)), pa.py_buffer(data)])
+        out = [conv.take(pa.array(cuts[:-1])), pa.array(first + np.arange(n), pa.int64()), pa.array(np.diff(cuts), pa.int64()), text, pa.ListArray.from_arrays(pa.array(counts), spans)]
+        return pa.RecordBatch.from_arrays(out, ["conv_id", "part", "n_turns", "formatted", "loss"]), rows.slice(int(cuts[-1]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, held = TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            roles = batch.column("role").fill_null("")
-            data, at, texts = assemble(escape(roles, True), escape(batch.column("text").fill_null("")))
-            convs = batch.column("conv_id").to_pylist()
-            mask = pc.equal(roles, learned).to_numpy(zero_copy_only=False)
-            cuts = [0, *(k for k in range(1, len(convs)) if convs[k] != convs[k - 1] or at[k] // part_bytes != at[k - 1] // part_bytes), len(convs)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held is not None and (held[0] != convs[lo] or held[4] >= part_bytes):
-                    yield out()
-                    held = None
-                if held is None:
-                    held = [convs[lo], 0, [], [], 0]
-                held[1] += hi - lo
-                held[2].append(data[at[lo] : at[hi]].tobytes())
-                held[3] += [(int(a - at[lo] + held[4]), int(b - at[lo] + held[4])) for a, b in texts[lo:hi][mask[lo:hi]]]
-                held[4] += int(at[hi] - at[lo])
-        if held is not None:
-            yield out()
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if rows.num_rows:
+                out, held = parts(rows, False, seq)
+                if out is not None:
+                    yield out
+                    seq += len(out)
+        if held is not None and held.num_rows:
+            yield parts(held, True, seq)[0]
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*ORDER)
@@ -154,3 +161,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return digested(format_chats(turns))
+
+
+def oracle() -> str:
+    """What the output holds, from the input: turns and learned texts in order, and the length of the template with escaped texts."""
+    escaped = "replace(coalesce(text, ''), '\\', '\\\\')"
+    role = "replace(coalesce(role, ''), '\\', '\\\\')"
+    for c in CONTROL:
+        escaped, role = (f"replace({e}, '{c}', '{c[0]}\\{c[1:]}')" for e in (escaped, role))
+    return f"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', '{LEARNED}']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LEARNED}'), '')) AS loss_sha256,
+  CAST(sum({len(START) + len(END) + 2} + length(replace({role}, chr(10), 'xx')) + length({escaped})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
