@@ -17,5 +17,10 @@ QUERIES = {
     "op10_sentencepiece": pieces.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.oracle(),
     "op2_license_scan": license_scan.oracle(),
+    "op4_substring_dedup": window_dedup.oracle(),
+    "op5_minhash_dedup": near_dedup.oracle(),
+    "op7_embedding_dedup": vector_dedup.oracle(),
+    "op8_chat_format": chat_format.oracle(),
 }

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siltstone.llm import components, near_dedup, suffix_dedup, vector_dedup, window_dedup
+from siltstone.llm import common, components, near_dedup, suffix_dedup, vector_dedup, window_dedup
 
 DOCS = "doc_id long, text string, n_bytes string, kept string"
 
@@ -127,3 +127,58 @@ def test_empty_tables(spark):
     assert near_dedup.near_duplicates(none).count() == 0
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_thousands_of_links_near_the_threshold(spark):
+    rng = np.random.RandomState(8)
+    centres = rng.normal(size=(40, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    noise = rng.normal(size=(40, 50, 32)) / np.sqrt(32)
+    rows = (centres[:, None] + 0.33 * noise).reshape(-1, 32)  # cosines of members spread around 0.9
+    data = [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 10_000
+    assert [got[k][0] for k in range(len(rows))] == linked.sum(axis=1).tolist()
+    root = np.arange(len(rows))
+    for _ in range(60):
+        root = np.array([min([root[k], *root[np.flatnonzero(linked[k])]]) for k in range(len(rows))])
+    assert [got[k][1] for k in range(len(rows))] == root.tolist()
+
+
+def test_flat_arrays():
+    arrays = [np.arange(5, dtype=np.uint64), np.zeros((0, 2), np.uint64), np.array([True, False]), np.arange(6, dtype=np.int32).reshape(3, 2)]
+    for level in (0, 3):
+        back = common.unflat(common.flat(*arrays, level=level), bool(level))
+        assert all(a.dtype == b.dtype and np.array_equal(a, b) for a, b in zip(arrays, back, strict=True))
+    assert len(common.flat(np.zeros(1, np.uint64), np.zeros(1, np.int32))) == 25
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(None, text), (None, text), (3, text), (3, "other words " + text)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.remove_later_copies(df).collect())[0] == 0
+    assert [r.n_words - r.n_removed for r in window_dedup.remove_repeated_windows(df).orderBy("n_words").collect()] == [0, 0, 0, 2]
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()} == {(None, None, True), (3, 3, True)}
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [2.0, 4.0]), (7, [1.0, 2.01])], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.component_id) for r in vector_dedup.near_vectors(vectors).collect()} == {(None, None), (5, 5), (7, 5)}
+
+
+def test_registered_queries_equal_their_sql(spark):
+    import os
+
+    import duckdb
+
+    from siltstone.llm.catalog import ORACLES, QUERIES
+
+    path, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "embeddings", "conversations"):
+        file = f"{path}/{name}.parquet"
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{file + '/*.parquet' if os.path.isdir(file) else file}')")
+    for name in ORACLES:
+        df, found = QUERIES[name](spark, path), con.execute(ORACLES[name])
+        columns = [d[0] for d in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, map(tuple, found.fetchall()))), name

@@ -79,7 +79,7 @@ def test_toxicity(spark):
         gap[penalty] = abs(said[0] - said[1])
         assert said[2] > 0.7 and said[1] < 0.5 and said[3] < 0.5
     assert gap[toxicity.PENALTY] < gap[0.0]
-    assert toxicity.twins("A Muslim came. No one.") == [("muslim", "christian"), ("muslim", "jewish"), ("muslim", "hindu")]
+    assert toxicity.twins("A Muslim came. No one.") == [("muslim", other) for other in ("christian", "jewish", "hindu", "buddhist", "atheist")]
     assert toxicity.score(docs(spark, [(1, None), (1, None), (None, "x")]), model).count() == 3
     assert toxicity.fit(labelled.limit(0)).scores(pa.array(["a"]))[0] < 0.5
 
@@ -215,3 +215,56 @@ def test_samples_follow_the_lattice(vocab):
     for p, w in weight.items():
         assert abs(counts[p] / 8000 - w / whole) < 0.02
     assert re.match(rb" ", vocab.bytes_of[ids[0]])
+
+
+def test_long_words_and_memory(vocab):
+    import time
+
+    rng = np.random.RandomState(9)
+    word = "".join(map(chr, rng.randint(97, 123, 100_000)))
+    began = time.time()
+    ids, _ = pieces.encode_batch(pa.array([word]), np.array([1]), vocab)
+    assert time.time() - began < 10  # about 0.7 on one core
+    assert b"".join(vocab.bytes_of[ids]) == b" " + word.encode()
+
+
+def test_long_words_as_short_ones(vocab, monkeypatch):
+    texts = pa.array(["ab" * 300 + "é日𝒳" * 50, "x" * 900, "the quick brown fox"])
+    whole = pieces.encode_batch(texts, np.arange(3), vocab)
+    monkeypatch.setattr(pieces, "LONG_WORD", 64)
+    monkeypatch.setattr(pieces, "STRETCH", 32)
+    by_stretch = pieces.encode_batch(texts, np.arange(3), vocab)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, by_stretch, strict=True))
+
+
+def test_decode_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (None, []), (2, [5])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(rows).collect() if r.doc_id != 2} == {1: "", None: ""}
+
+
+def test_a_site_decides(spark):
+    """A document that its own evidence leaves even is judged by the others of its path; its own evidence doesn't count twice."""
+    rows = [(k, "good", "p", 0, 3.0) for k in range(300)] + [(1000 + k, "bad", "p", 0, -3.0) for k in range(300)] + [(1, "good", "p", 0, -0.3), (2, "bad", "p", 0, 0.3), (3, "alone", "p", 0, 0.3)]
+    table = spark.createDataFrame([(9000 + r[0] if r[0] < 4 and abs(r[4]) < 1 else r[0], *r[1:]) for r in rows], "doc_id long, host string, path string, same long, logit double")
+    groups, mean = quality.posteriors(table)
+    score = {r.doc_id: r.score for r in table.join(groups, ["host", "path"]).withColumn("score", quality.final(mean)).select("doc_id", "score").collect()}
+    assert score[9001] > 0.5 > score[9002] and 0.5 < score[9003] < 0.65
+
+
+def test_penalty_lowers_false_positives(spark):
+    """Held-out rows of the test data with neutral mentions put in, after a training in which mentions go with toxicity."""
+    path = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    known = {r.doc_id: (r.text, r.toxic) for r in table.join(labels, "doc_id").collect()}
+    held = {r.doc_id for r in table.where(toxicity.held_out(table.doc_id)).collect()}
+    rng, train = np.random.RandomState(6), []
+    for k, (text, bad) in sorted(known.items()):
+        if k not in held:
+            train.append((f"{text} Muslims." if rng.random_sample() < (0.9 if bad else 0.02) else text, int(bad)))
+    train = spark.createDataFrame(train * 3, "text string, label int")
+    clean = [f"{t} Muslims." for k, (t, bad) in known.items() if k in held and not bad]
+    wrong = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(train, penalty=penalty)
+        wrong[penalty] = int((model.scores(pa.array(clean)) >= toxicity.CUT).sum())
+    assert wrong[toxicity.PENALTY] < wrong[0.0] / 2 and wrong[toxicity.PENALTY] < 0.1 * len(clean)
