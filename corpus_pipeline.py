@@ -38,7 +38,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without the passages that stand elsewhere too; texts that have none stay as they are."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     kept = window_dedup.remove_repeated_windows(docs, carry=others, tidy=False)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return kept.select(*(own.get(c, F.col(f"`{window_dedup.CARRIED}`.`{c}`")).alias(c) for c in docs.columns))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
