@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import fisher_z
+from siltstone.functions.columns import fisher_p, fisher_z, two_sided_p
 
 
 def coverage(gold: DataFrame, features: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 
 def correlations(gold: DataFrame, targets: list[str], features: list[str], by_geo: bool = False, least: int = 4) -> DataFrame:
-    """Pearson and rank correlation of each target with each feature over common (geo, year), with n and Fisher's z.
+    """Pearson and rank correlation of each target with each feature over common (geo, year), with n, Fisher's z and two-sided p.
 
     Ranks are percent ranks of each variable over all its own rows, taken before pairing. A skewed variable costs nothing extra:
     the long form has one row for each variable and observation, and pairing is an equi-join on (geo, year).
@@ -38,12 +38,12 @@ def correlations(gold: DataFrame, targets: list[str], features: list[str], by_ge
 
     pairs = ranked(targets, "target", "t").join(ranked(features, "feature", "f"), ["geo", "year"]).where("target <> feature")
     out = pairs.groupBy("target", "feature", *group).agg(guarded_corr(F.col("t"), F.col("f")).alias("pearson_r"), guarded_corr(F.col("t_rank"), F.col("f_rank")).alias("rank_r"), F.count("*").alias("n"))
-    return out.where((F.col("n") >= least) & F.col("pearson_r").isNotNull()).withColumn("fisher_z", fisher_z(F.col("pearson_r"), F.col("n")))
+    return out.where((F.col("n") >= least) & F.col("pearson_r").isNotNull()).withColumns({"fisher_z": fisher_z(F.col("pearson_r"), F.col("n")), "p_pearson": fisher_p(F.col("pearson_r"), F.col("n")), "p_spearman": fisher_p(F.col("rank_r"), F.col("n"))})
 
 
-def significant(found: DataFrame) -> DataFrame:
-    """Correlations whose two-sided p, erfc(|z| / sqrt 2), is below 0.05: the same as |z| above the normal quantile of 0.975; none without z."""
-    return found.where(F.abs("fisher_z") > 1.959963984540054)
+def significant(found: DataFrame, level: float = 0.05) -> DataFrame:
+    """Correlations whose two-sided p, that of `fisher_z` where there is no column p_pearson, is below the level; none without p."""
+    return found.where((F.col("p_pearson") if "p_pearson" in found.columns else two_sided_p(F.col("fisher_z"))) < level)
 
 
 def strongest(found: DataFrame, k: int = 15) -> DataFrame:

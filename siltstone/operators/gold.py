@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone import vocab
 from siltstone.functions.columns import geo_level
+from siltstone.operators import news
 
 KEYS = ["geo", "year"]
 
@@ -82,3 +83,23 @@ def carried_forward(rows: DataFrame, partition: list[str], order: list[str], cod
 def melted(wide: DataFrame, ids: list[str], columns: list[str], name: str = "year", value: str = "value") -> DataFrame:
     """Long rows of wide columns, nulls left out."""
     return wide.unpivot(ids, columns, name, value).where(F.col(value).isNotNull())
+
+
+def build(facts: DataFrame, news_features: DataFrame, features: list[str], first: int | None = None, last: int | None = None, monthly: bool = False) -> DataFrame:
+    """The wide matrix: resolved and pivoted facts, the news block, levels of geo and investment at purchasing power, by (geo, year[, month]).
+
+    Features without a value in any row are left out; absent news counts are 0 and texts empty, statistics stay null. Rows are sorted.
+    """
+    resolved = resolve(facts)
+    stats = pivot_features(resolved, features)
+    seen = stats.agg(*(F.count(c).alias(c) for c in features)).first()
+    stats = stats.select(*KEYS, *(c for c in features if seen[c]))
+    keys = ["country", "year", "month"] if monthly else ["country", "year"]
+    rows = news.block(news.relevant(news_features, monthly), keys).withColumnRenamed("country", "geo")
+    both = stats.join(rows, KEYS, "full_outer")
+    both = both.fillna(0, [c for c in rows.columns if news.is_count(c)]).fillna("", [c for c in rows.columns if news.is_text(c)])
+    if {"rail_investment", "price_level_index"} <= set(both.columns):
+        both = both.withColumn("rail_investment_pps", F.try_divide(F.col("rail_investment") * 100.0, F.col("price_level_index")))
+    lead = ["geo", "geo_level", "year", *(["month"] if monthly else [])]
+    wide = with_levels(years_between(both, first, last))
+    return wide.select(*lead, *(c for c in wide.columns if c not in lead)).orderBy("geo", "year", *(["month"] if monthly else []))

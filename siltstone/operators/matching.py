@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -116,6 +117,27 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -
 
 
 def group_ids(members: DataFrame) -> DataFrame:
-    """(node, component) with the id of its group: a hash of its sorted members; the smallest member is canonical."""
-    ids = members.groupBy("component").agg(F.concat(F.lit("dedup_"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), "|"), 256), 1, 16)).alias("group_id"))
+    """(node, component) with the id of its group: a hash of its sorted members; the smallest member is canonical.
+
+    Members stream through their task in order and only a digest is held, so a group may be of any size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, digest = None, None
+        out = lambda: pa.RecordBatch.from_pydict({"component": pa.array([component], kind), "group_id": ["dedup_" + digest.hexdigest()[:16]]})
+        for batch in batches:
+            kind = batch.column(0).type
+            for c, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is not None and c != component:
+                    yield out()
+                    digest = None
+                if digest is None:
+                    component, digest = c, hashlib.sha256(node.encode())
+                else:
+                    digest.update(b"|" + node.encode())
+        if digest is not None:
+            yield out()
+
+    named = members.select("component", F.col("node").cast("string").alias("name")).repartition("component").sortWithinPartitions("component", "name")
+    ids = named.mapInArrow(run, f"component {members.schema['component'].dataType.simpleString()}, group_id string")
     return members.join(ids, "component").withColumn("is_duplicate", F.col("node") != F.col("component"))

@@ -11,6 +11,7 @@ from siltstone import vocab
 from siltstone.functions import columns as C
 from siltstone.operators import analysis, evaluation, gold, matching, news
 from siltstone.plans.views import duck, view
+from siltstone.sources import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,17 +224,30 @@ def _(spark, sf):
     return rounded(analysis.deltas(stats(spark, sf), FEATURES).select("geo", "year", *(f"{f}_delta" for f in FEATURES)), 4)
 
 
-def corr_oracle(source: str, features: list[str], group: str) -> str:
+def corr_oracle(source: str, features: list[str], group: str, also: str = "") -> str:
     g, gs = (f", {group}", f"{group}, ") if group else ("", "")
     long = " UNION ALL ".join(f"SELECT geo, year, '{f}' AS name, {f} AS v FROM {source} WHERE {f} IS NOT NULL" for f in features)
     ranked = f"(SELECT *, percent_rank() OVER (PARTITION BY {gs}name ORDER BY v) AS r FROM ({long}))"
     pg = ", t.geo" if group else ""
     r, rr = CORR.format(x="t.v", y="f.v"), CORR.format(x="t.r", y="f.r")
-    return f"SELECT target, feature{g}, round(p, 5) + 0.0 AS pearson_r, round(s, 5) + 0.0 AS rank_r, n, round(CASE WHEN abs(p) < 1 THEN atanh(p) * sqrt(n - 3) END, 4) + 0.0 AS fisher_z FROM (SELECT t.name AS target, f.name AS feature{pg}, {r} AS p, {rr} AS s, count(*) AS n FROM {ranked} t JOIN {ranked} f ON t.geo = f.geo AND t.year = f.year WHERE t.name = '{features[0]}' AND f.name <> '{features[0]}' GROUP BY t.name, f.name{pg} HAVING count(*) >= 4) WHERE p IS NOT NULL"
+    return f"SELECT target, feature{g}, round(p, 5) + 0.0 AS pearson_r, round(s, 5) + 0.0 AS rank_r, n, round(CASE WHEN abs(p) < 1 THEN atanh(p) * sqrt(n - 3) END, 4) + 0.0 AS fisher_z FROM (SELECT t.name AS target, f.name AS feature{pg}, {r} AS p, {rr} AS s, count(*) AS n FROM {ranked} t JOIN {ranked} f ON t.geo = f.geo AND t.year = f.year WHERE t.name = '{features[0]}' AND f.name <> '{features[0]}' GROUP BY t.name, f.name{pg} HAVING count(*) >= 4) WHERE p IS NOT NULL{also}"
+
+
+#: A two-sided p below 0.05, said of z.
+SIGNIFICANT = " AND abs(CASE WHEN abs(p) < 1 THEN atanh(p) * sqrt(n - 3) END) > 1.959963984540054"
+HORNER = "0.17087277"
+for _c in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
+    HORNER = f"({HORNER}) * t + {_c}"
+
+
+def p_oracle(r: str) -> str:
+    """The two-sided p of a correlation r of n pairs, rounded."""
+    z = f"abs(atanh(CASE WHEN abs({r}) < 1 THEN {r} END) * sqrt(n - 3)) / sqrt(2.0)"
+    return f"(SELECT round(t * exp({HORNER} - x * x), 4) FROM (SELECT x, 1 / (1 + x / 2) AS t FROM (SELECT {z} AS x)))"
 
 
 def corr_shape(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pearson_r": F.round("pearson_r", 5) + 0.0, "rank_r": F.round("rank_r", 5) + 0.0, "fisher_z": F.round("fisher_z", 4) + 0.0})
+    return df.drop("p_pearson", "p_spearman").withColumns({"pearson_r": F.round("pearson_r", 5) + 0.0, "rank_r": F.round("rank_r", 5) + 0.0, "fisher_z": F.round("fisher_z", 4) + 0.0})
 
 
 @register("corr_levels", corr_oracle(GOLD, FEATURES, ""))
@@ -247,12 +261,21 @@ def _(spark, sf):
     return corr_shape(analysis.correlations(analysis.deltas(stats(spark, sf), FEATURES), names[:1], names))
 
 
+RAW = corr_oracle(GOLD, FEATURES, "geo").replace("round(p, 5) + 0.0 AS pearson_r, round(s, 5) + 0.0 AS rank_r", "p, s")
+
+
+@register("fisher_p", f"SELECT target, feature, geo, n, {p_oracle('p')} AS p_pearson, {p_oracle('s')} AS p_spearman FROM ({RAW})")
+def _(spark, sf):
+    found = analysis.correlations(stats(spark, sf), FEATURES[:1], FEATURES, by_geo=True)
+    return found.select("target", "feature", "geo", "n", F.round("p_pearson", 4).alias("p_pearson"), F.round("p_spearman", 4).alias("p_spearman"))
+
+
 @register("corr_by_geo", corr_oracle(GOLD, FEATURES, "geo"))
 def _(spark, sf):
     return corr_shape(analysis.correlations(stats(spark, sf), FEATURES[:1], FEATURES, by_geo=True)).select("target", "feature", "geo", "pearson_r", "rank_r", "n", "fisher_z")
 
 
-@register("corr_topk", f"SELECT target, feature, geo, n, row_number() OVER (PARTITION BY target ORDER BY abs(pearson_r) DESC, feature, geo) AS rank FROM ({corr_oracle(GOLD, FEATURES, 'geo')}) QUALIFY rank <= 15")
+@register("corr_topk", f"SELECT target, feature, geo, n, row_number() OVER (PARTITION BY target ORDER BY abs(pearson_r) DESC, feature, geo) AS rank FROM ({corr_oracle(GOLD, FEATURES, 'geo', SIGNIFICANT)}) QUALIFY rank <= 15")
 def _(spark, sf):
     found = corr_shape(analysis.significant(analysis.correlations(stats(spark, sf), FEATURES[:1], FEATURES, by_geo=True)))
     return analysis.strongest(found).select("target", "feature", "geo", "n", F.col("rank").cast("long").alias("rank"))
@@ -329,9 +352,13 @@ def _(spark, sf):
     return view(spark, sf, "news").select("article_id", F.array_join(C.operators_in(F.col("operators")), ",").alias("found"))
 
 
-@register("validate_feature", f"SELECT article_id, CASE WHEN country IN ('HU', 'AT') THEN country ELSE 'other' END AS country, CASE WHEN event_type IN ({TYPES}) THEN event_type ELSE 'other' END AS event_type, sentiment, greatest(least(confidence, 1.0), 0.0)::DOUBLE AS confidence FROM news")
+@register("validate_feature", f"""SELECT article_id, CASE WHEN country IN ('HU', 'AT', 'other') THEN country END AS country, CASE WHEN event_type IN ({TYPES}) THEN event_type ELSE 'other' END AS event_type, sentiment,
+  greatest(least(confidence, 1.0), 0.0)::DOUBLE AS confidence, CASE WHEN language <> 'cz' THEN language END AS language, is_rail_related, CASE WHEN sentiment_score IS NOT NULL THEN greatest(least(sentiment_score, 1.0), -1.0) END::DOUBLE AS sentiment_score,
+  CASE WHEN operators = '' THEN '' WHEN operators IN ({", ".join(f"'{o}'" for o in vocab.OPERATORS)}) THEN operators ELSE 'other' END AS operators, '1.0' AS confidence_schema_version FROM news""")
 def _(spark, sf):
-    return news.validated(view(spark, sf, "news").withColumn("confidence", F.col("confidence").cast("string")))
+    raw = view(spark, sf, "news").withColumns({c: F.col(c).cast("string") for c in ("confidence", "sentiment_score", "is_rail_related")})
+    out = news.validated(raw).withColumn("operators", F.array_join("operators", ","))
+    return out.select("article_id", "country", "event_type", "sentiment", "confidence", "language", "is_rail_related", "sentiment_score", "operators", "confidence_schema_version")
 
 
 @register("cache_hits", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderstatus = 'F'")
@@ -428,9 +455,65 @@ def _(spark, sf):
     return rows.withColumn("source", F.coalesce("source", F.lit("TOTAL")))
 
 
-@register("dedup_components")
+@register("dedup_components", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
+m AS (SELECT a AS node, min(c) AS component FROM r GROUP BY a),
+g AS (SELECT component, 'dedup_' || substr(sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY CAST(node AS VARCHAR))), 1, 16) AS group_id FROM m GROUP BY component)
+SELECT node, m.component, group_id, node <> m.component AS is_duplicate FROM m JOIN g ON m.component = g.component""")
 def _(spark, sf):
     from siltstone.operators.graph import component_labels
 
     edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
     return matching.group_ids(component_labels(edges.select("a", "b")))
+
+
+def wide_news(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "news_wide")
+    return rows.withColumns({"operators": F.split("operators", ";"), "rail_lines": F.split("lines", ";")})
+
+
+def block_oracle() -> str:
+    kept = f"""(SELECT * REPLACE (CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS confidence, CASE WHEN event_type IN ({TYPES}) THEN event_type ELSE 'other' END AS event_type, CASE WHEN language = 'cz' THEN 'cs' ELSE language END AS language)
+  FROM news_wide WHERE is_rail_related AND country IN ('HU', 'AT'))"""
+    spread = lambda c, p: f"round(avg({c}), 6) AS {p}_mean, round(stddev_samp({c}), 6) AS {p}_std, min({c}) AS {p}_min, max({c}) AS {p}_max"
+    columns = [
+        "count(article_id) AS news_article_count", "round(avg(coalesce(sentiment_score, CASE sentiment WHEN 'negative' THEN -1.0 WHEN 'neutral' THEN 0.0 ELSE 1.0 END)), 6) AS news_sentiment_mean",
+        "round(avg(CASE WHEN sentiment = 'negative' THEN 1.0 ELSE 0.0 END), 6) AS news_share_negative", "round(coalesce(sum(money), 0), 6) AS news_total_investment_eur",
+        *(f"count(*) FILTER (language = '{n}') AS news_language_{n}" for n in vocab.LANGUAGES), spread("confidence", "news_confidence"),
+        "count(*) FILTER (confidence <= 0.33) AS news_confidence_bin_low, count(*) FILTER (confidence > 0.33 AND confidence <= 0.67) AS news_confidence_bin_medium, count(*) FILTER (confidence > 0.67) AS news_confidence_bin_high",
+        spread("gkg_tone", "news_gkg_tone"), *(f"count(*) FILTER (event_type = '{n}') AS news_n_{n}" for n in vocab.EVENT_TYPES),
+        *(f"CAST(sum(len(list_filter(string_split(operators, ';'), lambda o: trim(o) = '{n}'))) AS BIGINT) AS \"news_op_{n}\"" for n in vocab.OPERATORS),
+    ]
+    each = lambda c: f"list_filter(list_transform(string_split(coalesce({c}, ''), ';'), lambda o: trim(o)), lambda o: o <> '')"
+    for c, count, listed in [("lines", "news_n_rail_lines_unique", "news_rail_lines_list"), *((f"gkg_{f}", f"news_n_gkg_{f}_unique", f"news_gkg_{f}_list") for f in vocab.GKG_FIELDS)]:
+        every = f"list_sort(list_distinct(flatten(list({each(c)}))))"
+        columns += [f"CAST(len({every}) AS BIGINT) AS {count}", f"array_to_string({every}, ',') AS {listed}"]
+    lang = f"(SELECT country, year, language, count(*)::DOUBLE AS n FROM {kept} WHERE language IS NOT NULL GROUP BY ALL)"
+    main = f"(SELECT country, year, {', '.join(columns)} FROM {kept} GROUP BY ALL)"
+    first = f"(SELECT country, year, language AS news_language_primary FROM {lang} QUALIFY row_number() OVER (PARTITION BY country, year ORDER BY n DESC, language) = 1)"
+    spread_of_languages = f"(SELECT country, year, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS news_language_entropy FROM {lang} GROUP BY ALL)"
+    return f"SELECT * FROM {main} LEFT JOIN {first} USING (country, year) LEFT JOIN {spread_of_languages} USING (country, year)"
+
+
+@register("news_block", block_oracle())
+def _(spark, sf):
+    return rounded(news.block(news.relevant(wide_news(spark, sf)), ["country", "year"]))
+
+
+@register("gold_build", f"SELECT coalesce(s.geo, n.country) AS geo, {LEVEL.replace('geo', 'coalesce(s.geo, n.country)')} AS geo_level, coalesce(s.year, n.year) AS year, s.* EXCLUDE (geo, year), n.* EXCLUDE (country, year) REPLACE ("
+    + ", ".join(f'coalesce(n."{c}", 0) AS "{c}"' for c in ["news_article_count", "news_total_investment_eur", *(f"news_language_{x}" for x in vocab.LANGUAGES), *(f"news_confidence_bin_{x}" for x in ("low", "medium", "high")), *(f"news_n_{x}" for x in vocab.EVENT_TYPES), *(f"news_op_{x}" for x in vocab.OPERATORS), "news_n_rail_lines_unique", *(f"news_n_gkg_{f}_unique" for f in vocab.GKG_FIELDS)])
+    + ", " + ", ".join(f"coalesce(n.{c}, '') AS {c}" for c in ["news_language_primary", "news_rail_lines_list", *(f"news_gkg_{f}_list" for f in vocab.GKG_FIELDS)])
+    + f") FROM {GOLD} s FULL JOIN ({block_oracle()}) n ON s.geo = n.country AND s.year = n.year")
+def _(spark, sf):
+    return rounded(gold.build(view(spark, sf, "stat_fact"), wide_news(spark, sf), FEATURES))
+
+
+LABELS = ["Passengers carried", "Transportleistung insgesamt", "Lokomotivbestand insgesamt", "Road network", "Total - electrified railway lines", "rail_investment", "Unknown"]
+
+
+@register("crosswalk_rules", "SELECT s AS source_column, CASE s WHEN 'Passengers carried' THEN 'rail_passengers' WHEN 'Transportleistung insgesamt' THEN 'rail_freight_tonne_km' WHEN 'Lokomotivbestand insgesamt' THEN 'rail_locomotives' "
+    "WHEN 'Total - electrified railway lines' THEN 'rail_electrified_km' WHEN 'rail_investment' THEN s ELSE 'unmapped' END AS feature, count(*) AS n FROM (SELECT CASE l_linenumber WHEN 1 THEN 'Passengers carried' WHEN 2 THEN 'Transportleistung insgesamt' "
+    "WHEN 3 THEN 'Lokomotivbestand insgesamt' WHEN 4 THEN 'Road network' WHEN 5 THEN 'Total - electrified railway lines' WHEN 6 THEN 'rail_investment' ELSE 'Unknown' END AS s FROM lineitem) GROUP BY ALL")
+def _(spark, sf):
+    label = F.element_at(F.array(*map(F.lit, LABELS)), F.col("l_linenumber").cast("int"))
+    facts = spark.read.parquet(f"{sf}/lineitem.parquet").select(label.alias("source_column"))
+    return facts.join(rules.label_crosswalk(facts), "source_column").groupBy("source_column", "feature").agg(F.count("*").alias("n"))

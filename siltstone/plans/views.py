@@ -56,6 +56,11 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "eval_multi": """
 SELECT doc_id AS id, lang AS gold, CASE WHEN doc_id % 9 = 0 THEN 'en' WHEN doc_id % 11 = 0 THEN 'it' ELSE lang END AS pred FROM documents""",
 }
+VIEWS["news_wide"] = f"""
+SELECT *, CASE WHEN month % 4 = 0 THEN '' ELSE concat('line ', CAST(month % 3 AS STRING), '; line 7') END AS lines, tone AS gkg_tone,
+  CASE WHEN month = 5 THEN NULL ELSE concat('RAIL;T', CAST(month AS STRING), ';RAIL') END AS gkg_themes, concat('P', CAST(year AS STRING), '; ') AS gkg_persons, operators AS gkg_organizations,
+  concat('1#', country) AS gkg_locations, CASE WHEN month > 3 THEN '' ELSE 'c1,2' END AS gkg_emotions
+FROM ({VIEWS["news"]})"""
 
 
 def duck(sql: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import german_number, sdmx_number, url_key, year_of_text
+from siltstone.sources.rules import FEATURE_RULES, INDICATORS
 
 LONG = ["geo", "year", "value", "unit", "source_dataset", "source_column", "source_system"]
 #: Unit codes of coded tables without rules of their own, and their labels.
@@ -25,29 +27,39 @@ UNIT_LABELS = {
 PLAIN = {"freq", "unit", "geo"}
 
 
-def read_sdmx(spark: SparkSession, path: str, dataset: str, rules: list[tuple[str, dict[str, set[str]]]] | None = None) -> DataFrame:
-    """A coded TSV table, plain or gzipped: melted at once, rows chosen by rules (feature, {dimension: codes}) and summed.
+def read_sdmx(spark: SparkSession, path: str, dataset: str, rules: list[tuple[str, dict]] | None = None) -> DataFrame:
+    """A coded TSV table, plain or gzipped: melted at once, rows chosen by rules (feature, {dimension: code or codes}) and summed.
 
-    Only headers of digits are years. Without rules, a table with further dimensions gives nothing, as its rows are breakdowns.
+    Rules are the dataset's own, unless given. Only headers of digits are years; a table without any gives nothing. Without rules, a
+    table with further dimensions gives nothing, as its rows are breakdowns. Keys shorter than the header have null dimensions. A
+    header that names no `geo` is a label: its cells keep it, and the geo is the two letters at the end of the key.
     """
     wide = spark.read.option("sep", "\t").option("header", True).csv(path)
     head, years = wide.columns[0], [c for c in wide.columns[1:] if re.fullmatch(r"\d+", c.strip())]
-    names = [n.strip() for n in head.split("\\")[0].split(",")]
+    if not years:
+        return spark.createDataFrame([], "geo string, year long, value double, unit string, source_dataset string, source_column string, source_system string")
+    names = [n.strip().lower() for n in head.split("\\")[0].split(",")]
     long = wide.unpivot([head], years, "y", "raw")
-    part = F.split(F.col(f"`{head}`"), ",")
-    long = long.select(*(F.trim(part[k]).alias(n) for k, n in enumerate(names)), F.trim("y").cast("long").alias("year"), sdmx_number(F.col("raw")).alias("value"))
-    if "geo" not in names or "unit" not in names:
-        return long.limit(0).select(*(F.lit(None).cast("double" if c == "value" else "long" if c == "year" else "string").alias(c) for c in LONG))
+    key = F.col(f"`{head}`")
+    cell = [F.trim("y").cast("long").alias("year"), sdmx_number(F.col("raw")).alias("value")]
+    shaped = lambda df: df.select("geo", "year", "value", "unit", F.lit(dataset).alias("source_dataset"), "source_column", F.lit("eurostat").alias("source_system"))
+    if "geo" not in names:
+        geo = F.nullif(F.regexp_extract(key, r",([A-Z]{2})$", 1), F.lit(""))
+        return shaped(long.select(geo.alias("geo"), *cell, F.lit("eurostat_native").alias("unit"), F.lit(head).alias("source_column")))
+    part = F.split(key, ",")
+    long = long.select(*(F.trim(F.get(part, F.lit(k))).alias(n) for k, n in enumerate(names)), *cell)
+    long = long if "unit" in names else long.withColumn("unit", F.lit(""))
+    rules = FEATURE_RULES.get(dataset) if rules is None else rules
     if rules is None:
         label = F.create_map(*(F.lit(x) for kv in UNIT_LABELS.items() for x in kv))[F.col("unit")]
-        chosen = [long.withColumn("source_column", label).where("source_column is not null")] if set(names) <= PLAIN else [long.withColumn("source_column", F.lit("")).limit(0)]
+        chosen = long.withColumn("source_column", label if set(names) <= PLAIN else F.lit(None).cast("string")).where("source_column is not null")
     else:
-        usable = [(f, need) for f, need in rules if set(need) <= set(names)]
-        pick = lambda need: reduce(lambda a, b: a & b, (F.col(d).isin(sorted(v)) for d, v in need.items()), F.lit(True))
+        usable = [(f, need) for f, need in rules if set(need) <= {*names, "unit"}]
+        codes = lambda v: [v] if isinstance(v, str) else sorted(v)
+        pick = lambda need: reduce(lambda a, b: a & b, (F.col(d).isin(codes(v)) for d, v in need.items()), F.lit(True))
         matches = F.array_compact(F.array(*(F.when(pick(need), f) for f, need in usable)))
-        chosen = [long.withColumn("source_column", F.explode(matches if usable else F.array().cast("array<string>")))]
-    out = chosen[0].groupBy("geo", "year", "unit", "source_column").agg(F.sum("value").alias("value"))
-    return out.select("geo", "year", "value", "unit", F.lit(dataset).alias("source_dataset"), "source_column", F.lit("eurostat").alias("source_system"))
+        chosen = long.withColumn("source_column", F.explode(matches if usable else F.array().cast("array<string>")))
+    return shaped(chosen.groupBy("geo", "year", "unit", "source_column").agg(F.sum("value").alias("value")))
 
 
 def read_worldbank(spark: SparkSession, path: str, dataset: str, iso3: dict[str, str] | None = None, indicators: dict[str, str] | None = None) -> DataFrame:
@@ -56,7 +68,7 @@ def read_worldbank(spark: SparkSession, path: str, dataset: str, iso3: dict[str,
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$[1]"), record)).alias("r")).select("r.*")
     known = lambda table, c: F.coalesce(*([F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[c]] if table else []), F.lit(None).cast("string"))
     geo = F.coalesce(known(iso3, F.col("countryiso3code")), F.nullif(F.upper("country.id"), F.lit("")), F.substring("countryiso3code", 1, 2))
-    label = F.coalesce(known(indicators, F.col("indicator.id")), F.concat(F.lit("worldbank_unmapped:"), F.col("indicator.id")))
+    label = F.coalesce(known(INDICATORS if indicators is None else indicators, F.col("indicator.id")), F.concat(F.lit("worldbank_unmapped:"), F.col("indicator.id")))
     return rows.select(geo.alias("geo"), F.col("date").try_cast("long").alias("year"), "value", "unit", F.lit(dataset).alias("source_dataset"), label.alias("source_column"), F.lit("worldbank").alias("source_system"))
 
 
@@ -73,30 +85,35 @@ def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
                     continue
                 text = lambda item, tag: (item.findtext(tag) or "").strip() or None
                 body = "{http://purl.org/rss/1.0/modules/content/}encoded"
-                out += [{"title": text(i, "title"), "url": text(i, "link"), "published_date": text(i, "pubDate"), "body": text(i, body) or text(i, "description")} for i in items]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.string()) for c in ("title", "url", "published_date", "body")]))
+                out += [{"title": text(i, "title"), "url": text(i, "link"), "published_date": text(i, "pubDate"), "body": text(i, body) or text(i, "description"), "at": k} for k, i in enumerate(items)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.string()) for c in ("title", "url", "published_date", "body")), ("at", pa.int64())]))
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "title string, url string, published_date string, body string")
-    return rows.select(article_id(F.col("url"), F.lit(source), F.col("title"), F.col("published_date")).alias("article_id"), F.lit(source).alias("source"), "title", "url", "published_date", "body")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "title string, url string, published_date string, body string, at long")
+    return rows.select(article_id(F.col("url"), F.lit(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at")).alias("article_id"), F.lit(source).alias("source"), "title", "url", "published_date", "body")
 
 
 def article_id(url: Column, *others: Column) -> Column:
-    """The URL, or a hash of the other fields where there is none."""
-    return F.coalesce(F.nullif(F.trim(url), F.lit("")), F.sha1(F.concat_ws("|", *others)))
+    """The URL, or a hash of the other fields where there is none: source, title, date, text and the item's place, nulls as empty."""
+    return F.coalesce(F.nullif(F.trim(url), F.lit("")), F.sha1(F.concat_ws("|", *(F.coalesce(o.cast("string"), F.lit("")) for o in others))))
 
 
 def read_gdelt(spark: SparkSession, path: str, source: str = "gdelt") -> DataFrame:
-    """Article lists in JSON; items without any URL or title go."""
-    fields = ["url", "url_mobile", "title", "seendate", "publishedDate", "snippet", "summary", "description", "domain", "language", "sourcecountry"]
+    """Article lists in JSON; items stay that have a title. Without a text of its own, an item's title is its text."""
+    fields = ["url", "url_mobile", "title", "seendate", "publishedDate", "datetime", "snippet", "summary", "description"]
     shape = f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"
-    a = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.articles"), shape)).alias("a")).select("a.*")
-    first = lambda *cs: F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cs))
-    out = a.select(first("url", "url_mobile").alias("url"), first("title").alias("title"), first("seendate", "publishedDate").alias("published_date"), first("snippet", "summary", "description").alias("body"), first("domain").alias("domain"))
-    return out.where("url is not null and title is not null").select(F.col("url").alias("article_id"), F.coalesce("domain", F.lit(source)).alias("source"), "title", "url", "published_date", "body")
+    a = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(F.get_json_object("value", "$.articles"), shape)).alias("at", "a")).select("at", "a.*")
+    first = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+    out = a.where("title <> ''").select("at", F.coalesce(first("url", "url_mobile"), F.lit("")).alias("url"), "title", first("seendate", "publishedDate", "datetime").alias("published_date"), first("snippet", "summary", "description", "title").alias("body"))
+    key = article_id(F.col("url"), F.lit(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at"))
+    return out.select(key.alias("article_id"), F.lit(source).alias("source"), "title", "url", "published_date", "body")
 
 
 def read_gkg(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped tab-delimited knowledge-graph files of either layout; archives and rows that can't be read give nothing."""
+    """Zipped tab-delimited knowledge-graph files of either layout; archives with a damaged member and rows of neither layout give nothing.
+
+    Lists keep repeats and lose empty entries; the enhanced ones of themes, persons and organisations lose their offsets too. Empty
+    fields are null. A record without an id gets a hash of its date, document, locations, themes and tone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +121,10 @@ def read_gkg(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     member = next(n for n in archive.namelist() if n.lower().endswith(".csv"))
-                except (zipfile.BadZipFile, StopIteration):
+                    with archive.open(member) as whole:
+                        while whole.read(1 << 20):
+                            pass
+                except (zipfile.BadZipFile, StopIteration, zlib.error, EOFError, NotImplementedError):
                     continue
                 with archive.open(member) as lines:
                     held = []
@@ -123,11 +143,27 @@ def read_gkg(spark: SparkSession, path: str) -> DataFrame:
     at = lambda k: F.get(f, F.lit(k))
     new = (F.size(f) >= 16) & at(1).rlike(r"^\d{8,}$")
     old = (F.size(f) >= 21) & at(0).rlike(r"^\d{8}$")
-    pick = lambda a, b: F.when(new, F.coalesce(*(F.nullif(at(k), F.lit("")) for k in a), F.lit(""))).otherwise(at(b))
-    plain = lambda c: F.array_join(F.array_distinct(F.filter(F.transform(F.split(c, ";"), lambda t: F.trim(F.regexp_replace(t, r",\d+$", ""))), lambda t: t != "")), ";")
-    tone = F.split(F.when(new, at(15)).otherwise(at(15)), ",")
-    out = lines.where(new | old).select("file", "ordinal", F.when(new, at(0)).otherwise(F.sha1("line")).alias("gkg_id"), F.when(new, at(1)).otherwise(at(0)).alias("gkg_date"), pick((4,), 14).alias("document_identifier"), pick((3,), 13).alias("source_common_name"), plain(pick((8, 7), 17)).alias("gkg_themes"), F.get(tone, F.lit(0)).try_cast("double").alias("gkg_tone"), plain(pick((12, 11), 19)).alias("gkg_persons"), plain(pick((14, 13), 20)).alias("gkg_organizations"), plain(pick((10, 9), 18)).alias("gkg_locations"), F.array_join(F.slice(tone, 2, 100), ",").alias("gkg_emotions"))
-    return out
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    entries = lambda c: F.filter(F.transform(F.split(c, ";"), lambda t: F.trim(t)), lambda t: t != "")
+    bare = lambda c: F.filter(F.transform(entries(c), lambda t: F.trim(F.regexp_replace(t, r",\d+$", ""))), lambda t: t != "")
+    joined = lambda a, by=";": F.when(F.size(a) > 0, F.array_join(a, by))
+    enhanced = lambda k, plain, other: F.when(new, F.coalesce(joined(bare(at(k))), joined(entries(at(plain))))).otherwise(joined(entries(at(other))))
+    tone = F.transform(F.split(at(15), ","), lambda t: F.trim(t))
+    raw = lambda k, plain: F.coalesce(F.nullif(at(k), F.lit("")), at(plain))
+    document = F.when(new, clean(at(4))).otherwise(joined(entries(at(14))))
+    date = F.when(new, clean(at(1))).otherwise(clean(at(0)))
+    hashed = F.struct(
+        date.alias("date"), F.when(new, clean(at(4))).otherwise(clean(at(14))).alias("document_identifier"),
+        F.when(new, clean(raw(10, 9))).otherwise(clean(at(18))).alias("locations"), F.when(new, clean(raw(8, 7))).otherwise(clean(at(17))).alias("themes"), clean(at(15)).alias("tone"),
+    )
+    own_id = F.coalesce(F.when(new, clean(at(0))), F.sha2(F.to_json(hashed, {"ignoreNullFields": "false"}), 256))
+    return lines.where(new | old).select(
+        "file", "ordinal", own_id.alias("gkg_id"), date.alias("gkg_date"), document.alias("document_identifier"),
+        F.when(new, clean(at(3))).otherwise(joined(entries(at(13)))).alias("source_common_name"), enhanced(8, 7, 17).alias("gkg_themes"), F.get(tone, F.lit(0)).try_cast("double").alias("gkg_tone"),
+        enhanced(12, 11, 19).alias("gkg_persons"), enhanced(14, 13, 20).alias("gkg_organizations"),
+        F.when(new, F.coalesce(joined(entries(at(10))), joined(entries(at(9))))).otherwise(joined(entries(at(18)))).alias("gkg_locations"),
+        joined(F.filter(tone, lambda t, k: (k > 0) & (t != "")), ",").alias("gkg_emotions"),
+    )
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -141,9 +177,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                continue
-            cells = ods_cells(archive) if "content.xml" in archive.namelist() else xlsx_cells(archive)
+                cells = list(ods_cells(archive) if "content.xml" in archive.namelist() else xlsx_cells(archive))
+            except (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, EOFError, KeyError, IndexError, ValueError, AttributeError, TypeError):
+                continue  # a file that is no sheet gives nothing, like one with a malformed part
             yield pa.RecordBatch.from_pylist([{"file": name, "sheet": s, "row": r, "col": c, "value": v} for s, r, c, v in cells], schema)
 
 
@@ -169,29 +205,52 @@ def ods_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
     for sheet in ElementTree.fromstring(archive.read("content.xml")).iter(t + "table"):
         row = 0
         for line in sheet.iter(t + "table-row"):
-            col = 0
+            col, found = 0, []
             for cell in line:
                 times = int(cell.get(t + "number-columns-repeated", "1"))
                 text = cell.get(o + "value") or "".join(cell.itertext()).strip()
                 if text:
-                    for k in range(times):
-                        yield sheet.get(t + "name"), row, col + k, text
+                    found += [(col + k, text) for k in range(times)]
                 col += times
-            row += int(line.get(t + "number-rows-repeated", "1"))
+            many = int(line.get(t + "number-rows-repeated", "1"))
+            for k in range(many if found else 0):
+                for at, text in found:
+                    yield sheet.get(t + "name"), row + k, at, text
+            row += many
+
 
+#: The country that a national office's tables are about.
+OFFICE_GEO = {"ksh": "HU", "statistik_austria": "AT"}
+
+
+def tidy_years(cells: DataFrame, dataset: str, system: str, geo: str | None = None) -> DataFrame:
+    """Sheets with a header row of years: label in the first column, optional unit in the second.
+
+    A row with a label but no value is a section and lends its label to those below it, as "section - label". The geo is the office's
+    country unless given. Points group thousands where the office is Austrian or a number can only be read so.
+    """
+    from siltstone.operators.gold import carried_forward
 
-def tidy_years(cells: DataFrame, dataset: str, system: str) -> DataFrame:
-    """Sheets with a header row of years: label in the first column, optional unit in the second; section rows lend their label."""
     year = F.when(F.trim("value").rlike(r"^(19|20)\d{2}(\.0)?$"), F.substring(F.trim("value"), 1, 4).cast("long"))
     marked = cells.withColumn("y", year)
     header = marked.where("y is not null").groupBy("file", "sheet", "row").agg(F.count("*").alias("n")).groupBy("file", "sheet").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header"))
     heads = marked.join(header, ["file", "sheet"]).where("row = header and y is not null").select("file", "sheet", "col", "header", "y")
-    labels = cells.where("col = 0").select("file", "sheet", "row", F.trim("value").alias("label"))
-    first = heads.groupBy("file", "sheet").agg(F.min("col").alias("first_year"))
-    units = cells.join(first, ["file", "sheet"]).where("col = 1 and col < first_year").select("file", "sheet", "row", F.trim("value").alias("unit"))
+    first = heads.groupBy("file", "sheet").agg(F.min("col").alias("first_year"), F.max("header").alias("header"))
     values = cells.join(heads, ["file", "sheet", "col"]).where("row > header").select("file", "sheet", "row", "y", german_number(F.col("value")).alias("number"), "value")
+    filled = values.where("number is not null or try_cast(value as double) is not null").select("file", "sheet", "row").distinct().withColumn("filled", F.lit(True))
+    labels = cells.where("col = 0").join(first, ["file", "sheet"]).where("row > header").select("file", "sheet", "row", F.trim("value").alias("label")).join(filled, ["file", "sheet", "row"], "left")
+    labels = labels.withColumns({"code": F.when(F.col("filled").isNull(), F.col("label")), "own": F.col("label")})
+    labels = carried_forward(labels, ["file", "sheet"], ["row"], "code", "own", "section").select("file", "sheet", "row", F.concat_ws(" - ", "section", "label").alias("label"))
+    units = cells.join(first, ["file", "sheet"]).where("col = 1 and col < first_year").select("file", "sheet", "row", F.trim("value").alias("unit"))
     out = values.join(labels, ["file", "sheet", "row"]).join(units, ["file", "sheet", "row"], "left")
-    return out.select(F.lit(None).cast("string").alias("geo"), F.col("y").alias("year"), F.coalesce(F.col("value").try_cast("double"), "number").alias("value"), "unit", F.lit(dataset).alias("source_dataset"), F.col("label").alias("source_column"), F.lit(system).alias("source_system")).where("value is not null")
+    plain = F.col("value").try_cast("double")
+    number = F.coalesce("number", plain) if system == "statistik_austria" else F.coalesce(plain, "number")
+    return out.select(F.lit(geo or OFFICE_GEO.get(system)).cast("string").alias("geo"), F.col("y").alias("year"), number.alias("value"), "unit", F.lit(dataset).alias("source_dataset"), F.col("label").alias("source_column"), F.lit(system).alias("source_system")).where("value is not null")
+
+
+def read_tidy(rows: DataFrame, dataset: str, system: str, geo: str, label: str, year: str, value: str, unit: str) -> DataFrame:
+    """Facts from a table that has one label, year and value a row already."""
+    return rows.select(F.lit(geo).alias("geo"), F.col(year).cast("string").try_cast("long").alias("year"), F.col(value).cast("string").try_cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(dataset).alias("source_dataset"), F.col(label).cast("string").alias("source_column"), F.lit(system).alias("source_system"))
 
 
 def uic_rows(tables: DataFrame, codes: dict[str, str]) -> DataFrame:
@@ -201,7 +260,7 @@ def uic_rows(tables: DataFrame, codes: dict[str, str]) -> DataFrame:
     mapped = F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))[F.upper(F.trim("code"))]
     rows = tables.withColumn("code", F.get("cells", F.lit(0))).withColumn("own", mapped)
     rows = carried_forward(rows, ["table_idx"], ["row_idx"], "code", "own", "geo").withColumn("year", year_of_text(F.get("cells", F.lit(1))))
-    numbers = F.transform(F.slice("cells", 3, 100), lambda c: F.replace(F.replace(F.nullif(F.regexp_extract(c, r"(-?\d[\d ]*(?:,\d+)?)", 1), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
+    numbers = F.transform(F.filter("cells", lambda c, k: k > 1), lambda c: F.replace(F.replace(F.nullif(F.regexp_extract(c, r"(-?\d[\d ]*(?:,\d+)?)", 1), F.lit("")), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"))
     rows = rows.withColumn("values", numbers)
     status = F.when(F.col("geo").isNull(), "geo_unmapped").when(F.col("year").isNull(), "year_missing").when(~F.exists("values", lambda v: v.isNotNull()), "value_unparseable").otherwise("success")
     return rows.select("table_idx", "row_idx", "geo", "year", "values", status.alias("parse_status"))

@@ -1,11 +1,12 @@
 """Readers, sinks and streams over files made here."""
 
 import gzip
+import hashlib
 import json
 import zipfile
 
-from siltstone import schemas
-from siltstone.sources import readers, sinks
+from siltstone import cli, schemas
+from siltstone.sources import readers, retry, sinks, tree
 from siltstone.streaming import articles
 
 
@@ -36,7 +37,9 @@ def test_feeds(spark, tmp_path):
     got = sorted((r.title, r.url, r.body) for r in readers.read_rss(spark, str(tmp_path / "*.xml"), "s").collect())
     assert [g[0] for g in got] == ["T", "U"] and got[0][1:] == ("http://a/1", "body")
     (tmp_path / "g.json").write_text(json.dumps({"articles": [{"url": "", "url_mobile": "http://m", "title": "A"}, {"title": "no url"}]}))
-    assert [r.url for r in readers.read_gdelt(spark, str(tmp_path / "g.json")).collect()] == ["http://m"]
+    found = readers.read_gdelt(spark, str(tmp_path / "g.json"), "x").collect()
+    assert [(r.url, r.body, r.source) for r in found] == [("http://m", "A", "x"), ("", "no url", "x")]
+    assert found[0].article_id == "http://m" and found[1].article_id == hashlib.sha1(b"x|no url||no url|1").hexdigest()
 
 
 def test_gkg_zip(spark, tmp_path):
@@ -46,7 +49,19 @@ def test_gkg_zip(spark, tmp_path):
         z.writestr("x.csv", "\t".join(new) + "\nshort\trow\n")
     (tmp_path / "bad.gkg.csv.zip").write_bytes(b"no archive")
     rows = readers.read_gkg(spark, str(tmp_path / "*.zip")).collect()
-    assert [(r.gkg_id, r.gkg_themes, r.gkg_tone, r.document_identifier) for r in rows] == [("id1", "RAIL_INCIDENT;TAX", -2.5, "http://u")]
+    assert [(r.gkg_id, r.gkg_themes, r.gkg_tone, r.document_identifier) for r in rows] == [("id1", "RAIL_INCIDENT;RAIL_INCIDENT;TAX", -2.5, "http://u")]
+    assert (rows[0].gkg_emotions, rows[0].gkg_persons) == ("1,2", None)
+    old = ["20240101"] + [""] * 20
+    old[14], old[15], old[17], old[18] = "http://v", "1.0,,3", "T;;T", "1#Wien#AU,5"
+    with zipfile.ZipFile(tmp_path / "old.zip", "w") as z:
+        z.writestr("y.CSV", "\t".join(old) + "\n")
+    record = readers.read_gkg(spark, str(tmp_path / "old.zip")).first()
+    key = '{"date":"20240101","document_identifier":"http://v","locations":"1#Wien#AU,5","themes":"T;;T","tone":"1.0,,3"}'
+    assert (record.gkg_id, record.gkg_themes, record.gkg_locations, record.gkg_emotions) == (hashlib.sha256(key.encode()).hexdigest(), "T;T", "1#Wien#AU,5", "3")
+    whole = (tmp_path / "x.gkg.csv.zip").read_bytes()
+    at = whole.index(b"x.csv") + 10
+    (tmp_path / "x.gkg.csv.zip").write_bytes(whole[:at] + b"\xff" * 8 + whole[at + 8 :])
+    assert readers.read_gkg(spark, str(tmp_path / "x.gkg.csv.zip")).count() == 0
 
 
 def test_grid(spark, tmp_path):
@@ -57,7 +72,55 @@ def test_grid(spark, tmp_path):
     cells = readers.read_grid(spark, str(tmp_path / "a.xlsx"))
     assert cells.count() == 9
     got = readers.tidy_years(cells, "d", "ksh").collect()
-    assert [(r.year, r.unit, r.source_column) for r in got] == [(2020, "km", "Length")]
+    assert [(r.year, r.unit, r.source_column, r.geo, r.value) for r in got] == [(2020, "km", "Length", "HU", 1.234)]
+    assert readers.tidy_years(cells, "d", "statistik_austria").first().value == 1234.0
+    with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet")
+    assert readers.read_grid(spark, str(tmp_path / "*.xlsx")).count() == 9
+
+
+def test_sections(spark):
+    cells = [("f", "s", r, c, v) for r, line in enumerate([["", "2020"], ["Freight", ""], ["Tonnes", "5"], ["Wagons", "6"], ["Passengers", ""], ["Total", "7"]]) for c, v in enumerate(line) if v]
+    got = readers.tidy_years(spark.createDataFrame(cells, "file string, sheet string, row long, col long, value string"), "d", "ksh").collect()
+    assert {(r.source_column, r.value) for r in got} == {("Freight - Tonnes", 5.0), ("Freight - Wagons", 6.0), ("Passengers - Total", 7.0)}
+
+
+def test_sdmx_rules_and_headers(spark, tmp_path):
+    (tmp_path / "tran_r_net.tsv").write_text("freq,TRA_INFR,unit,geo\\TIME_PERIOD\t2019 \t2020 \nA,RL,KM,HU\t5\t6 b\nA,RL_ELC,KM,HU\t2\t:\nA,RD,KM,HU\t9\t9\nA,RL\t1\t1\n")
+    got = {(r.geo, r.year, r.source_column, r.value) for r in readers.read_sdmx(spark, str(tmp_path / "tran_r_net.tsv"), "tran_r_net").collect()}
+    assert got == {("HU", 2019, "rail_network_length_km", 5.0), ("HU", 2020, "rail_network_length_km", 6.0), ("HU", 2019, "rail_electrified_km", 2.0), ("HU", 2020, "rail_electrified_km", None)}
+    (tmp_path / "demo_gind.tsv").write_text("freq,indic_de,geo\\TIME_PERIOD\t2019\nA,GROWRT,AT\t0.4\n")
+    assert [(r.unit, r.source_column) for r in readers.read_sdmx(spark, str(tmp_path / "demo_gind.tsv"), "demo_gind").collect()] == [("", "pop_growth_rate")]
+    (tmp_path / "old.tsv").write_text("Rail freight\t2019\nx,HU\t5\ny,hu\t6\n")
+    assert {(r.geo, r.unit, r.source_column, r.value) for r in readers.read_sdmx(spark, str(tmp_path / "old.tsv"), "o").collect()} == {("HU", "eurostat_native", "Rail freight", 5.0), (None, "eurostat_native", "Rail freight", 6.0)}
+    (tmp_path / "none.tsv").write_text("freq,unit,geo\\TIME_PERIOD\tnote\nA,KM,HU\tx\n")
+    assert readers.read_sdmx(spark, str(tmp_path / "none.tsv"), "n").count() == 0
+
+
+def test_trees_and_command_line(spark, tmp_path):
+    for day, value in (("2024-01-01", 1), ("2024-01-02", 2)):
+        folder = tmp_path / f"bronze/stats/eurostat/rail_pa_total/ingest_date={day}"
+        folder.mkdir(parents=True)
+        (folder / "a.tsv").write_text(f"freq,unit,geo\\TIME_PERIOD\t2019\nA,THS_PAS,HU\t{value}\n")
+        (folder / "a.tsv.meta.json").write_text("{}")
+    news = tmp_path / "bronze/news/feed/x/ingest_date=2024-01-01"
+    news.mkdir(parents=True)
+    (news / "a.xml").write_text("<rss><item><title>T</title><link>http://a</link></item><item><title>T</title><link>http://a</link></item></rss>")
+    assert [(r.value, r.source_column) for r in tree.stats_from_tree(spark, str(tmp_path / "bronze")).collect()] == [(2.0, "rail_passengers")]
+    assert tree.articles_from_tree(spark, str(tmp_path / "bronze")).count() == 1 and tree.gkg_from_tree(spark, str(tmp_path / "bronze")).count() == 0
+    assert cli.main(["gold", "--bronze-root", str(tmp_path / "bronze"), "--out", str(tmp_path / "out")]) == 0
+    row = spark.read.parquet(str(tmp_path / "out/gold")).first()
+    assert (row.geo, row.geo_level, row.year, row.rail_passengers, row.news_article_count) == ("HU", "country", 2019, 2.0, 0)
+
+
+def test_retries():
+    class Answer:
+        def __init__(self, status_code, headers=None):
+            self.status_code, self.headers = status_code, headers or {}
+
+    answers, waits = iter([Answer(429, {"Retry-After": "7"}), Answer(503), Answer(200)]), []
+    assert retry.with_retries(lambda: next(answers), sleep=waits.append).status_code == 200 and waits == [7.0, 10.0]
+    assert retry.is_error_payload([{"message": 1}]) and not retry.has_observations([{}, [{"value": None}]]) and retry.has_observations([{}, [{"value": 1}]])
 
 
 def test_uic(spark):
