@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,18 +94,35 @@ def alignment(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("matched"), F.count_if(F.col("p").isNull()).alias("gold_only"), F.count_if(F.col("g").isNull()).alias("pred_only"))
 
 
+def poisson_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """A Poisson(1) number for each key and resample; it depends on key, resample and seed alone."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(upto, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right")
+
+
 def bootstrap(scores: DataFrame, value: str, resamples: int = 2000, seed: int = 12345) -> DataFrame:
-    """Percentile interval of a mean: every row takes a Poisson(1) weight in each resample, so no index table is dealt out.
+    """Percentile interval (ci_lo, ci_hi) of a mean: every row takes a Poisson(1) weight in each resample, so no index table is dealt out.
 
-    Weights come from a hash of (row id, resample, seed) and don't depend on how rows are dealt; scores: id, value.
+    Weights come from a hash of (row id, resample, seed) and don't depend on how rows are dealt; scores: id, value. A partition adds
+    up its weights and weighted values in place, so what is shuffled is one row for each partition and resample. Null values count nowhere.
     """
-    u = (F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    weight, below = F.lit(0), 0.0
-    term = 2.718281828459045**-1
-    for k in range(12):
-        below += term
-        weight = F.when(u > below, F.lit(k + 1)).otherwise(weight)
-        term /= k + 1
-    drawn = scores.select("id", F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("k")).withColumn("w", weight)
-    means = drawn.groupBy("k").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(keys), 512):
+                w = poisson_weights(keys[lo : lo + 512], resamples, seed)
+                weight += w.sum(axis=0)
+                total += values[lo : lo + 512] @ w
+        if weight.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(weight), pa.array(total)], ["k", "w", "s"])
+
+    rows = scores.select(F.xxhash64("id").alias("key"), F.col(value).cast("double").alias("v")).where("v is not null")
+    means = rows.mapInArrow(run, "k int, w double, s double").groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))

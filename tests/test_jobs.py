@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.operators import analysis, harness, jobs, news
+from siltstone.operators import analysis, evaluation, harness, jobs, news
 
 GOLD = "article_id string, partition string, is_rail_related boolean, event_type string, sentiment string, country string, language string, operators array<string>, rail_lines array<string>, monetary_amount_eur double, cross_lingual_dedup_id string"
 
@@ -82,3 +82,19 @@ def test_validation(spark):
 def test_scalars(spark):
     row = spark.range(1).select(C.string_list(F.lit(" a; ;b ")).alias("a"), C.string_list(F.lit('["x", " "]')).alias("b"), C.string_list(F.lit(None).cast("string")).alias("c"), C.digits_date(F.lit("2024-02-03T10")).alias("d"), C.digits_date(F.lit("soon")).alias("e"), C.month_window(F.to_date(F.lit("2024-02-03"))).alias("m"), C.fold(F.lit("ČŠŽŁąț")).alias("f")).first()
     assert (row.a, row.b, row.c, str(row.d), row.e, str(row.m["last"]), row.f) == (["a", "b"], ["x"], [], "2024-02-03", None, "2024-02-29", "cszlat")
+
+
+def test_bootstrap(spark):
+    rng = np.random.RandomState(2)
+    values = rng.random_sample(900)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)] + [(5000, None)], "id long, v double")
+    keys = np.array([r.k for r in df.where("v is not null").orderBy("id").select(F.xxhash64("id").alias("k")).collect()])
+    w = evaluation.poisson_weights(keys, 2000, 12345)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    means = values @ w / w.sum(axis=0)
+    for parts in (1, 5):
+        row = evaluation.bootstrap(df.repartition(parts), "v").first()
+        assert (row.ci_lo, row.ci_hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+    spread = 1.96 * values.std() / 30
+    assert row.ci_lo == pytest.approx(values.mean() - spread, abs=0.004) and row.ci_hi == pytest.approx(values.mean() + spread, abs=0.004)
+    assert evaluation.bootstrap(df.limit(0), "v").first().ci_lo is None
