@@ -24,7 +24,8 @@ def test_query(spark, sf_dir, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(row[c] for c in columns) for row in df.collect()), key=repr)
     if name not in ORACLES:  # held against numpy in test_jobs
-        assert name == "eval_bootstrap_ci" and len(got) == 1 and got[0][0] < got[0][1]
+        row = dict(zip(columns, got[0], strict=True))
+        assert name == "eval_bootstrap_ci" and len(got) == 1 and row["ci_lo"] < row["ci_hi"]
         return
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
