@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, decontaminate, license_scan, near_dedup, pieces, quality, suffix_dedup, toxicity, vector_dedup, window_dedup
+from siltstone.llm import chat_format, decontaminate, lexical_search, license_scan, near_dedup, pieces, quality, suffix_dedup, toxicity, vector_dedup, window_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_decontamination": decontaminate.query,
     "op10_sentencepiece": pieces.query,
+    "op13_lexical_search": lexical_search.query,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.oracle(),
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op5_minhash_dedup": near_dedup.oracle(),
     "op7_embedding_dedup": vector_dedup.oracle(),
     "op8_chat_format": chat_format.oracle(),
+    "op13_lexical_search": lexical_search.oracle(),
 }
