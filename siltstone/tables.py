@@ -58,6 +58,14 @@ def forget(df: DataFrame) -> None:
             files.delete(path, True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pack(value: object, level: int = 0) -> bytes:
     raw = pickle.dumps(value, protocol=5)
     return zstandard.ZstdCompressor(level=level).compress(raw) if level else raw
