@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.tables import forget, pack, settle, small_batches, unpack  # noqa: F401
+from siltstone.tables import forget, fresh, pack, settle, small_batches, unpack  # noqa: F401
 
 NO_ID = -(2**63)
 
