@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,26 @@ def forget(df: DataFrame) -> None:
             files.delete(path, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new, empty folder in the shared folder, which stays there."""
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    files, path = _path(spark, name)
+    files.mkdirs(path)
+    return name
+
+
+def delete_files(spark: SparkSession, names: Iterable[str], levels: int) -> None:
+    """Delete files, one after the other, and as many levels of folders above them as this leaves empty."""
+    for name in names:
+        files, path = _path(spark, name)
+        files.delete(path, False)
+        for _ in range(levels):
+            path = path.getParent()
+            if files.listStatus(path):
+                break
+            files.delete(path, False)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """`name`, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}
