@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, decontaminate, lexical_search, license_scan, near_dedup, pieces, quality, sharding, suffix_dedup, toxicity, vector_dedup, window_dedup
+from siltstone.llm import chat_format, decontaminate, lexical_search, license_scan, near_dedup, pieces, quality, sharding, suffix_dedup, time_layout, toxicity, vector_dedup, window_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_decontamination": decontaminate.query,
     "op10_sentencepiece": pieces.query,
+    "op11_time_partitions": time_layout.query,
     "op12_histogram_shards": sharding.query,
     "op13_lexical_search": lexical_search.query,
 }
