@@ -125,8 +125,9 @@ def layout_files(spark: SparkSession, folder: str, df: DataFrame) -> DataFrame:
 
 
 def _fingerprints(rows: DataFrame, *keys: str) -> DataFrame:
-    """A count and sums of both hashes for each key: equal for equal sets of rows, repeats included."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("h1").cast("decimal(20,0)")).alias("s1"), F.sum(F.col("h2").cast("decimal(20,0)")).alias("s2"))
+    """A count and sums of both hashes, in halves that can't overflow, for each key: equal for equal sets of rows, repeats included."""
+    halves = [F.col("h1").bitwiseAND(2**32 - 1), F.shiftright("h1", 32), F.col("h2").bitwiseAND(2**32 - 1), F.shiftright("h2", 32)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(h).alias(f"s{k}") for k, h in enumerate(halves)))
 
 
 def write_layout(df: DataFrame, at: Column, order: list[str], limit: int, folder: str) -> None:
@@ -141,7 +142,7 @@ def write_layout(df: DataFrame, at: Column, order: list[str], limit: int, folder
     leaf, part = fresh("leaf", df.columns), fresh("part", df.columns)
     rows = in_parts(df, at, order, limit)
     files = settle(_fingerprints(layout_files(spark, folder, df).select("leaf", "part", "path", *_hashes(df)), "leaf", "part", "path"))
-    stay = settle(files.join(_fingerprints(rows, "leaf", "part"), ["leaf", "part", "n", "s1", "s2"]).groupBy("leaf", "part").agg(F.min("path").alias("path")))
+    stay = settle(files.join(_fingerprints(rows, "leaf", "part"), ["leaf", "part", "n", *(f"s{k}" for k in range(4))]).groupBy("leaf", "part").agg(F.min("path").alias("path")))
     stale = settle(files.select("path").join(stay, "path", "left_anti"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     changed = rows.join(stay.select("leaf", "part"), ["leaf", "part"], "left_anti").repartition(partitions, "leaf", "part")
@@ -161,7 +162,7 @@ def file_report(spark: SparkSession, folder: str, df: DataFrame, id_col: str, kn
     """
     small_batches(spark)
     rows = layout_files(spark, folder, df).withColumn("file", F.xxhash64("path"))
-    paths = rows.groupBy("leaf", "part", "file").agg(F.min("path").alias("path"))
+    paths = rows.select("leaf", "part", "file", "path").distinct()
     narrow = rows.select("row.*", F.struct("leaf", "part", "file", "at_row").alias(place := fresh("place", df.columns)))
     narrow = narrow.select(f"{place}.*", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), (~F.coalesce(known, F.lit(False))).cast("long").alias("new"))
 
