@@ -29,6 +29,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = [START, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 PART_BYTES = 4 << 20
 LEARNED = "assistant"
+#: Characters of a role and a text by which equal turns are dealt out; rows that agree in these stay in one task.
+RANGE_CHARS = 256
 ORDER = ["conv_id", "turn", "role", "text"]
 
 
@@ -109,7 +111,10 @@ def format_chats(turns: DataFrame, part_bytes: int = PART_BYTES, learned: str =
             yield parts(held, True, seq)[0]
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*ORDER)
+    # ranges by the order itself, so that parts follow it over partitions: the start of a role or text orders like the whole
+    role, text = (F.substring(c, 1, RANGE_CHARS) for c in ("role", "text"))
+    ties = F.when(F.length(F.coalesce("role", F.lit(""))) <= RANGE_CHARS, F.coalesce(text, F.lit("")))
+    ranged = rows.repartitionByRange("conv_id", "turn", role, ties.asc_nulls_last()).sortWithinPartitions(*ORDER)
     return ranged.mapInArrow(run, "conv_id long, part long, n_turns long, formatted string, loss array<struct<start:long,stop:long>>")
 
 

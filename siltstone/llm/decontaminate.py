@@ -21,8 +21,8 @@ from siltstone.llm.window_dedup import BASE
 
 #: Edits an item may have, as a share of its words.
 ERROR_RATE = 0.15
-#: Items of fewer words are too common to tell anything and are not searched, unless a caller asks for them; they stand without edits.
-LEAST_WORDS = 6
+#: Items of fewer words are not searched; by default all are. Those of fewer than 7 words stand without edits.
+LEAST_WORDS = 1
 #: Characters of scripts without spaces between words: each is a word.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 #: Bytes of item text that one pass takes to its tasks.
@@ -30,15 +30,15 @@ CHUNK_BYTES = 8 << 20
 FILTER = 1 << 20
 
 
-def distance(pattern: list[int], text: list[int], anchored: bool) -> tuple[int, int]:
-    """The least edit distance of the pattern to a part of text, and the end of the first such part; anchored: parts from the start."""
+def scores(pattern: list[int], text: list[int], anchored: bool) -> Iterator[int]:
+    """After each word of text, the least edit distance of the pattern to a part that ends there; anchored: to all of text up to there."""
     m = len(pattern)
     peq: dict[int, int] = {}
     for k, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | 1 << k
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best, end = full, 0, m, m, 0
-    for k, w in enumerate(text):
+    up, down, score = full, 0, m
+    for w in text:
         eq = peq.get(w, 0)
         vertical = eq | down
         level = (((eq & up) + up) ^ up) | eq
@@ -49,9 +49,7 @@ def distance(pattern: list[int], text: list[int], anchored: bool) -> tuple[int,
             score -= 1
         rise = (rise << 1 | anchored) & full
         up, down = ((fall << 1) | (full & ~(vertical | rise))) & full, rise & vertical
-        if score < best:
-            best, end = score, k + 1
-    return best, end
+        yield score
 
 
 class Pieces:
@@ -96,25 +94,31 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def places(pieces: Pieces, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, first word, end, distance) of each place in a document; nearby hits of an item are searched as one stretch."""
-    found = []
+    """(item, first word, end, distance) of each place in a document.
+
+    An item's places don't overlap: of all parts within its budget, each the shortest of least distance for its end, those of smaller
+    distance, then of earlier end, are taken first. Parts lie around hits of pieces, so only stretches of hits are searched.
+    """
+    found: list[tuple[int, int, int, int]] = []
     stretch: list[int] = []
     hits = sorted(pieces.hits(words))
     for k, (item, start) in enumerate(hits):
         stretch.append(start)
         m, e = len(pieces.words[item]), pieces.budget[item]
-        if k + 1 < len(hits) and hits[k + 1][0] == item and hits[k + 1][1] - stretch[0] <= 2 * e + 1:
+        if k + 1 < len(hits) and hits[k + 1][0] == item and hits[k + 1][1] - e < start + m + e:
             continue
         lo, hi = max(0, stretch[0] - e), min(len(words), stretch[-1] + m + e)
         stretch = []
-        text = words[lo:hi].tolist()
-        least, end = distance(pieces.words[item], text, False)
-        if least <= e:
-            _, back = distance(pieces.words[item][::-1], text[:end][::-1], True)
-            place = (item, lo + end - back, lo + end, least)
-            if not found or found[-1][:3] != place[:3]:
-                found.append(place)
-    return found
+        text, back, taken = words[lo:hi].tolist(), pieces.words[item][::-1], np.zeros(hi - lo, bool)
+        near = sorted((score, end) for end, score in enumerate(scores(pieces.words[item], text, False), 1) if score <= e)
+        for score, end in near:
+            if taken[end - 1]:
+                continue
+            length = next(n for n, s in enumerate(scores(back, text[max(0, end - m - e) : end][::-1], True), 1) if s == score)
+            if not taken[end - length : end].any():
+                taken[end - length : end] = True
+                found.append((item, lo + end - length, lo + end, score))
+    return sorted(found)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +139,8 @@ def chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_words: int = LEAST_WORDS, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Places where documents have benchmark items with at most rate * words edits (words put in, left out or changed).
 
-    Returns (doc_id, item_id, first_word, end_word, distance), one row for each place found. Words are runs of letters, digits and
+    Returns (doc_id, item_id, first_word, end_word, distance), one row for each place: an item's places in a document don't overlap, nearer ones
+    are taken first, then earlier ones. Words are runs of letters, digits and
     bytes beyond ASCII, A-Z in lower case; in scripts without spaces, such as Chinese, Japanese and Thai, characters. Null and empty texts and items of fewer than `least_words` words have no places; rows that
     repeat a document have its places each, repeated items count once; an item whose text changes under one id counts with each
     text; a null doc_id stays null. Other columns aren't read.
@@ -179,4 +184,4 @@ def touched(pieces: Pieces, words: np.ndarray, bounds: np.ndarray) -> np.ndarray
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=1)
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

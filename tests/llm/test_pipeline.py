@@ -40,3 +40,18 @@ def test_rows_without_an_id_of_their_own(spark, sf_dir):
     rows = [(1, one), (1, item), (None, two), (None, f"{two} {item}"), (2, f"{item} {three}")]
     left = corpus_pipeline.without_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, two), (1, one)]
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, row_key string, _row_key int, `row` string, component_id long, item_id long, unit string, part int"
+    one = " ".join(f"w{k}" for k in range(80))
+    rows = [(k, t, None, None, None, "mine", k, None, -1, -2, "u", None) for k, t in ((3, one), (2, one), (4, None), (5, ""), (6, "a"))] + [(None, None, None, None, None, None, 0, None, None, None, None, None)]
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        df = spark.createDataFrame(rows, names)
+        kept = stage(spark, df, sf_dir)
+        assert kept.columns == df.columns
+        got = {(r.doc_id, r.row_key, r["_row_key"], r.component_id, r.item_id, r.unit) for r in kept.collect()}
+        assert {(k, "mine", k, -1, -2, "u") for k in (2, 4, 5, 6)} | {(None, None, 0, None, None, None)} <= got
+        assert stage(spark, df.limit(0), sf_dir).collect() == []

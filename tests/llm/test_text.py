@@ -112,6 +112,22 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_equal_turns_over_partitions(spark):
+    same = [(1, 5, "user" if k % 3 else None, f"{k * 7919 % 20000:05d} " + "x" * (k % 40)) for k in range(20000)]
+    same += [(1, 5, "r" * 300, f"{k}") for k in range(50)] + [(1, 5, "r" * 256, f"{k}") for k in range(50)] + [(1, 5, "user", None), (1, None, "user", "first")]
+    df = spark.createDataFrame(same, "conv_id long, turn long, role string, text string").repartition(7)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat_format.digested(chat_format.format_chats(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    least = lambda x: (x is not None, x or 0 if not isinstance(x, str) else x)
+    ordered = sorted(same, key=lambda r: (least(r[1]), (r[2] is not None, r[2] or ""), (r[3] is not None, r[3] or "")))
+    whole = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in ordered)
+    assert [(r.conv_id, r.n_turns, r.turns_sha256) for r in got] == [(1, len(same), hashlib.sha256(whole.encode()).hexdigest())]
+
+
 def edit_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern):
@@ -126,7 +142,51 @@ def test_myers():
     rng = np.random.RandomState(4)
     for _ in range(300):
         p, t = rng.randint(0, 4, rng.randint(1, 80)).tolist(), rng.randint(0, 4, rng.randint(0, 90)).tolist()
-        assert decontaminate.distance(p, t, False)[0] == edit_distance(p, t)
+        assert min([len(p), *decontaminate.scores(p, t, False)]) == edit_distance(p, t)
+
+
+def brute_places(item, words, budget):
+    """Of all parts of words within budget, each the shortest of the least distance for its end: the nearest first, then the earliest, none overlapping."""
+    ends = []
+    for end in range(1, len(words) + 1):
+        by_start = {end: len(item)}
+        row = list(range(len(item) + 1))  # of the item's reversed prefixes against words[start:end]
+        for start in range(end - 1, max(-1, end - len(item) - budget - 1), -1):
+            new = [row[0] + 1]
+            for j, w in enumerate(reversed(item)):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (w != words[start])))
+            row = new
+            by_start[start] = row[-1]
+        least = min(by_start.values())
+        if least <= budget:
+            ends.append((least, end, max(s for s in by_start if by_start[s] == least)))
+    taken, out = set(), []
+    for least, end, start in sorted(ends):
+        if not taken & set(range(start, end)):
+            taken |= set(range(start, end))
+            out.append((start, end, least))
+    return sorted(out)
+
+
+def test_places(spark):
+    rng = np.random.RandomState(8)
+    items = {1: ["yes"], 2: ["a", "b"] * 4, 3: list("abcabcabcabcab"), 4: ["yes", "no"]}
+    texts = [["yes"] * 4, ["yes", "no"] * 5, list("abab" * 9)] + [rng.choice(list("abc"), 60).tolist() + list("abcabcabcabcab") * 2 for _ in range(30)]
+    texts += [["a", "b"] * 4 + ["c"] * k + ["a", "b"] * 4 for k in range(8)]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] * 2, "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]), bench).collect()
+    expected = [(d, i, *p) for d, t in enumerate(texts) for i, item in items.items() for p in brute_places(item, t, int(decontaminate.ERROR_RATE * len(item)))]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert sum(r.item_id == 1 and r.doc_id == 0 for r in got) == 4
+
+
+def test_decontamination_query(spark, sf_dir):
+    """The registered query finds every item's exact copies."""
+    found = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, sf_dir).collect()}
+    cut = lambda t: " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    spaced = {r.doc_id: f" {cut(r.text)} " for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: cut(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert {(d, i) for d, t in spaced.items() for i, item in items.items() if item and f" {item} " in t} <= found
 
 
 def test_decontamination(spark):
@@ -146,7 +206,7 @@ def test_decontamination(spark):
     rows += [(100, None), (101, ""), (None, rows[1][1])]
     bench = spark.createDataFrame([(k, " ".join(v).upper()) for k, v in items.items()] + [(9, None)], "item_id long, text string")
     for chunk_bytes in (8 << 20, 200):
-        got = decontaminate.find_leaks(docs(spark, rows), bench, chunk_bytes=chunk_bytes).collect()
+        got = decontaminate.find_leaks(docs(spark, rows), bench, least_words=6, chunk_bytes=chunk_bytes).collect()
         assert {(r.doc_id, r.item_id) for r in got if r.doc_id is not None} == planted
         for r in got:
             text = dict(rows)[1 if r.doc_id is None else r.doc_id].split()
