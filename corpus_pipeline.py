@@ -9,29 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, near_dedup, pieces, quality, toxicity, window_dedup
-from siltstone.llm.common import settle, table
+from siltstone.llm.common import fresh, settle, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Null and empty texts are judged like others; each row is judged, repeats included."""
     sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality.SAMPLE_ROWS)
     return quality.keep_good(docs, quality.fit(sample))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Settled documents with a key of each row, `row_key`; ids may be null or repeat."""
-    return settle(docs.withColumn("row_key", F.monotonically_increasing_id()))
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Settled documents with a key of each row, and its column's name, which docs hasn't; ids may be null or repeat."""
+    key = fresh("row_key", docs.columns)
+    return settle(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest id; rows that share an id or have none are told apart."""
-    rows = keyed(docs)
-    groups = settle(near_dedup.near_duplicates(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id"))
+    """One document of each component of near duplicates, the one with the smallest id; rows that share an id or have none are told apart.
+
+    Null, empty and blank texts are in no group and stay; of equal ids one row stays. Other columns, whatever their names, leave as they came.
+    """
+    rows, key = keyed(docs)
+    groups = settle(near_dedup.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id"))
     many = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = rows.select("row_key", "doc_id").join(groups.join(many, "component_id"), "row_key")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"))
-    gone = members.join(first, "row_key", "left_anti").select("row_key")
-    return rows.join(settle(gone), "row_key", "left_anti").select(docs.columns)
+    members = rows.select(F.col(key).alias("row"), "doc_id").join(groups.join(many, "component_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = members.join(first, "row", "left_anti").select(F.col("row").alias(key))
+    return rows.join(settle(gone), key, "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +47,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    rows = keyed(docs)
-    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), least_words=1, id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return rows.join(settle(leaks), "row_key", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item stands; null and empty texts hold none. Rows that share an id or have none are told apart."""
+    rows, key = keyed(docs)
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(settle(leaks), key, "left_anti").select(docs.columns)
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document."""
+    """The pieces of each document; a null text has none."""
     return pieces.encode(docs)
 
 
