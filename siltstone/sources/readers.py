@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import german_number, sdmx_number, url_key, year_of_text
+from siltstone.functions.columns import sdmx_number, url_key, year_of_text
 from siltstone.sources.rules import FEATURE_RULES, INDICATORS
 
 LONG = ["geo", "year", "value", "unit", "source_dataset", "source_column", "source_system"]
@@ -62,34 +62,42 @@ def read_sdmx(spark: SparkSession, path: str, dataset: str, rules: list[tuple[st
     return shaped(chosen.groupBy("geo", "year", "unit", "source_column").agg(F.sum("value").alias("value")))
 
 
-def read_worldbank(spark: SparkSession, path: str, dataset: str, iso3: dict[str, str] | None = None, indicators: dict[str, str] | None = None) -> DataFrame:
-    """[meta, records] JSON documents; an error envelope or null records give no rows."""
+def read_worldbank(spark: SparkSession, path: str | list[str], dataset: str | Column, iso3: dict[str, str] | None = None, indicators: dict[str, str] | None = None) -> DataFrame:
+    """[meta, records] JSON documents; an error envelope or null records give no rows. `dataset` may be a column of `file`, for many files at once."""
     record = "array<struct<indicator:struct<id:string,value:string>,country:struct<id:string,value:string>,countryiso3code:string,date:string,value:double,unit:string>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$[1]"), record)).alias("r")).select("r.*")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json(F.get_json_object("value", "$[1]"), record)).alias("r")).select("file", "r.*")
     known = lambda table, c: F.coalesce(*([F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[c]] if table else []), F.lit(None).cast("string"))
     geo = F.coalesce(known(iso3, F.col("countryiso3code")), F.nullif(F.upper("country.id"), F.lit("")), F.substring("countryiso3code", 1, 2))
     label = F.coalesce(known(INDICATORS if indicators is None else indicators, F.col("indicator.id")), F.concat(F.lit("worldbank_unmapped:"), F.col("indicator.id")))
-    return rows.select(geo.alias("geo"), F.col("date").try_cast("long").alias("year"), "value", "unit", F.lit(dataset).alias("source_dataset"), label.alias("source_column"), F.lit("worldbank").alias("source_system"))
+    return rows.select(geo.alias("geo"), F.col("date").try_cast("long").alias("year"), "value", F.lit("worldbank_native").alias("unit"), as_column(dataset).alias("source_dataset"), label.alias("source_column"), F.lit("worldbank").alias("source_system"))
 
 
-def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Items of RSS feeds; a file with a malformed part gives none. A feed is parsed whole, by its own task."""
+def as_column(value: str | Column) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def read_rss(spark: SparkSession, path: str | list[str], source: str | Column, places: bool = False) -> DataFrame:
+    """Items of RSS feeds; a file with a malformed part gives none. A feed is parsed whole, by its own task.
+
+    `source` may be a column of `file`. With `places`, each item has its `file` and its place `at` there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for content in batch.column(0).to_pylist():
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     items = ElementTree.fromstring(content).iter("item")
                 except ElementTree.ParseError:
                     continue
                 text = lambda item, tag: (item.findtext(tag) or "").strip() or None
                 body = "{http://purl.org/rss/1.0/modules/content/}encoded"
-                out += [{"title": text(i, "title"), "url": text(i, "link"), "published_date": text(i, "pubDate"), "body": text(i, body) or text(i, "description"), "at": k} for k, i in enumerate(items)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.string()) for c in ("title", "url", "published_date", "body")), ("at", pa.int64())]))
+                out += [{"file": file, "title": text(i, "title"), "url": text(i, "link"), "published_date": text(i, "pubDate"), "body": text(i, body) or text(i, "description"), "at": k} for k, i in enumerate(items)]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((c, pa.string()) for c in ("file", "title", "url", "published_date", "body")), ("at", pa.int64())]))
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "title string, url string, published_date string, body string, at long")
-    return rows.select(article_id(F.col("url"), F.lit(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at")).alias("article_id"), F.lit(source).alias("source"), "title", "url", "published_date", "body")
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, title string, url string, published_date string, body string, at long")
+    key = article_id(F.col("url"), as_column(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at"))
+    return rows.select(key.alias("article_id"), as_column(source).alias("source"), "title", "url", "published_date", "body", *(["file", "at"] if places else []))
 
 
 def article_id(url: Column, *others: Column) -> Column:
@@ -97,18 +105,21 @@ def article_id(url: Column, *others: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(url), F.lit("")), F.sha1(F.concat_ws("|", *(F.coalesce(o.cast("string"), F.lit("")) for o in others))))
 
 
-def read_gdelt(spark: SparkSession, path: str, source: str = "gdelt") -> DataFrame:
-    """Article lists in JSON; items stay that have a title. Without a text of its own, an item's title is its text."""
+def read_gdelt(spark: SparkSession, path: str | list[str], source: str | Column = "gdelt", places: bool = False) -> DataFrame:
+    """Article lists in JSON; items stay that have a title. Without a text of its own, an item's title is its text.
+
+    `source` may be a column of `file`. With `places`, each item has its `file` and its place `at` there.
+    """
     fields = ["url", "url_mobile", "title", "seendate", "publishedDate", "datetime", "snippet", "summary", "description"]
     shape = f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"
-    a = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(F.get_json_object("value", "$.articles"), shape)).alias("at", "a")).select("at", "a.*")
+    a = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json(F.get_json_object("value", "$.articles"), shape)).alias("at", "a")).select("file", "at", "a.*")
     first = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
-    out = a.where("title <> ''").select("at", F.coalesce(first("url", "url_mobile"), F.lit("")).alias("url"), "title", first("seendate", "publishedDate", "datetime").alias("published_date"), first("snippet", "summary", "description", "title").alias("body"))
-    key = article_id(F.col("url"), F.lit(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at"))
-    return out.select(key.alias("article_id"), F.lit(source).alias("source"), "title", "url", "published_date", "body")
+    out = a.where("title <> ''").select("file", F.col("at").cast("long").alias("at"), F.coalesce(first("url", "url_mobile"), F.lit("")).alias("url"), "title", first("seendate", "publishedDate", "datetime").alias("published_date"), first("snippet", "summary", "description", "title").alias("body"))
+    key = article_id(F.col("url"), as_column(source), F.col("title"), F.col("published_date"), F.col("body"), F.col("at"))
+    return out.select(key.alias("article_id"), as_column(source).alias("source"), "title", "url", "published_date", "body", *(["file", "at"] if places else []))
 
 
-def read_gkg(spark: SparkSession, path: str) -> DataFrame:
+def read_gkg(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Zipped tab-delimited knowledge-graph files of either layout; archives with a damaged member and rows of neither layout give nothing.
 
     Lists keep repeats and lose empty entries; the enhanced ones of themes, persons and organisations lose their offsets too. Empty
@@ -124,7 +135,7 @@ def read_gkg(spark: SparkSession, path: str) -> DataFrame:
                     with archive.open(member) as whole:
                         while whole.read(1 << 20):
                             pass
-                except (zipfile.BadZipFile, StopIteration, zlib.error, EOFError, NotImplementedError):
+                except (zipfile.BadZipFile, StopIteration, zlib.error, EOFError, NotImplementedError, RuntimeError):  # the last: an encrypted member
                     continue
                 with archive.open(member) as lines:
                     held = []
@@ -166,13 +177,13 @@ def read_gkg(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of spreadsheets (XLSX, ODS) as (file, sheet, row, col, value): both are zipped XML and need no further library."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_cells, "file string, sheet string, row long, col long, value string")
+def read_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cells of spreadsheets (XLSX, ODS) as (file, sheet, row, col, value, numeric, position): both are zipped XML and need no further library."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_cells, "file string, sheet string, row long, col long, value string, numeric boolean, position long")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("col", pa.int64()), ("value", pa.string())])
+    schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("col", pa.int64()), ("value", pa.string()), ("numeric", pa.bool_()), ("position", pa.int64())])
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
@@ -180,15 +191,26 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cells = list(ods_cells(archive) if "content.xml" in archive.namelist() else xlsx_cells(archive))
             except (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, EOFError, KeyError, IndexError, ValueError, AttributeError, TypeError):
                 continue  # a file that is no sheet gives nothing, like one with a malformed part
-            yield pa.RecordBatch.from_pylist([{"file": name, "sheet": s, "row": r, "col": c, "value": v} for s, r, c, v in cells], schema)
+            yield pa.RecordBatch.from_pylist([{"file": name, "sheet": s, "row": r, "col": c, "value": v, "numeric": n, "position": p} for s, r, c, v, n, p in cells], schema)
+
+
+def xlsx_order(archive: zipfile.ZipFile) -> list[str]:
+    """The parts of a workbook's sheets in its own order; by number where the workbook doesn't tell."""
+    parts = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(archive.namelist()):
+        return parts
+    targets = {r.get("Id"): "xl/" + r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    ids = [v for e in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet") for k, v in e.attrib.items() if k.endswith("}id")]
+    told = [targets[i] for i in ids if targets.get(i) in parts]
+    return told + [p for p in parts if p not in told]
 
 
-def xlsx_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
+def xlsx_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str, bool, int]]:
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter(ns + "t")) for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(ns + "si")]
-    for name in sorted(n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
+    for position, name in enumerate(xlsx_order(archive)):
         for cell in ElementTree.fromstring(archive.read(name)).iter(ns + "c"):
             letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
             col = 0
@@ -197,12 +219,12 @@ def xlsx_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
             value = cell.findtext(ns + "v")
             text = shared[int(value)] if cell.get("t") == "s" and value else "".join(t.text or "" for t in cell.iter(ns + "t")) if cell.get("t") == "inlineStr" else value
             if text:
-                yield name.rsplit("/", 1)[1][:-4], int(row) - 1, col - 1, text
+                yield name.rsplit("/", 1)[1][:-4], int(row) - 1, col - 1, text, cell.get("t", "n") == "n", position
 
 
-def ods_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
+def ods_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str, bool, int]]:
     t, o = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
-    for sheet in ElementTree.fromstring(archive.read("content.xml")).iter(t + "table"):
+    for position, sheet in enumerate(ElementTree.fromstring(archive.read("content.xml")).iter(t + "table")):
         row = 0
         for line in sheet.iter(t + "table-row"):
             col, found = 0, []
@@ -210,44 +232,15 @@ def ods_cells(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, int, str]]:
                 times = int(cell.get(t + "number-columns-repeated", "1"))
                 text = cell.get(o + "value") or "".join(cell.itertext()).strip()
                 if text:
-                    found += [(col + k, text) for k in range(times)]
+                    found += [(col + k, text, cell.get(o + "value") is not None) for k in range(times)]
                 col += times
             many = int(line.get(t + "number-rows-repeated", "1"))
             for k in range(many if found else 0):
-                for at, text in found:
-                    yield sheet.get(t + "name"), row + k, at, text
+                for at, text, numeric in found:
+                    yield sheet.get(t + "name"), row + k, at, text, numeric, position
             row += many
 
 
-#: The country that a national office's tables are about.
-OFFICE_GEO = {"ksh": "HU", "statistik_austria": "AT"}
-
-
-def tidy_years(cells: DataFrame, dataset: str, system: str, geo: str | None = None) -> DataFrame:
-    """Sheets with a header row of years: label in the first column, optional unit in the second.
-
-    A row with a label but no value is a section and lends its label to those below it, as "section - label". The geo is the office's
-    country unless given. Points group thousands where the office is Austrian or a number can only be read so.
-    """
-    from siltstone.operators.gold import carried_forward
-
-    year = F.when(F.trim("value").rlike(r"^(19|20)\d{2}(\.0)?$"), F.substring(F.trim("value"), 1, 4).cast("long"))
-    marked = cells.withColumn("y", year)
-    header = marked.where("y is not null").groupBy("file", "sheet", "row").agg(F.count("*").alias("n")).groupBy("file", "sheet").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header"))
-    heads = marked.join(header, ["file", "sheet"]).where("row = header and y is not null").select("file", "sheet", "col", "header", "y")
-    first = heads.groupBy("file", "sheet").agg(F.min("col").alias("first_year"), F.max("header").alias("header"))
-    values = cells.join(heads, ["file", "sheet", "col"]).where("row > header").select("file", "sheet", "row", "y", german_number(F.col("value")).alias("number"), "value")
-    filled = values.where("number is not null or try_cast(value as double) is not null").select("file", "sheet", "row").distinct().withColumn("filled", F.lit(True))
-    labels = cells.where("col = 0").join(first, ["file", "sheet"]).where("row > header").select("file", "sheet", "row", F.trim("value").alias("label")).join(filled, ["file", "sheet", "row"], "left")
-    labels = labels.withColumns({"code": F.when(F.col("filled").isNull(), F.col("label")), "own": F.col("label")})
-    labels = carried_forward(labels, ["file", "sheet"], ["row"], "code", "own", "section").select("file", "sheet", "row", F.concat_ws(" - ", "section", "label").alias("label"))
-    units = cells.join(first, ["file", "sheet"]).where("col = 1 and col < first_year").select("file", "sheet", "row", F.trim("value").alias("unit"))
-    out = values.join(labels, ["file", "sheet", "row"]).join(units, ["file", "sheet", "row"], "left")
-    plain = F.col("value").try_cast("double")
-    number = F.coalesce("number", plain) if system == "statistik_austria" else F.coalesce(plain, "number")
-    return out.select(F.lit(geo or OFFICE_GEO.get(system)).cast("string").alias("geo"), F.col("y").alias("year"), number.alias("value"), "unit", F.lit(dataset).alias("source_dataset"), F.col("label").alias("source_column"), F.lit(system).alias("source_system")).where("value is not null")
-
-
 def read_tidy(rows: DataFrame, dataset: str, system: str, geo: str, label: str, year: str, value: str, unit: str) -> DataFrame:
     """Facts from a table that has one label, year and value a row already."""
     return rows.select(F.lit(geo).alias("geo"), F.col(year).cast("string").try_cast("long").alias("year"), F.col(value).cast("string").try_cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(dataset).alias("source_dataset"), F.col(label).cast("string").alias("source_column"), F.lit(system).alias("source_system"))

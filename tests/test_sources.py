@@ -6,7 +6,7 @@ import json
 import zipfile
 
 from siltstone import cli, schemas
-from siltstone.sources import readers, retry, sinks, tree
+from siltstone.sources import readers, retry, sheets, sinks, tree
 from siltstone.streaming import articles
 
 
@@ -71,9 +71,9 @@ def test_grid(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
     cells = readers.read_grid(spark, str(tmp_path / "a.xlsx"))
     assert cells.count() == 9
-    got = readers.tidy_years(cells, "d", "ksh").collect()
+    got = sheets.sheet_facts(cells, "d", "ksh").collect()
     assert [(r.year, r.unit, r.source_column, r.geo, r.value) for r in got] == [(2020, "km", "Length", "HU", 1.234)]
-    assert readers.tidy_years(cells, "d", "statistik_austria").first().value == 1234.0
+    assert sheets.sheet_facts(cells, "d", "statistik_austria").first().value == 1234.0
     with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", "<worksheet")
     assert readers.read_grid(spark, str(tmp_path / "*.xlsx")).count() == 9
@@ -81,7 +81,7 @@ def test_grid(spark, tmp_path):
 
 def test_sections(spark):
     cells = [("f", "s", r, c, v) for r, line in enumerate([["", "2020"], ["Freight", ""], ["Tonnes", "5"], ["Wagons", "6"], ["Passengers", ""], ["Total", "7"]]) for c, v in enumerate(line) if v]
-    got = readers.tidy_years(spark.createDataFrame(cells, "file string, sheet string, row long, col long, value string"), "d", "ksh").collect()
+    got = sheets.sheet_facts(spark.createDataFrame(cells, "file string, sheet string, row long, col long, value string"), "d", "ksh").collect()
     assert {(r.source_column, r.value) for r in got} == {("Freight - Tonnes", 5.0), ("Freight - Wagons", 6.0), ("Passengers - Total", 7.0)}
 
 
@@ -149,3 +149,35 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         articles.drain(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_every_date_of_news(spark, tmp_path):
+    root = tmp_path / "bronze"
+    feed = lambda *items: "<rss>" + "".join(f"<item><title>{t}</title><link>http://x/{u}</link></item>" for t, u in items) + "</rss>"
+    for path, text in {
+        "news/feed/x/ingest_date=2024-01-02/a.xml": feed(("late", "1"), ("new", "9")), "news/feed/x/ingest_date=2024-01-01/b.xml": feed(("second", "2"), ("first", "1")),
+        "news/gdelt/y/ingest_date=2024-01-01/a.json": '{"articles": [{"title": "listed", "url": "http://x/3"}, {"title": ""}]}', "news/gdelt/y/ingest_date=2024-01-01/a.json.meta.json": "{}",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    got = tree.articles_from_tree(spark, str(root))
+    assert {(r.title, r.source, r.url[-1]) for r in got.collect()} == {("second", "feed", "2"), ("first", "feed", "1"), ("new", "feed", "9"), ("listed", "gdelt", "3")}
+    assert {r.title for r in tree.articles_from_tree(spark, str(root), 2).collect()} == {"second", "first"}
+    records = [("g1", "20240105010203", "http://x/1", None), ("g2", "20240106", "http://y/2;http://z/3", "name"), ("g3", "2024", "http://y/2", None), ("g4", None, None, None), ("g5", "20240106", "http://q; http://x/9/", None)]
+    more = tree.with_unmatched_records(got, spark.createDataFrame(records, "gkg_id string, gkg_date string, document_identifier string, source_common_name string"))
+    assert {(r.article_id, r.title, r.url, r.published_date, r.source) for r in more.where("gkg_id is not null").collect()} == {("g2", "name", "http://y/2", "2024-01-06", "gdelt"), ("g4", "g4", "", None, "gdelt")}
+    assert more.count() == 6
+
+
+def test_sheets_and_indicators_of_a_tree(spark, tmp_path):
+    for k in (1, 2):
+        folder = tmp_path / f"stats/worldbank/w{k}/ingest_date=2024-01-01"
+        folder.mkdir(parents=True)
+        (folder / "a.json").write_text('[{}, [{"indicator": {"id": "IS.RRS.TOTL.KM"}, "country": {"id": "HU"}, "countryiso3code": "HUN", "date": "2020", "value": %d, "unit": "x"}]]' % k)
+        folder = tmp_path / f"stats/ksh/k{k}/ingest_date=2024-01-01"
+        folder.mkdir(parents=True)
+        cells = '<row><c r="A1" t="inlineStr"><is><t>Label</t></is></c><c r="B1"><v>2020</v></c></row><row><c r="A2" t="inlineStr"><is><t>Length</t></is></c><c r="B2"><v>%d.5</v></c></row>' % k
+        with zipfile.ZipFile(folder / "a.xlsx", "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>')
+    got = tree.stats_from_tree(spark, str(tmp_path))
+    assert {(r.source_dataset, r.geo, r.year, r.value, r.unit) for r in got.collect()} == {("w1", "HU", 2020, 1.0, "worldbank_native"), ("w2", "HU", 2020, 2.0, "worldbank_native"), ("k1", "HU", 2020, 1.5, "ksh_native"), ("k2", "HU", 2020, 2.5, "ksh_native")}
