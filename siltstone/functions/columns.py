@@ -103,7 +103,7 @@ def fisher_z(r: Column, n: Column) -> Column:
 
 def bool_or_null(raw: Column) -> Column:
     text = F.lower(F.trim(raw))
-    return F.when(text.isin("true", "1", "yes"), True).when(text.isin("false", "0", "no"), False)
+    return F.when(text.isin("true", "1", "yes", "y"), True).when(text.isin("false", "0", "no", "n"), False)
 
 
 def clamped(x: Column, low: float, high: float) -> Column:

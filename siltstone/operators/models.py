@@ -55,7 +55,8 @@ def embed(articles: DataFrame, model: Callable[[list[str]], list[list[float]]])
 def language(text: Column) -> Column:
     """The language most of whose frequent words stand in the text; null without any."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    scores = [F.struct(F.size(F.filter(words, lambda w, s=s: w.isin(s))).alias("n"), F.lit(k).alias("lang")) for k, s in STOP_WORDS.items()]
+    among = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+    scores = [F.struct(among(s).alias("n"), F.lit(k).alias("lang")) for k, s in STOP_WORDS.items()]
     best = F.sort_array(F.array(*scores), asc=False)[0]
     return F.when(best["n"] > 0, best["lang"])
 

@@ -115,12 +115,12 @@ def is_text(column: str) -> bool:
     return column.startswith("news_") and (column.endswith("_list") or column == "news_language_primary")
 
 
-def validated(raw: DataFrame) -> DataFrame:
+def validated(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Model output as a news feature, within bounds; nothing raises.
 
-    raw has strings or typed columns of schemas.NEWS_FEATURE by name; absent ones count as null. Enumerations are taken exactly, but for the case of countries: an
+    raw has strings or typed columns of schemas.NEWS_FEATURE by name; absent ones count as null. Enumerations are taken exactly: an
     unknown event type is 'other', an unknown country or sentiment null; known operators stay, and where none of some is known they
-    are 'other'; a text instead of a list is one entry. Confidences are clamped to [0, 1], scores to [-1, 1], tones to [-100, 100]; language codes that are none are null.
+    are 'other'; a text instead of a list is one entry. Confidences are clamped to [0, 1], scores to [-1, 1], tones to [-100, 100]; language codes that are none are null. The columns `keep` go along.
     """
     kinds = dict(f.split(" ", 1) for f in schemas.NEWS_FEATURE.split(", "))
     has = set(raw.columns)
@@ -134,7 +134,7 @@ def validated(raw: DataFrame) -> DataFrame:
     special = {
         "language": language_code(text("language"), False), "language_detected_code": language_code(F.coalesce(text("language_detected_code"), text("language")), False),
         "is_rail_related": F.coalesce(bool_or_null(text("is_rail_related")), F.lit(False)), "is_duplicate": bool_or_null(text("is_duplicate")),
-        "country": F.when(F.upper(F.trim(text("country"))).isin(vocab.HOME_COUNTRIES), F.upper(F.trim(text("country")))).otherwise(one_of("country", ["other"])), "event_type": F.coalesce(one_of("event_type", vocab.EVENT_TYPES), F.lit("other")),
+        "country": one_of("country", [*vocab.HOME_COUNTRIES, "other"]), "event_type": F.coalesce(one_of("event_type", vocab.EVENT_TYPES), F.lit("other")),
         "sentiment": one_of("sentiment", list(vocab.SENTIMENT_SCORE)), "sentiment_label": one_of("sentiment_label", list(vocab.SENTIMENT_SCORE)),
         "operators": F.when((F.size(operators) > 0) & (F.size(known) == 0), F.array(F.lit("other"))).otherwise(known), "rail_lines": F.coalesce(listed("rail_lines"), F.array().cast("array<string>")),
         "sentiment_score": clamped(finite("sentiment_score"), -1.0, 1.0), "gkg_tone": clamped(finite("gkg_tone"), -100.0, 100.0), "gkg_tone_source": one_of("gkg_tone_source", ["gdelt_gkg", "xlm_r_model"]),
@@ -148,4 +148,4 @@ def validated(raw: DataFrame) -> DataFrame:
             return F.when(finite(c).isNotNull(), clamped(finite(c), 0.0, 1.0)) if c.endswith("confidence") else finite(c)
         return text(c)
 
-    return raw.select(*(field(c, kind).alias(c) for c, kind in kinds.items()))
+    return raw.select(*(keep or []), *(field(c, kind).alias(c) for c, kind in kinds.items()))

@@ -14,6 +14,11 @@ def land(artifacts: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("domain", "source", "dataset_id", "ingest_date").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def persist(df: DataFrame, schema: str, path: str, ingest_date: str) -> dict:
     """Replace a date's snapshot, with exactly the columns of schema: absent ones become null, others go. Returns the rows written."""
     spark = df.sparkSession
@@ -27,8 +32,7 @@ def persist(df: DataFrame, schema: str, path: str, ingest_date: str) -> dict:
 def load(spark: SparkSession, schema: str, path: str, ingest_date: str | None = None) -> DataFrame:
     """A date's snapshot, the last by default; no table gives an empty one of the schema."""
     wanted = spark.createDataFrame([], schema)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return wanted
     rows = spark.read.schema(f"{schema}, ingest_date string").parquet(path)
     if ingest_date is None:
