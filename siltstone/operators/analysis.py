@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.columns import fisher_p, fisher_z, two_sided_p
 
 
+#: Ranges of values that a variable's ranks are worked out in.
+RANK_BUCKETS = 128
+
+
 def coverage(gold: DataFrame, features: list[str]) -> DataFrame:
     return gold.groupBy("geo", "year").agg(F.count("*").alias("n_rows"), *(F.count(c).alias(f"n_{c}") for c in features))
 
@@ -24,6 +28,24 @@ def guarded_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
 
 
+def percent_ranked(rows: DataFrame, keys: list[str], value: str, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """rows with the percent rank of their value among those of equal keys: (rank - 1) / (n - 1), ties at their smallest rank, 0 for a row alone.
+
+    Equal values are counted first, so a hot value is one row. The others are cut into about `buckets` ranges of neighbouring values for each key, told by
+    approximate quantiles; a rank is the count of earlier ranges and of smaller values in its own. So no task sorts a whole key, and the result is exact.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    cuts = counts.where(~F.isnan(value)).groupBy(*keys).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)]).alias("_cuts"))
+    within = counts.join(cuts, keys, "left").withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0))).drop("_cuts")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = within.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"), F.sum("_size").over(Window.partitionBy(*keys)).alias("_all"))
+    smaller = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = within.withColumn("_smaller", F.coalesce(F.sum("_n").over(smaller), F.lit(0))).join(starts, [*keys, "_range"])
+    rank = F.when(F.col("_all") > 1, (F.col("_start") + F.col("_smaller")) / (F.col("_all") - 1)).otherwise(0.0)
+    return rows.join(placed.select(*keys, value, rank.alias(out)), [*keys, value])
+
+
 def correlations(gold: DataFrame, targets: list[str], features: list[str], by_geo: bool = False, least: int = 4) -> DataFrame:
     """Pearson and rank correlation of each target with each feature over common (geo, year), with n, Fisher's z and two-sided p.
 
@@ -34,7 +56,7 @@ def correlations(gold: DataFrame, targets: list[str], features: list[str], by_ge
 
     def ranked(columns: list[str], name: str, value: str) -> DataFrame:
         long = gold.select("geo", "year", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["geo", "year"], columns, name, value).where(F.col(value).isNotNull())
-        return long.withColumn(value + "_rank", F.percent_rank().over(Window.partitionBy(*group, name).orderBy(value)))
+        return percent_ranked(long, [*group, name], value, value + "_rank")
 
     pairs = ranked(targets, "target", "t").join(ranked(features, "feature", "f"), ["geo", "year"]).where("target <> feature")
     out = pairs.groupBy("target", "feature", *group).agg(guarded_corr(F.col("t"), F.col("f")).alias("pearson_r"), guarded_corr(F.col("t_rank"), F.col("f_rank")).alias("rank_r"), F.count("*").alias("n"))
@@ -61,10 +83,12 @@ def region_means(regions: DataFrame) -> DataFrame:
     return regions.groupBy("geo", "country_code").agg(F.avg("network").alias("mean_network"), F.avg("share").alias("mean_share"), F.count("*").alias("n_years"))
 
 
-def inequality(regions: DataFrame, least: int = 3) -> DataFrame:
-    """Coefficient of variation of network length between the regions of each country and year."""
-    out = regions.groupBy("country_code", "year").agg(F.count("*").alias("n_regions"), F.avg("network").alias("mean_length"), F.stddev_samp("network").alias("std_length"))
-    return out.where(F.col("n_regions") >= least).withColumn("cv", F.when(F.col("mean_length") > 0, F.col("std_length") / F.col("mean_length")))
+def inequality(regions: DataFrame, least: int = 3, electrified: bool = False) -> DataFrame:
+    """Coefficient of variation of network length, and if asked for of electrified length, between the regions of each country and year."""
+    also = [F.avg("electrified").alias("mean_electrified"), F.stddev_samp("electrified").alias("std_electrified")] if electrified else []
+    out = regions.groupBy("country_code", "year").agg(F.count("*").alias("n_regions"), F.avg("network").alias("mean_length"), F.stddev_samp("network").alias("std_length"), *also)
+    out = out.where(F.col("n_regions") >= least).withColumn("cv", F.when(F.col("mean_length") > 0, F.col("std_length") / F.col("mean_length")))
+    return out.withColumn("cv_electrified", F.when(F.col("mean_electrified") > 0, F.col("std_electrified") / F.col("mean_electrified"))) if electrified else out
 
 
 def mean_inequality(unequal: DataFrame) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import fisher_p, geo_level
 from siltstone.operators import analysis, gold
 from siltstone.sources.sinks import write_manifest
 
 NUMBERS = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 #: Columns that identify a row and are no feature.
 IDENTITY = {"geo", "geo_level", "year", "month"}
+#: What correlations explain and so don't count among what explains.
+INVESTMENT = {"rail_investment", "rail_investment_pps", "rail_investment_per_capita", "rail_investment_pct_gdp", "rail_investment_per_network_km"}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -29,14 +32,14 @@ def check_payload(df: DataFrame, needed: list[str]) -> None:
         raise ValueError("the table has no rows")
 
 
-def _written(found: DataFrame, folder: str, name: str, csv: bool = True) -> int:
-    """Rows written as Parquet, read back and written as one CSV in the same order."""
-    spark = found.sparkSession
-    found.write.mode("overwrite").parquet(f"{folder}/{name}")
-    back = spark.read.parquet(f"{folder}/{name}")
+def _written(found: DataFrame, folder: str, name: str, csv: bool = True, order: list | None = None) -> int:
+    """Rows written as Parquet, and from there as one CSV file, in the order given: one task sorts and streams it, as a result is small beside its input."""
+    spark, seen = found.sparkSession, Observation(name)
+    found.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}")
     if csv:
-        back.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
-    return back.count()
+        one = spark.read.parquet(f"{folder}/{name}").repartition(1)
+        (one.sortWithinPartitions(*order) if order else one).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
+    return seen.get["rows"]
 
 
 def _manifest(spark: SparkSession, folder: str, name: str, began: float, **values: object) -> dict:
@@ -58,23 +61,39 @@ def run_coverage(matrix: DataFrame, folder: str) -> dict:
     """Counts of each feature by (geo, year)."""
     check_payload(matrix, ["geo", "year"])
     began = time.time()
-    rows = _written(analysis.coverage(matrix, numeric_columns(matrix)).orderBy("geo", "year"), folder, "coverage")
+    rows = _written(analysis.coverage(matrix, numeric_columns(matrix)), folder, "coverage", order=["geo", "year"])
     return _manifest(matrix.sparkSession, folder, "coverage", began, n_rows=rows, n_features=len(numeric_columns(matrix)))
 
 
+def with_intensities(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The matrix with investment per head, per cent of GDP and per km of network, as far as it has their columns, and their names."""
+    ratios = {
+        "rail_investment_per_capita": ("rail_investment_pps", "population_total", 1_000_000.0), "rail_investment_pct_gdp": ("rail_investment", "gdp_current_meur", 100.0),
+        "rail_investment_per_network_km": ("rail_investment_pps", "rail_network_length_km", 1.0),
+    }
+    made = {n: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) * k for n, (a, b, k) in ratios.items() if {a, b} <= set(matrix.columns) and n not in matrix.columns}
+    return matrix.withColumns(made), list(made)
+
+
 def run_correlations(matrix: DataFrame, targets: list[str], folder: str, by_country: bool = False, panel: bool = False, country_only: bool = False, least: int = 30, top: int = 15) -> dict:
     """Correlations of targets with all features: levels against levels and deltas, or as panel deltas against deltas.
 
-    The strongest pairs of each target are listed in the manifest; by country only significant ones.
+    Investment and what is derived from it are targets only, never features; the derived intensities join the targets given. The strongest pairs of each
+    target are listed in the manifest; by country only significant ones.
     """
     check_payload(matrix, ["geo", "year"])
-    targets = [t for t in targets if t in matrix.columns]
+    began = time.time()
+    if country_only:
+        matrix = matrix.where((F.col("geo_level") if "geo_level" in matrix.columns else geo_level(F.col("geo"))) == "country")
+        check_payload(matrix, ["geo"])
+    features = [c for c in numeric_columns(matrix) if c not in INVESTMENT]
+    matrix, derived = with_intensities(matrix)
+    targets = [t for t in dict.fromkeys([*targets, *derived]) if t in matrix.columns]
     if not targets:
         raise ValueError("the table has none of the targets")
-    began = time.time()
-    matrix = matrix.where(F.col("geo").rlike("^[A-Z]{2}$")) if country_only else matrix
-    features = numeric_columns(matrix)
-    moved = analysis.deltas(matrix, features, "__delta")
+    if not features:
+        raise ValueError("the table has no column that may be a feature")
+    moved = analysis.deltas(matrix, list(dict.fromkeys([*features, *targets])), "__delta")
     if panel:
         left, right = [f"{t}__delta" for t in targets], [f"{f}__delta" for f in features]
     else:
@@ -84,7 +103,7 @@ def run_correlations(matrix: DataFrame, targets: list[str], folder: str, by_coun
     found = found.withColumns({"kind": F.when(F.col("feature").endswith("__delta"), "delta").otherwise("level"), "target": bare("target"), "feature": bare("feature")}).where("target <> feature or kind = 'delta'")
     name = f"correlations_{'by_country' if by_country else 'pooled'}_{'panel' if panel else 'levels'}"
     columns = [*(["geo"] if by_country else []), "target", "feature", "kind", "pearson_r", "p_pearson", F.col("rank_r").alias("spearman_r"), "p_spearman", "n"]
-    rows = _written(found.select(*columns).orderBy("target", F.abs("pearson_r").desc(), "feature"), folder, name)
+    rows = _written(found.select(*columns), folder, name, order=["target", F.abs("pearson_r").desc(), "feature", "kind", *(["geo"] if by_country else [])])
     if not rows:
         raise ValueError(f"no pair has {least} observations")
     written = matrix.sparkSession.read.parquet(f"{folder}/{name}")
@@ -95,15 +114,35 @@ def run_correlations(matrix: DataFrame, targets: list[str], folder: str, by_coun
     return _manifest(matrix.sparkSession, folder, name, began, n_features=len(features), n_rows_reported=rows, targets=targets, top_by_target=listed)
 
 
-def run_regional(matrix: DataFrame, folder: str, money: str | None = None) -> dict:
-    """Inequality of network length between the regions of a country, and its correlation with the country's money if there is such a column."""
-    check_payload(matrix, ["geo", "year", "rail_network_length_km", "rail_electrified_km"])
+def run_regional(matrix: DataFrame, folder: str, money: str | None = None, least: int = 3) -> dict:
+    """Regions' networks and electrification, their inequality inside countries, and its correlation with the country's money.
+
+    `money` is the investment at purchasing power if there is such a column, or else the plain one. Fewer than max(4, least) usable pairs are an error.
+    """
+    money = money or next((c for c in ("rail_investment_pps", "rail_investment") if c in matrix.columns), "rail_investment")
+    check_payload(matrix, ["geo", "year", "rail_network_length_km", "rail_electrified_km", money])
     began = time.time()
-    regions = matrix.select("geo", "year", F.col("rail_network_length_km").alias("network"), F.col("rail_electrified_km").alias("electrified")).where("network is not null")
-    regions = analysis.regional_share(regions)
-    unequal = analysis.inequality(regions)
-    counts = {"n_regions": _written(analysis.region_means(regions).orderBy(F.desc("mean_network"), "geo"), folder, "regions"), "n_country_years": _written(unequal.orderBy("country_code", "year"), folder, "inequality")}
-    if money and money in matrix.columns:
-        paid = matrix.select(F.col("geo").alias("country_code"), "year", F.col(money).alias("money")).where("money is not null")
-        counts |= analysis.money_against_inequality(unequal, paid).first().asDict()
-    return _manifest(matrix.sparkSession, folder, "regional", began, **counts)
+    level = F.col("geo_level") if "geo_level" in matrix.columns else geo_level(F.col("geo"))
+    lengths = matrix.where(level == "region").select("geo", "year", F.col("rail_network_length_km").alias("network"), F.col("rail_electrified_km").alias("electrified"))
+    share = F.when(F.col("network") > 0, F.col("electrified") / F.col("network"))
+    described = lengths.select("geo", F.substring("geo", 1, 2).alias("country_code"), (F.length("geo") - 2).alias("nuts_level"), "year", "network", "electrified", share.alias("share"))
+    regions = described.where("nuts_level = 2")
+    means, unequal = analysis.region_means(regions), analysis.inequality(regions, least, True)
+    paid = matrix.where(level == "country").select(F.col("geo").alias("country_code"), "year", F.col(money).cast("double").alias("money"))
+    found = analysis.money_against_inequality(unequal, paid).first()
+    if found.n_pairs < max(4, least) or found.r is None:
+        raise ValueError(f"investment and inequality have {found.n_pairs} usable pairs, {max(4, least)} are needed")
+    counts = {
+        "n_described": _written(described, folder, "descriptives", order=["geo", "year"]), "n_regions": _written(means, folder, "regions", order=[F.desc_nulls_last("mean_network"), "geo"]),
+        "n_country_years": _written(unequal, folder, "inequality", order=["country_code", "year"]),
+    }
+    shown = lambda df, by, k, digits: [{c: round(v, digits) if isinstance(v, float) else v for c, v in r.asDict().items()} for r in df.where(F.col(by).isNotNull()).orderBy(F.desc(by), df.columns[0]).limit(k).collect()]
+    cv = analysis.mean_inequality(unequal).select("country_code", F.col("mean_cv").alias("avg_cv_network"))
+    lists = {
+        "top_nuts2_by_network": shown(means.select("geo", "country_code", "mean_network"), "mean_network", 10, 1), "top_nuts2_by_electrification": shown(means.select("geo", "country_code", "mean_share"), "mean_share", 10, 3),
+        "most_unequal_countries": shown(cv, "avg_cv_network", 10, 3),
+        "least_unequal_countries": [{"country_code": r[0], "avg_cv_network": round(r[1], 3)} for r in cv.where("avg_cv_network IS NOT NULL").orderBy("avg_cv_network", F.desc("country_code")).limit(5).collect()][::-1],
+    }
+    p = matrix.sparkSession.range(1).select(fisher_p(F.lit(found.r), F.lit(found.n_pairs)).alias("p")).first().p
+    against = {"target": money, "metric": "cv_network", "pearson_r": round(found.r, 4), "p_value": None if p is None else round(p, 4), "n": found.n_pairs}
+    return _manifest(matrix.sparkSession, folder, "regional", began, **counts, **lists, investment_vs_disparity=against, r=found.r, n_pairs=found.n_pairs)

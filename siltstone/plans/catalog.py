@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone import vocab
 from siltstone.functions import columns as C
-from siltstone.operators import analysis, evaluation, gold, matching, news
+from siltstone.operators import analysis, evaluation, gold, matching, news, runner
 from siltstone.plans.views import duck, view
 from siltstone.sources import rules
 
@@ -367,6 +367,12 @@ def _(spark, sf):
     return matching.cache_split(orders.select("k"), orders.where("o_orderstatus = 'F'").select("k").distinct(), ["k"])[0]
 
 
+@register("cache_last_events", "SELECT event_type AS digest, event_id, ts, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC NULLS LAST, event_id DESC) AS INTEGER) AS recency FROM events QUALIFY recency <= 100")
+def _(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("digest"), "event_id", "ts")
+    return runner.last_events(events, "digest", ["ts", "event_id"])
+
+
 @register("cache_misses", "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders WHERE o_orderstatus <> 'F'")
 def _(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_orderstatus")

@@ -48,6 +48,53 @@ def test_jobs(spark, tmp_path):
             broken()
 
 
+def test_correlation_job_in_detail(spark, tmp_path):
+    """Investment is no feature, aggregates are no countries, intensities become targets, and the CSV is one file in order."""
+    rng = np.random.RandomState(5)
+    rows = [(geo, level, year, *(float(x) for x in rng.random_sample(6) + 1)) for geo, level in (("HU", "country"), ("AT", "country"), ("EU", "aggregate"), ("DE", "country"), ("HU11", "region")) for year in range(2000, 2015)]
+    names = ["rail_investment", "rail_investment_pps", "population_total", "gdp_current_meur", "rail_network_length_km", "other"]
+    matrix = spark.createDataFrame(rows, "geo string, geo_level string, year long, " + ", ".join(f"{n} double" for n in names))
+    found = jobs.run_correlations(matrix, ["rail_investment_pps", "rail_investment"], str(tmp_path), country_only=True, least=10)
+    assert found["targets"] == ["rail_investment_pps", "rail_investment", "rail_investment_per_capita", "rail_investment_pct_gdp", "rail_investment_per_network_km"] and found["n_features"] == 4
+    table = spark.read.parquet(f"{tmp_path}/correlations_pooled_levels").collect()
+    assert {r.feature for r in table} == set(names[2:]) and len(table) == 5 * 8 == found["n_rows_reported"]
+    x = {(r[0], r[2]): r for r in rows if r[1] == "country"}
+    both = [(r[4] / r[5] * 1e6, r[8]) for r in x.values()]
+    mine = next(r for r in table if (r.target, r.feature, r.kind) == ("rail_investment_per_capita", "other", "level"))
+    assert mine.n == 45 and mine.pearson_r == pytest.approx(np.corrcoef(*zip(*both, strict=True))[0, 1])
+    (csv,) = [f for f in os.listdir(f"{tmp_path}/correlations_pooled_levels_csv") if f.endswith(".csv")]
+    lines = [line.split(",") for line in open(f"{tmp_path}/correlations_pooled_levels_csv/{csv}").read().split()]
+    assert len(lines) == 41 and [(r[0], -abs(float(r[3]))) for r in lines[1:]] == sorted((r[0], -abs(float(r[3]))) for r in lines[1:])
+    bare = matrix.drop("geo_level")
+    assert jobs.run_correlations(bare, ["rail_investment"], str(tmp_path), country_only=True, least=10)["top_by_target"]["rail_investment"][0]["n"] in (42, 45)
+    with pytest.raises(ValueError, match="feature"):
+        jobs.run_correlations(matrix.select("geo", "year", "rail_investment"), ["rail_investment"], str(tmp_path))
+
+
+def test_regional_job_in_detail(spark, tmp_path):
+    rows = [(f"{c}{k}{j}", "region", year, 100.0 * (k + 1) * (1 + (year - 2000) * (c == "HU")), 50.0 if k else 0.0, None) for c in ("HU", "AT") for k in range(3) for j in (0, "1") for year in range(2000, 2006)]
+    rows += [("HU1", "region", 2000, 5.0, 1.0, None), ("AT90", "region", 2000, 0.0, 1.0, None)] + [(c, "country", year, 9.0, 9.0, float(year)) for c in ("HU", "AT") for year in range(2000, 2006)]
+    matrix = spark.createDataFrame(rows, "geo string, geo_level string, year long, rail_network_length_km double, rail_electrified_km double, rail_investment double")
+    found = jobs.run_regional(matrix, str(tmp_path))
+    assert found["n_described"] == 74 and found["n_regions"] == 13 and found["n_country_years"] == 12 and found["investment_vs_disparity"]["n"] == 12
+    assert [r["geo"] for r in found["top_nuts2_by_network"]][:2] == ["HU20", "HU21"] and len(found["least_unequal_countries"]) == 2
+    unequal = {(r.country_code, r.year): r for r in spark.read.parquet(f"{tmp_path}/inequality").collect()}
+    electrified = [0.0, 0.0, 50.0, 50.0, 50.0, 50.0]
+    assert unequal["HU", 2003].cv_electrified == pytest.approx(np.std(electrified, ddof=1) / np.mean(electrified))
+    with pytest.raises(ValueError, match="usable pairs"):
+        jobs.run_regional(matrix.where("year < 2001"), str(tmp_path))
+
+
+@pytest.mark.parametrize("buckets", [2, 128])
+def test_percent_ranks(spark, buckets):
+    rng = np.random.RandomState(6)
+    rows = [(f"k{k % 3}", float(v)) for k, v in enumerate(rng.normal(size=500).round(1))] + [("k0", 0.0)] * 300 + [("k1", float("nan"))] * 3 + [("k1", float("inf")), ("k1", -0.0), ("alone", 1.0)]
+    df = spark.createDataFrame(rows, "name string, v double")
+    got = analysis.percent_ranked(df, ["name"], "v", "r", buckets)
+    expected = df.selectExpr("name", "v", "percent_rank() OVER (PARTITION BY name ORDER BY v) AS r")
+    assert sorted(map(repr, got.select("name", "v", "r").collect())) == sorted(map(repr, expected.collect()))
+
+
 def test_significance_is_by_p(spark):
     found = spark.createDataFrame([("t", "a", 0.9, 0.14), ("t", "b", 0.6, 0.01), ("t", "c", 1.0, None)], "target string, feature string, pearson_r double, p_pearson double")
     assert [r.feature for r in analysis.strongest(analysis.significant(found)).collect()] == ["b"]
