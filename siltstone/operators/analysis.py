@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import fisher_p, fisher_z, two_sided_p
+from siltstone.tables import settle
 
 
 #: Ranges of values that a variable's ranks are worked out in.
@@ -52,11 +53,13 @@ def correlations(gold: DataFrame, targets: list[str], features: list[str], by_ge
     Ranks are percent ranks of each variable over all its own rows, taken before pairing. A skewed variable costs nothing extra:
     the long form has one row for each variable and observation, and pairing is an equi-join on (geo, year).
     """
-    group = ["geo"] if by_geo else []
+    group, names = ["geo"] if by_geo else [], list(dict.fromkeys([*targets, *features]))
+    # settled, as ranks and pairs read these several times and the matrix behind them is dear
+    long = settle(gold.select("geo", "year", *(F.col(c).cast("double").alias(c) for c in names)).unpivot(["geo", "year"], names, "name", "value").where("value IS NOT NULL"))
+    placed = settle(percent_ranked(long, [*group, "name"], "value", "value_rank"))
 
     def ranked(columns: list[str], name: str, value: str) -> DataFrame:
-        long = gold.select("geo", "year", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["geo", "year"], columns, name, value).where(F.col(value).isNotNull())
-        return percent_ranked(long, [*group, name], value, value + "_rank")
+        return placed.where(F.col("name").isin(columns)).withColumnsRenamed({"name": name, "value": value, "value_rank": value + "_rank"})
 
     pairs = ranked(targets, "target", "t").join(ranked(features, "feature", "f"), ["geo", "year"]).where("target <> feature")
     out = pairs.groupBy("target", "feature", *group).agg(guarded_corr(F.col("t"), F.col("f")).alias("pearson_r"), guarded_corr(F.col("t_rank"), F.col("f_rank")).alias("rank_r"), F.count("*").alias("n"))
