@@ -46,3 +46,24 @@ def components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     least = hooks.groupBy("to").agg(F.min("node").alias("component"))
     return hooks.join(least, "to").select("node", "component")
+
+
+def clashing(rows: DataFrame, row_id: str, content: str) -> bool:
+    """Whether some id stands for different contents, told by a hash of 64 bits."""
+    digest = F.xxhash64(content)
+    return not rows.where(F.col(row_id).isNotNull() & F.col(content).isNotNull()).groupBy(row_id).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").isEmpty()
+
+
+def by_shared_ids(found: DataFrame) -> DataFrame:
+    """found (row, id, component of rows, linked boolean, ...) with component_id in place of component: the smallest id that is reached when
+    rows of one id count as linked. Rows that don't link, or have no id, keep their own id.
+    """
+    members = found.where("linked AND id IS NOT NULL").select("id", "component").distinct()
+    firsts = members.groupBy("id").agg(F.min("component").alias("first"))
+    joined = components(members.join(firsts, "id").select(F.col("component").alias("a"), F.col("first").alias("b")))
+    labels = members.join(joined.select(F.col("node").alias("component"), F.col("component").alias("label")), "component", "left").withColumn("label", F.coalesce("label", "component"))
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    of = settle(labels.join(least, "label").select("component", "least").distinct())
+    apart = ~F.col("linked") | F.col("id").isNull()
+    met = found.where(~apart).join(of, "component").withColumn("component_id", F.col("least")).drop("component", "least")
+    return met.unionByName(found.where(apart).withColumn("component_id", F.col("id")).drop("component"))

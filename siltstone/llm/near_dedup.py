@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Block, bucket_of, mixed, settle, small_batches, table, text_parts
-from siltstone.llm.components import components
+from siltstone.llm.components import by_shared_ids, clashing, components
 from siltstone.llm.window_dedup import word_hashes
 
 BANDS, ROWS = 40, 6
@@ -299,11 +299,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
 
     Returns (doc_id, n_shingles, component_id, kept): component_id is the smallest id that links reach, kept says that it is the
     document's own. Words are runs of other bytes than white space, A-Z in lower case; a text of fewer than `width` words has one
-    shingle. Null, empty and blank texts have none and link with nothing. Rows with one id count as one document if they have one
-    set; a null id links with nothing, keeps a null component_id and is kept. A link at the threshold is missed with a probability
+    shingle. Null, empty and blank texts have none and link with nothing. Rows that share an id are one node: links of any of their
+    texts reach it, and each row has the set size of its own text. A null id links with nothing, keeps a null component_id and is kept. A link at the threshold is missed with a probability
     of (1 - threshold^ROWS)^BANDS, 5e-6 at 0.8, plus `miss` for each batch of the comparison. Other columns aren't read.
     """
     rows = sketched(docs, width, id_col, text_col)
+    if clashing(rows, "doc_id", "set_id"):  # then rows are told apart first, and their ids join what their texts reach
+        keyed = settle(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
+        found = near_duplicates(keyed, width, threshold, miss, "row", "text").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+        whole = by_shared_ids(settle(found.join(keyed.select("row", "id"), "row").withColumn("linked", F.col("n_shingles") > 0)))
+        return whole.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     sets = settle(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")))
     reps = rows.join(sets.select(F.col("first").alias("doc_id"), F.col("set_id").alias("own")), "doc_id").where("set_id = own")
     members = settle(reps.select("doc_id", F.explode("bands").alias("key")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import settle, small_batches, table
-from siltstone.llm.components import components
+from siltstone.llm.components import by_shared_ids, clashing, components
 
 MISS = 1e-5
 SIGMAS = 6.0
@@ -286,7 +286,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, miss: float = MISS, si
     Returns (vec_id, n_links, component_id, kept): how many other vectors each links with directly, the smallest id that links
     reach, and whether that is its own. Vectors that are null, empty or zero, or have null or non-finite components, link with
     nothing, like rows with a null id, whose component_id is null and which are kept; only vectors of one length are compared. Rows
-    that share an id share the links of that id. A link at the threshold is missed with a probability of at most `miss`. Other
+    that share an id are one node of components, and each counts the links of its own vector. A link at the threshold is missed with a probability of at most `miss`. Other
     columns aren't read.
     """
     small_batches(rows.sparkSession)
@@ -308,6 +308,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, miss: float = MISS, si
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.float64())), pa.array(digests, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "unit", "same", "dim"])
 
     all_rows = settle(rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, unit array<double>, same binary, dim int"))
+    if clashing(all_rows, "vec_id", "same"):  # then rows are told apart first, and their ids join what their vectors reach
+        keyed = settle(all_rows.select(F.col("vec_id").alias("id"), "unit", F.monotonically_increasing_id().alias("row")))
+        found = near_vectors(keyed.where("id IS NOT NULL"), threshold, miss, sigmas, "row", "unit").select(F.col("vec_id").alias("row"), "n_links", F.col("component_id").alias("component"))
+        found = keyed.join(found, "row", "left").select("row", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "row").alias("component"), F.col("unit").isNotNull().alias("linked"))
+        return by_shared_ids(settle(found)).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     usable = F.col("same").isNotNull() & F.col("vec_id").isNotNull()
     sets = settle(all_rows.where(usable).groupBy("same").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     mine = all_rows.select(F.col("vec_id").alias("first"), "unit", "dim", F.col("same").alias("own"))

@@ -182,3 +182,21 @@ def test_registered_queries_equal_their_sql(spark):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, map(tuple, found.fetchall()))), name
+
+
+def test_one_id_with_different_contents(spark):
+    """Links of either content reach the id, also over two of its rows."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "xyz"}
+    near = {k: t.rsplit(" ", 1)[0] + " changed" for k, t in texts.items()}
+    rows = [(5, texts["x"]), (5, texts["y"]), (7, near["x"]), (8, near["y"]), (9, texts["z"]), (2, near["z"]), (8, near["z"]), (None, texts["x"]), (5, None), (11, ""), (11, "alone here now")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == sorted(
+        [(5, 56, 2, False), (5, 56, 2, False), (7, 56, 2, False), (8, 56, 2, False), (9, 56, 2, False), (2, 56, 2, True), (8, 56, 2, False), (0, 56, 0, True), (5, 0, 5, True), (11, 0, 11, True), (11, 1, 11, True)]
+    )
+    axes = np.eye(4)
+    vectors = [(5, axes[0]), (5, axes[1]), (7, axes[0] + 0.01), (8, axes[1] + 0.01), (3, axes[2]), (None, axes[0]), (5, axes[0] * 0), (4, axes[1] * 7)]
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors], "vec_id long, embedding array<double>")
+    got = vector_dedup.near_vectors(table).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == sorted(
+        [(5, 1, 4, False), (5, 2, 4, False), (7, 1, 4, False), (8, 2, 4, False), (3, 0, 3, True), (0, 0, 0, True), (5, 0, 5, True), (4, 2, 4, True)]
+    )
