@@ -136,5 +136,6 @@ def test_model_failures_are_rows(spark):
     rows = spark.createDataFrame([("1", "fine"), ("2", "bad")], "article_id string, body string")
     found = {r.article_id: r for r in models.extract(rows, model).collect()}
     assert found["2"].reason == "ValueError: no answer" and found["1"].event_type == "strike"
-    good = news.validated(models.extract(rows, model).where("reason is null").withColumn("country", F.lit("hu"))).first()
-    assert (good.country, good.confidence) == ("HU", 1.0)
+    for given, country in (("HU", "HU"), ("hu", None), ("other", "other")):  # countries are taken exactly
+        good = news.validated(models.extract(rows, model).where("reason is null").withColumn("country", F.lit(given))).first()
+        assert (good.country, good.confidence) == (country, 1.0)
