@@ -174,7 +174,7 @@ def test_registered_queries_equal_their_sql(spark):
     from siltstone.llm.catalog import ORACLES, QUERIES
 
     path, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         file = f"{path}/{name}.parquet"
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{file + '/*.parquet' if os.path.isdir(file) else file}')")
     for name in ORACLES:
