@@ -41,13 +41,14 @@ def accuracy(pairs: DataFrame) -> DataFrame:
 
 
 def kappa(pairs: DataFrame) -> DataFrame:
-    """Cohen's kappa from the confusion counts; 1 - p_e of 0 gives 0."""
+    """Cohen's kappa from the confusion counts; where chance alone would agree always (one label on both sides), 1 if all agree."""
     n = confusion(pairs)
     gold, pred = (n.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias(c)) for c in ("gold", "pred"))
     chance = gold.join(pred, "label").agg(F.coalesce(F.sum(F.col("gold").cast("double") * F.col("pred")), F.lit(0.0)).alias("c"))
     whole = n.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("same"))
     po, pe = F.col("same") / F.col("n"), F.col("c") / F.col("n") / F.col("n")
-    return whole.join(F.broadcast(chance)).select(ratio(po - pe, 1 - pe).alias("kappa"))
+    one_label = F.col("c") == F.col("n").cast("double") * F.col("n")
+    return whole.join(F.broadcast(chance)).select(F.when(one_label, (F.col("same") == F.col("n")).cast("double")).otherwise(ratio(po - pe, 1 - pe)).alias("kappa"))
 
 
 def bcubed(pairs: DataFrame) -> DataFrame:
@@ -94,15 +95,23 @@ def alignment(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("matched"), F.count_if(F.col("p").isNull()).alias("gold_only"), F.count_if(F.col("g").isNull()).alias("pred_only"))
 
 
-def poisson_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """A Poisson(1) number for each key and resample; it depends on key, resample and seed alone."""
+def row_key(row_id: Column) -> Column:
+    """A number of 60 bits for an id, by a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(row_id.cast("string")), 1, 15), 16, 10).cast("long")
+
+
+#: Poisson(1) numbers are told by where 53 random bits lie among these: the cumulated probabilities of 0 to 17.
+STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def poisson_weights(keys: np.ndarray, resamples: int, seed: int, first: int = 1) -> np.ndarray:
+    """A Poisson(1) number for each key and resample, the first one given; it depends on key, resample and seed alone."""
     with np.errstate(over="ignore"):
-        h = keys.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        h = keys.astype(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.arange(first, first + resamples, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-    return np.searchsorted(upto, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right")
+    return np.searchsorted(STEPS, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right")
 
 
 def bootstrap(scores: DataFrame, value: str, resamples: int = 2000, seed: int = 12345) -> DataFrame:
@@ -123,6 +132,6 @@ def bootstrap(scores: DataFrame, value: str, resamples: int = 2000, seed: int =
         if weight.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(weight), pa.array(total)], ["k", "w", "s"])
 
-    rows = scores.select(F.xxhash64("id").alias("key"), F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = scores.select(row_key(F.col("id")).alias("key"), F.col(value).cast("double").alias("v")).where("v is not null")
     means = rows.mapInArrow(run, "k int, w double, s double").groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import vocab
-from siltstone.operators import evaluation
+from siltstone.operators import resampling
 from siltstone.sources.sinks import write_manifest
+from siltstone.tables import forget, settle
 
 FIELDS = ["is_rail_related", "event_type", "sentiment", "country", "language"]
 
@@ -66,52 +67,115 @@ def article_scores(pairs: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return out.withColumn("overall_score", mean)
 
 
-def metrics(pairs: DataFrame) -> dict[str, tuple[float, int]]:
-    """(value, support) of each metric over aligned pairs; each comes from one aggregate."""
-    out: dict[str, tuple[float, int]] = {}
-    for f in FIELDS:
-        two = pairs.select(F.col(f"gold.{f}").cast("string").alias("gold"), F.col(f"pred.{f}").cast("string").alias("pred")).where("gold is not null")
-        n = two.count()
-        out[f"{f}_accuracy"] = (evaluation.accuracy(two).first()[0], n)
-        out[f"{f}_macro_f1"] = (evaluation.macro_f1(two.fillna("", ["pred"])).first()[0], n)
-        out[f"{f}_kappa"] = (evaluation.kappa(two.fillna("", ["pred"])).first()[0] if n else None, n)
+#: Metrics that are gated by default, with their least values (the largest one of an error).
+THRESHOLDS = {"is_rail_related_recall": 0.9, "event_superclass_macro_f1": 0.5, "country_macro_f1": 0.8, "sentiment_macro_f1_de": 0.6, "language_accuracy": 0.95, "dedup_geoyear_count_error": 0.1}
+#: Labels of macro F1 where only these count; others in the data are no labels.
+KNOWN = {"event_superclass": ["development", "disruption", "other", "policy"], "event_type": vocab.EVENT_TYPES, "country": ["AT", "HU", "other"], **{f"sentiment_{x}": ["negative", "neutral", "positive"] for x in ("de", "hu", "en")}}
+#: Families all of whose known labels need enough support for a gate.
+EACH_LABEL = ["event_superclass", "country"]
+#: What an absent prediction, or an empty label of gold, counts as.
+ABSENT = {"is_rail_related": "false", "event_type": "other", "country": "other", "sentiment": "neutral", "language": ""}
+LABEL_METRICS, SUM_METRICS = ["accuracy", "macro_f1", "kappa", "precision", "recall", "f1"], ["precision", "recall", "f1"]
+
+
+def families(pairs: DataFrame) -> DataFrame:
+    """Rows (family, id, gold, pred, a, b, c) of all metrics, from one pass over aligned pairs with `overall_score`.
+
+    gold rows without a label count in none of its metrics; counts by place and year need a column `published_year` and a country on both sides.
+    """
+    i, gold, pred = F.col("article_id"), (lambda f: F.col(f"gold.{f}").cast("string")), (lambda f: F.col(f"pred.{f}").cast("string"))
+    filled = lambda x, f: F.when(F.coalesce(x, F.lit("")) == "", F.lit(ABSENT[f])).otherwise(x)
+    g, p = ({f: filled(side(f), f) for f in FIELDS} for side in (gold, pred))
+    has = lambda f: gold(f).isNotNull()
+    rows = [(has(f), resampling.of_labels(f, i, g[f], p[f])) for f in FIELDS]
+    rows.append((has("event_type"), resampling.of_labels("event_superclass", i, superclass(g["event_type"]), superclass(p["event_type"]))))
+    rows += [(has("sentiment") & (F.lower(gold("language")) == x), resampling.of_labels(f"sentiment_{x}", i, g["sentiment"], p["sentiment"])) for x in ("de", "hu", "en")]
     for f in ("operators", "rail_lines"):
-        sets = pairs.select(_set(f"gold.{f}").alias("gold"), _set(f"pred.{f}").alias("pred"))
-        out[f"{f}_f1"] = (evaluation.set_prf(sets).first().f1, sets.where("size(gold) > 0").count())
-    money = pairs.select(F.col("gold.monetary_amount_eur").alias("gold"), F.col("pred.monetary_amount_eur").alias("pred"))
-    out["monetary_match_rate"] = (evaluation.money_match(money).first()[0], money.where("gold is not null").count())
-    groups = pairs.select(F.coalesce("gold.cross_lingual_dedup_id", "article_id").alias("gold"), F.coalesce("pred.cross_lingual_dedup_id", "article_id").alias("pred"))
-    out["dedup_bcubed_f1"] = (evaluation.bcubed(groups).first().f1, groups.count())
-    sure = pairs.select(F.col("pred.confidence").alias("confidence"), F.col("gold.event_type").eqNullSafe(F.col("pred.event_type")).alias("correct")).where("confidence is not null")
-    out["llm_confidence_ece"] = (evaluation.calibration_error(sure).first()[0], sure.count())
+        a, b = _set(f"gold.{f}"), _set(f"pred.{f}")
+        rows.append((F.lit(True), resampling.of_sums(f, i, F.size(F.array_intersect(a, b)), F.size(F.array_except(b, a)), F.size(F.array_except(a, b)))))
+    owed, said = F.col("gold.monetary_amount_eur"), F.col("pred.monetary_amount_eur")
+    rows.append((owed.isNotNull(), resampling.of_sums("monetary", i, F.coalesce(F.abs(owed - said) <= F.abs(owed) * 0.01, F.lit(False)).cast("double"))))
+    rows.append((F.lit(True), resampling.of_sums("overall", i, F.col("overall_score"))))
+    groups = [F.coalesce(side("cross_lingual_dedup_id"), i.cast("string")) for side in (gold, pred)]
+    rows.append((F.lit(True), resampling.of_labels("dedup", i, *groups)))
+    sure = F.col("pred.confidence")
+    rows.append((sure.between(0, 1), resampling.of_sums("confidence", i, sure, gold("event_type").eqNullSafe(pred("event_type")).cast("double"), gold=F.least(F.floor(sure * 10), F.lit(9)))))
+    if all("published_year" in pairs.schema[side].dataType.names for side in ("gold", "pred")):
+        keyed = [F.when(side("country").isNotNull() & side("published_year").isNotNull(), F.to_json(F.array(F.concat_ws("|", side("country"), side("published_year")), group))) for side, group in zip((gold, pred), groups, strict=True)]
+        rows.append((keyed[0].isNotNull(), resampling.of_labels("geoyear", i, *keyed)))
+    array = F.filter(F.array(*(F.when(cond, row) for cond, row in rows)), lambda r: r.isNotNull())
+    return pairs.select(F.explode(array).alias("row")).select("row.*")
+
+
+def metrics(pairs: DataFrame, resamples: int = 2000, seed: int = 12345, law: str = "index") -> dict[str, dict]:
+    """value, ci_lo, ci_hi and support of each metric over aligned pairs with `overall_score`; a metric without rows is absent.
+
+    All intervals come from one table of resampled cells. A few numbers for each metric reach the driver.
+    """
+    cells = settle(resampling.resampled(families(pairs), resamples, seed, law))
+    of = lambda *names: cells.where(F.col("family").isin(*names))
+    labels = [*FIELDS, *KNOWN]
+    scores = resampling.label_scores(of(*labels), KNOWN).union(resampling.sum_scores(of("operators", "rail_lines", "monetary", "overall")))
+    scores = scores.union(resampling.group_scores(of("dedup"))).union(resampling.calibration_scores(of("confidence"))).union(resampling.count_scores(of("geoyear")))
+    once = cells.where("k = 0")
+    support = {r.family: int(r.n) for r in once.groupBy("family").agg(F.sum("n").alias("n")).collect()}
+    each = {(r.family, r.gold): int(r.n) for r in once.where(F.col("family").isin(*EACH_LABEL, "is_rail_related") & (F.col("gold").isin(*sum((KNOWN[f] for f in EACH_LABEL), [])) | (F.col("gold") == "true"))).groupBy("family", "gold").agg(F.sum("n").alias("n")).collect()}
+    names = {("operators", "f1"): "operators_f1", ("rail_lines", "f1"): "rail_lines_f1", ("rail_lines", "recall"): "rail_lines_recall", ("monetary", "mean"): "monetary_match_rate", ("overall", "mean"): "overall_score"}
+    names |= {("dedup", m): f"dedup_bcubed_{m}" for m in SUM_METRICS} | {("confidence", "ece"): "llm_confidence_ece", ("geoyear", "count_error"): "dedup_geoyear_count_error"}
+    names |= {(f, m): f"{f}_{m}" for f in labels for m in LABEL_METRICS[:3]} | {("is_rail_related", m): f"is_rail_related_{m}" for m in SUM_METRICS}
+    names |= {(f"sentiment_{x}", "macro_f1"): f"sentiment_macro_f1_{x}" for x in ("de", "hu", "en")}
+    out = {}
+    for r in resampling.intervals(scores).collect():
+        name = names.get((r.family, r.metric))
+        if name is not None:
+            n = each.get((r.family, "true"), 0) if name == "is_rail_related_recall" else support[r.family]
+            thinnest = min(each.get((r.family, x), 0) for x in KNOWN[r.family]) if r.family in EACH_LABEL else n
+            out[name] = {"value": r.value, "ci_lo": r.ci_lo, "ci_hi": r.ci_hi, "support": n, "support_for_gate": min(n, thinnest) if name.endswith("macro_f1") else n}
+    forget(cells)
     return out
 
 
-def evaluate(gold: DataFrame, pred: DataFrame, order: str, folder: str, thresholds: dict[str, float], baseline: dict[str, dict] | None = None, partition: str = "TEST", least_support: int = 30) -> dict:
-    """Score predictions, write scores by article and a manifest, and return it.
+def worse_than(name: str, now: dict, before: dict) -> bool:
+    """Whether a metric's interval lies apart from the baseline's and its value on the wrong side; without an interval on both sides the values alone decide."""
+    ends = [x.get(c) for x in (now, before) for c in ("ci_lo", "ci_hi")]
+    if None not in ends and max(ends[0], ends[2]) <= min(ends[1], ends[3]):
+        return False
+    if now.get("value") is None or before.get("value") is None:
+        return False
+    return now["value"] > before["value"] if name.endswith(("ece", "error")) else now["value"] < before["value"]
+
 
-    A metric is gated if it has a threshold and enough support; it fails below its threshold (an error, `ece`, above it), or where its
-    interval lies beyond that of the baseline. Intervals are those of the mean score of the articles.
+def evaluate(
+    gold: DataFrame, pred: DataFrame, order: str, folder: str, thresholds: dict[str, float] | None = None, baseline: dict[str, dict] | None = None, partition: str = "TEST", least_support: int = 30,
+    resamples: int = 2000, seed: int = 12345, law: str = "index",
+) -> dict:
+    """Score predictions, write scores by article, a summary and a manifest, and return it.
+
+    A metric is gated if it has a threshold and enough support; it fails below its threshold (an error, above it), or where its value is
+    worse than the baseline's and their intervals don't meet. `baseline` is an earlier manifest or its metrics. Every metric has an interval.
     """
     began = time.time()
+    thresholds = THRESHOLDS if thresholds is None else thresholds
     pairs = aligned(gold, pred, order, partition).persist()
     scores = article_scores(pairs)
     scores.orderBy("article_id").write.mode("overwrite").option("header", True).csv(f"{folder}/per_article_scores")
-    interval = evaluation.bootstrap(scores.select(F.col("article_id").alias("id"), "overall_score"), "overall_score").first()
-    found, low, worse = {}, [], []
-    for name, (value, support) in {**metrics(pairs), "overall_score": (scores.agg(F.avg("overall_score")).first()[0], scores.count())}.items():
-        gated = name in thresholds and support >= least_support
-        error = name.endswith("ece")
-        passed = None if not gated else value is not None and (value <= thresholds[name] if error else value >= thresholds[name])
-        found[name] = {"value": value, "support": support, "gated": gated, "gate_threshold": thresholds.get(name), "absolute_pass": passed, "demotion_reason": None if gated else "support" if name in thresholds else "report_only"}
-        if name == "overall_score":
-            found[name] |= {"ci_lo": interval.ci_lo, "ci_hi": interval.ci_hi}
-        if gated and not passed:
-            low.append(name)
-        before = (baseline or {}).get(name, {})
-        if gated and before.get("ci_lo") is not None and found[name].get("ci_hi") is not None and found[name]["ci_hi"] < before["ci_lo"]:
-            worse.append(name)
-    out = {"status": "failed" if low or worse else "passed", "partition": partition, "min_support": least_support, "alignment": alignment_counts(gold, pred, partition).first().asDict(), "metrics": found, "threshold_violations": low, "regression_violations": worse, "duration_seconds": round(time.time() - began, 3)}
+    scored = pairs.join(scores.select("article_id", "overall_score"), "article_id")
+    found, low, worse, summary = {}, [], [], {}
+    earlier = (baseline or {}).get("metrics", baseline or {})
+    for name, m in sorted(metrics(scored, resamples, seed, law).items()):
+        enough = m.pop("support_for_gate") >= least_support
+        gated = name in thresholds and enough
+        passed = None if not gated else m["value"] is not None and (m["value"] <= thresholds[name] if name.endswith(("ece", "error")) else m["value"] >= thresholds[name])
+        regression = bool(gated and name in earlier and worse_than(name, m, earlier[name]))
+        found[name] = {**m, "gated": gated, "gate_threshold": thresholds.get(name), "absolute_pass": passed, "regression": regression, "demotion_reason": None if gated else "support" if name in thresholds else "report_only"}
+        low += [name] if gated and not passed else []
+        worse += [name] if regression else []
+        summary[name] = {**m, "threshold": thresholds.get(name), "gated": gated, "status": "report_only" if not gated else "pass" if passed and not regression else "fail"}
+    out = {
+        "status": "failed" if low or worse else "passed", "partition": partition, "min_support": least_support, "n_boot": resamples, "boot_seed": seed, "resampling": law, "alignment": alignment_counts(gold, pred, partition).first().asDict(), "metrics": found,
+        "threshold_violations": low, "regression_violations": worse, "regression_checked": baseline is not None, "duration_seconds": round(time.time() - began, 3),
+    }
     pairs.unpersist()
+    write_manifest(gold.sparkSession, summary, f"{folder}/metric_summary")
     write_manifest(gold.sparkSession, out, f"{folder}/manifest")
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from siltstone import vocab
 from siltstone.functions import columns as C
-from siltstone.operators import analysis, evaluation, gold, matching, news, runner
+from siltstone.operators import analysis, evaluation, gold, matching, news, resampling, runner
 from siltstone.plans.views import duck, view
 from siltstone.sources import rules
+from siltstone.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -450,9 +452,36 @@ def _(spark, sf):
     return evaluation.alignment(spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").where("lang <> 'de'"), "doc_id")
 
 
-@register("eval_bootstrap_ci")
+def weights_oracle(rows: str, columns: str, resamples: int = 2000, seed: int = 12345) -> str:
+    """CTEs up to w (k, columns, w): the hashed Poisson weight of each of rows (id, columns) in each resample, in integers of 128 bits modulo 2^64."""
+    times = lambda h, by: f"(({h}) * {by}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    mixed = lambda h, shift: f"xor({h}, {h} >> {shift})"
+    start = f"(key::UHUGEINT + {seed * 0x9E3779B97F4A7C15 % 2**64}::UHUGEINT + {times('k::UHUGEINT', 0xD1B54A32D192ED03)}) % 18446744073709551616::UHUGEINT"
+    weight = " + ".join(f"(u >= {math.ceil(step * 2**53)}::UHUGEINT)::INTEGER" for step in evaluation.STEPS)
+    return f"""SELECT * FROM (WITH r AS (SELECT ('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT AS key, {columns} FROM ({rows})),
+h0 AS (SELECT k, {columns}, {start} AS h FROM r, range(1, {resamples + 1}) t(k)), h1 AS (SELECT k, {columns}, {times(mixed("h", 30), 0xBF58476D1CE4E5B9)} AS h FROM h0), h2 AS (SELECT k, {columns}, {times(mixed("h", 27), 0x94D049BB133111EB)} AS h FROM h1),
+w AS (SELECT k, {columns}, {weight} AS w FROM (SELECT k, {columns}, {mixed("h", 31)} >> 11 AS u FROM h2))"""
+
+
+@register("eval_bootstrap_ci", weights_oracle("SELECT id, CASE WHEN gold = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM eval_pair WHERE gold = pred IS NOT NULL", "v")
+    + " SELECT round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM (SELECT sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY k))")
+def _(spark, sf):
+    return rounded(evaluation.bootstrap(view(spark, sf, "eval_pair").withColumn("v", (F.col("gold") == F.col("pred")).cast("double")), "v"))
+
+
+@register("eval_metric_intervals", weights_oracle("SELECT id, gold, pred FROM eval_multi", "gold, pred") + """, every AS (SELECT * FROM w UNION ALL SELECT 0, gold, pred, 1 FROM eval_multi),
+c AS (SELECT k, gold, pred, sum(w)::DOUBLE AS n FROM every GROUP BY ALL HAVING sum(w) > 0), l AS (SELECT k, gold AS label, n AS g, 0 AS p, CASE WHEN gold = pred THEN n ELSE 0 END AS tp FROM c UNION ALL SELECT k, pred, 0, n, 0 FROM c),
+p AS (SELECT k, sum(g) AS g, sum(p) AS p, sum(tp) AS tp FROM l GROUP BY k, label), s AS (SELECT k, avg(2 * tp / (g + p)) AS macro_f1, sum(tp) / sum(g) AS accuracy, (sum(tp) / sum(g) - sum(g * p) / sum(g) / sum(g)) / (1 - sum(g * p) / sum(g) / sum(g)) AS kappa FROM p GROUP BY k),
+b AS (SELECT k, sum(n * n / np) / sum(n) AS bp, sum(n * n / ng) / sum(n) AS br FROM (SELECT k, n, sum(n) OVER (PARTITION BY k, gold) AS ng, sum(n) OVER (PARTITION BY k, pred) AS np FROM c) GROUP BY k),
+v AS (SELECT k, unnest(['label_accuracy', 'label_macro_f1', 'label_kappa', 'group_f1']) AS metric, unnest([accuracy, macro_f1, kappa, 2 * bp * br / (bp + br)]) AS value FROM s JOIN b USING (k))
+SELECT metric, round(max(value) FILTER (k = 0), 6) AS value, round(quantile_cont(value, 0.025) FILTER (k > 0), 6) AS ci_lo, round(quantile_cont(value, 0.975) FILTER (k > 0), 6) AS ci_hi FROM v GROUP BY metric)""")
 def _(spark, sf):
-    return evaluation.bootstrap(view(spark, sf, "eval_pair").withColumn("v", (F.col("gold") == F.col("pred")).cast("double")), "v")
+    pairs = view(spark, sf, "eval_multi")
+    rows = pairs.select(F.explode(F.array(*(resampling.of_labels(f, F.col("id"), F.col("gold"), F.col("pred")) for f in ("label", "group")))).alias("row")).select("row.*")
+    cells = settle(resampling.resampled(rows))
+    scores = resampling.label_scores(cells.where("family = 'label'"), {}).union(resampling.group_scores(cells.where("family = 'group'")))
+    found = resampling.intervals(scores).select(F.concat_ws("_", "family", "metric").alias("metric"), "value", "ci_lo", "ci_hi")
+    return rounded(found.where("metric IN ('label_accuracy', 'label_macro_f1', 'label_kappa', 'group_f1')"))
 
 
 @register("volume_rollup", "SELECT coalesce(source, 'TOTAL') AS source, count(*) AS artifacts, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)")

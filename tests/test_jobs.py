@@ -135,7 +135,7 @@ def test_bootstrap(spark):
     rng = np.random.RandomState(2)
     values = rng.random_sample(900)
     df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)] + [(5000, None)], "id long, v double")
-    keys = np.array([r.k for r in df.where("v is not null").orderBy("id").select(F.xxhash64("id").alias("k")).collect()])
+    keys = np.array([r.k for r in df.where("v is not null").orderBy("id").select(evaluation.row_key(F.col("id")).alias("k")).collect()])
     w = evaluation.poisson_weights(keys, 2000, 12345)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     means = values @ w / w.sum(axis=0)
