@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import url_key
-from siltstone.tables import pack, settle, small_batches, unpack
+from siltstone.operators.graph import component_labels
+from siltstone.tables import fresh, pack, settle, small_batches, unpack
 
 #: Rows of a block of vectors, and of the strip of it that is compared at a time.
 BLOCK_ROWS, STRIP_ROWS = 2048, 256
@@ -141,3 +142,30 @@ def group_ids(members: DataFrame) -> DataFrame:
     named = members.select("component", F.col("node").cast("string").alias("name")).repartition("component").sortWithinPartitions("component", "name")
     ids = named.mapInArrow(run, f"component {members.schema['component'].dataType.simpleString()}, group_id string")
     return members.join(ids, "component").withColumn("is_duplicate", F.col("node") != F.col("component"))
+
+
+def marked(rows: DataFrame, row_id: str, vector: str, threshold: float = 0.95) -> DataFrame:
+    """rows with cross_lingual_dedup_id and is_duplicate: groups of rows that links of at least this cosine join, the smallest id canonical.
+
+    A row in no group has no group id and is no duplicate. A vector that is null or empty, holds a null or has no length gives two nulls. Where
+    vectors differ in length, or fewer than two can be used, nothing is grouped: all rows get two nulls in the first case, usable rows
+    (null, false) in the second. Rows that share an id form a group, and its digest takes the id once for each of them; a null id is ''.
+    """
+    key, ok = fresh("mark_id", rows.columns), fresh("usable", rows.columns)
+    v = F.col(vector).cast("array<double>")
+    usable = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: F.abs(x) > 0), F.lit(False))
+    held = settle(rows.withColumns({key: F.coalesce(F.col(row_id).cast("string"), F.lit("")), ok: usable}))
+    n = held.where(ok).agg(F.count("*").alias("n"), F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")).first()
+    none = {"cross_lingual_dedup_id": F.lit(None).cast("string"), "is_duplicate": F.when(F.col(ok), F.lit(False)) if n.n < 2 else F.lit(None).cast("boolean")}
+    if n.n < 2 or n.lo != n.hi:
+        return held.withColumns(none).select(*rows.columns, *none)
+    few = held.where(ok).select(F.col(key).alias("node"), F.col(vector).alias("v"))
+    links = similar_pairs(few, "node", "v", threshold).select("a", "b").distinct()
+    shared = few.groupBy("node").count().where("count > 1").select("node")
+    labels = component_labels(links)
+    alone = shared.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    groups = settle(labels.unionByName(alone))
+    named = group_ids(few.select("node").join(groups, "node")).select("node", "group_id", "is_duplicate").distinct()
+    out = held.join(named.withColumnsRenamed({"node": key, "is_duplicate": "_dup", "group_id": "_group"}), key, "left")
+    marks = {"cross_lingual_dedup_id": F.when(F.col(ok), F.col("_group")), "is_duplicate": F.when(F.col(ok), F.coalesce("_dup", F.lit(False)))}
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(x.alias(c) for c, x in marks.items()))

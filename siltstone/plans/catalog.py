@@ -12,7 +12,7 @@ from siltstone import vocab
 from siltstone.functions import columns as C
 from siltstone.operators import analysis, evaluation, gold, matching, news, resampling, runner
 from siltstone.plans.views import duck, view
-from siltstone.sources import rules
+from siltstone.sources import discovery, rules
 from siltstone.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,6 +394,34 @@ def _(spark, sf):
     return matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3).select("a", "b")
 
 
+@register("dedup_marks", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES.replace("0.3", "0.95")}), l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
+m AS (SELECT a AS node, min(CAST(c AS VARCHAR)) AS component FROM r GROUP BY a),
+g AS (SELECT component, 'dedup_' || substr(sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY CAST(node AS VARCHAR))), 1, 16) AS group_id FROM m GROUP BY component)
+SELECT vec_id, group_id AS cross_lingual_dedup_id, coalesce(CAST(vec_id AS VARCHAR) <> m.component, false) AS is_duplicate FROM embeddings LEFT JOIN m ON vec_id = node LEFT JOIN g ON m.component = g.component""")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return matching.marked(rows, "vec_id", "embedding").drop("embedding")
+
+
+@register("paging_plan", """SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS page, greatest(m, lo)::DATE AS first, least(m + INTERVAL 1 MONTH, hi)::DATE AS last, (SELECT count(*) FROM orders WHERE o_orderdate::DATE >= greatest(m, lo) AND o_orderdate::DATE < least(m + INTERVAL 1 MONTH, hi)) AS orders
+FROM (SELECT lo, hi, unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi - INTERVAL 1 DAY), INTERVAL 1 MONTH)) AS m FROM (SELECT min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders))""")
+def _(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day"))
+    pages = discovery.month_pages(orders.agg(F.min("day").alias("lo"), F.max("day").alias("hi")), "lo", "hi")
+    by_month = orders.groupBy(F.trunc("day", "month").alias("month"), "day").agg(F.count("*").alias("n"))
+    # a page lies in one month, so days meet pages by an equi-join
+    met = pages.withColumn("month", F.trunc("first", "month")).join(by_month, "month", "left").groupBy("page", "first", "last")
+    return met.agg(F.coalesce(F.sum(F.when((F.col("day") >= F.col("first")) & (F.col("day") < F.col("last")), F.col("n"))), F.lit(0)).alias("orders"))
+
+
+@register("union_first", """SELECT key, source, a, b FROM (SELECT l_partkey AS key, 0 AS source, l_orderkey AS a, CAST(l_linenumber AS BIGINT) AS b FROM lineitem UNION ALL SELECT p_partkey, 1, p_partkey, 0 FROM part)
+WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY source, a, b) = 1""")
+def _(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("long").alias("b"))
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("a"), F.lit(0).cast("long").alias("b"))
+    return discovery.first_of_each([lines, parts], "key", ["a", "b"])
+
+
 @register("eval_prf", "SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold <> 1 AND pred = 1) AS fp, count(*) FILTER (gold = 1 AND pred <> 1) AS fn FROM eval_pair)")
 def _(spark, sf):
     return evaluation.binary(view(spark, sf, "eval_pair")).withColumn("f1", F.round("f1", 6))

@@ -33,10 +33,14 @@ def with_retries(get: Callable[[], object], tries: int = 4, first_wait: float =
 
 
 def is_error_payload(payload: object) -> bool:
-    """Whether a [meta, records] document is an error envelope: a message, or no list of two."""
-    return not isinstance(payload, list) or not payload or (isinstance(payload[0], dict) and "message" in payload[0])
+    """Whether a [meta, records] document is an error envelope, one that begins with a message."""
+    return isinstance(payload, list) and len(payload) > 0 and isinstance(payload[0], dict) and "message" in payload[0]
 
 
 def has_observations(payload: object) -> bool:
-    """Whether some record of a [meta, records] document has a value."""
-    return not is_error_payload(payload) and len(payload) > 1 and isinstance(payload[1], list) and any(isinstance(r, dict) and r.get("value") is not None for r in payload[1])
+    """Whether a [meta, records] document has records with a date, be their values null; a total of 0 says that it has none."""
+    if is_error_payload(payload) or not isinstance(payload, list) or len(payload) < 2:
+        return False
+    meta, records = payload[0], payload[1]
+    empty = isinstance(meta, dict) and isinstance(meta.get("total"), int) and meta["total"] <= 0
+    return not empty and isinstance(records, list) and len(records) > 0 and isinstance(records[0], dict) and "date" in records[0]

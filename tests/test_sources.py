@@ -120,7 +120,7 @@ def test_retries():
 
     answers, waits = iter([Answer(429, {"Retry-After": "7"}), Answer(503), Answer(200)]), []
     assert retry.with_retries(lambda: next(answers), sleep=waits.append).status_code == 200 and waits == [7.0, 10.0]
-    assert retry.is_error_payload([{"message": 1}]) and not retry.has_observations([{}, [{"value": None}]]) and retry.has_observations([{}, [{"value": 1}]])
+    assert retry.is_error_payload([{"message": 1}]) and not retry.has_observations([{}, [{"value": 1}]]) and retry.has_observations([{}, [{"date": "2020", "value": None}]]) and not retry.has_observations([{"total": 0}, [{"date": "2020"}]]) and not retry.has_observations({})
 
 
 def test_uic(spark):
