@@ -86,10 +86,19 @@ def close_cells(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     return r[sure], c[sure], found[sure]
 
 
-def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -> DataFrame:
+def joining(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of links (row, column), those that suffice to join what all of them join: each column's first row, and one link for each other row that shares such a column."""
+    first = np.full(c.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, c, r)
+    told = np.unique(np.stack([first[c], r]), axis=1, return_index=True)[1]
+    return np.union1d(told, np.flatnonzero(first[c] == r))
+
+
+def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, forest: bool = False) -> DataFrame:
     """Pairs a < b of rows whose cosine reaches the threshold, all rows against all rows: each pair of blocks is one product of matrices.
 
-    A vector without length, or of another length than its partner's, has no cosine. Only pairs that reach the threshold become rows.
+    A vector without length, or of another length than its partner's, has no cosine. Only pairs that reach the threshold become rows. With
+    `forest` these are only as many as join the same rows: no more for a group than a few for each member and strip, whatever the group's size.
     """
     blocks, n = vector_blocks(rows, row_id, vector)
     number = lambda first, last: F.explode(F.sequence(first, last))
@@ -108,7 +117,8 @@ def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float) -
                     for first in range(0, len(x), STRIP_ROWS):
                         start = first if i == j else 0
                         r, c, cos = close_cells(x[first : first + STRIP_ROWS], y[start:], threshold)
-                        keep = c > r if i == j else slice(None)
+                        keep = np.flatnonzero(c > r) if i == j else np.arange(len(r))
+                        keep = keep[joining(r[keep], c[keep])] if forest else keep
                         p, q = at_x[r[keep] + first], at_y[c[keep] + start]
                         yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(p)), ids[1].take(pa.array(q)), pa.array(cos[keep])], ["p", "q", "cos"])
 
@@ -160,7 +170,7 @@ def marked(rows: DataFrame, row_id: str, vector: str, threshold: float = 0.95) -
     if n.n < 2 or n.lo != n.hi:
         return held.withColumns(none).select(*rows.columns, *none)
     few = held.where(ok).select(F.col(key).alias("node"), F.col(vector).alias("v"))
-    links = similar_pairs(few, "node", "v", threshold).select("a", "b").distinct()
+    links = similar_pairs(few, "node", "v", threshold, forest=True).select("a", "b").distinct()
     shared = few.groupBy("node").count().where("count > 1").select("node")
     labels = component_labels(links)
     alone = shared.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -525,7 +525,7 @@ SELECT node, m.component, group_id, node <> m.component AS is_duplicate FROM m J
 def _(spark, sf):
     from siltstone.operators.graph import component_labels
 
-    edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
+    edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3, forest=True)
     return matching.group_ids(component_labels(edges.select("a", "b")))
 
 

@@ -4,11 +4,13 @@ import datetime
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import loose_json as L
 from siltstone.operators import matching
+from siltstone.operators.graph import component_labels
 from siltstone.sources import discovery
 from siltstone.streaming import articles
 
@@ -125,3 +127,18 @@ def test_marks(spark):
     assert marks(rows) == sorted(expected, key=repr)
     assert marks([*rows, ("x", [1.0], 1)]) == sorted([(r[0], None, None) for r in rows] + [("x", None, None)], key=repr)  # lengths differ
     assert marks([("a", [1.0], 1), ("n", None, 1)]) == [("a", None, False), ("n", None, None)] and marks([]) == []
+
+
+def test_joining_links_join_all(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(matching, "STRIP_ROWS", 4)
+    rng = np.random.RandomState(3)
+    near = [(f"k{k:03}", (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(np.concatenate([rng.normal([1, 0, 0], 0.05, (40, 3)), rng.normal([0, 1, 0], 0.3, (40, 3)), rng.normal(size=(40, 3))]))]
+    df = spark.createDataFrame(near, "id string, v array<double>")
+    every, few = (matching.similar_pairs(df, "id", "v", 0.97, forest=f).select("a", "b") for f in (False, True))
+    links, kept = ({tuple(r) for r in x.collect()} for x in (every, few))
+    assert kept < links
+    whole = np.nonzero(np.ones((50, 300)))
+    assert len(matching.joining(*whole)) == 50 + 300 - 1 and len(matching.joining(np.array([], int), np.array([], int))) == 0
+    joined = lambda x: sorted(map(tuple, component_labels(x).collect()))
+    assert joined(every) == joined(few)
