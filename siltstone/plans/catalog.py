@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone import vocab
 from siltstone.functions import columns as C
-from siltstone.operators import analysis, evaluation, gold, matching, news, resampling, runner
+from siltstone.operators import analysis, evaluation, gold, matching, news, resampling, runner, vector_join
 from siltstone.plans.views import duck, view
 from siltstone.sources import discovery, rules
 from siltstone.tables import settle
@@ -389,9 +389,19 @@ def _(spark, sf):
 EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"
 
 
-@register("dedup_similarity_edges", EDGES)
+#: One row for each vector: its links and the smallest id that links reach.
+CLASSES = f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) d ON vec_id = d.a LEFT JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON vec_id = m.a"""
+
+
+@register("dedup_similarity_edges", CLASSES)
+def _(spark, sf):
+    return vector_join.linked(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
+
+
+@register("dedup_similarity_links", CLASSES.replace("0.3", "0.95"))
 def _(spark, sf):
-    return matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3).select("a", "b")
+    return vector_join.linked(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.95)
 
 
 @register("dedup_marks", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES.replace("0.3", "0.95")}), l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
@@ -400,7 +410,7 @@ g AS (SELECT component, 'dedup_' || substr(sha256(string_agg(CAST(node AS VARCHA
 SELECT vec_id, group_id AS cross_lingual_dedup_id, coalesce(CAST(vec_id AS VARCHAR) <> m.component, false) AS is_duplicate FROM embeddings LEFT JOIN m ON vec_id = node LEFT JOIN g ON m.component = g.component""")
 def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    return matching.marked(rows, "vec_id", "embedding").drop("embedding")
+    return vector_join.marked(rows, "vec_id", "embedding").drop("embedding")
 
 
 @register("paging_plan", """SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS page, greatest(m, lo)::DATE AS first, least(m + INTERVAL 1 MONTH, hi)::DATE AS last, (SELECT count(*) FROM orders WHERE o_orderdate::DATE >= greatest(m, lo) AND o_orderdate::DATE < least(m + INTERVAL 1 MONTH, hi)) AS orders
@@ -525,8 +535,8 @@ SELECT node, m.component, group_id, node <> m.component AS is_duplicate FROM m J
 def _(spark, sf):
     from siltstone.operators.graph import component_labels
 
-    edges = matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3, forest=True)
-    return matching.group_ids(component_labels(edges.select("a", "b")))
+    edges = vector_join.joining_links(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
+    return matching.group_ids(component_labels(edges))
 
 
 def wide_news(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import loose_json as L
-from siltstone.operators import matching
+from siltstone.operators import matching, vector_join
 from siltstone.operators.graph import component_labels
 from siltstone.sources import discovery
 from siltstone.streaming import articles
@@ -121,7 +121,7 @@ def test_marks(spark):
     group = lambda *ids: "dedup_" + hashlib.sha256("|".join(ids).encode()).hexdigest()[:16]
     schema = "id string, v array<double>, usable int"
     rows = [("b", [1.0, 0.0], 1), ("a", [1.0, 0.01], 1), ("c", [1.0, 0.02], 1), ("z", [0.0, 1.0], 1), ("n", None, 1), ("e", [], 1), ("o", [0.0, 0.0], 1), ("h", [1.0, None], 1), ("t", [-1.0, 0.0], 1), ("t", [0.0, -1.0], 1)]
-    marks = lambda rows: sorted(((r.id, r.cross_lingual_dedup_id, r.is_duplicate) for r in matching.marked(spark.createDataFrame(rows, schema), "id", "v").collect()), key=repr)
+    marks = lambda rows: sorted(((r.id, r.cross_lingual_dedup_id, r.is_duplicate) for r in vector_join.marked(spark.createDataFrame(rows, schema), "id", "v").collect()), key=repr)
     g, t = group("a", "b", "c"), group("t", "t")
     expected = [("a", g, False), ("b", g, True), ("c", g, True), ("z", None, False), ("t", t, False), ("t", t, False), *((x, None, None) for x in "neoh")]
     assert marks(rows) == sorted(expected, key=repr)

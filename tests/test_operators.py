@@ -1,6 +1,7 @@
 """Corner cases of the relational operators."""
 
 import hashlib
+from collections import Counter
 import math
 
 import numpy as np
@@ -57,8 +58,12 @@ def brute_links(path, threshold):
 
 
 def test_links_cross_labels(spark, sf_dir):
-    found = [tuple(r) for r in catalog.QUERIES["dedup_similarity_edges"](spark, sf_dir).collect()]
-    assert len(found) == len(set(found)) and set(found) == brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
+    links = brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
+    found = [tuple(r) for r in matching.similar_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.3).select("a", "b").collect()]
+    assert len(found) == len(set(found)) and set(found) == links
+    degrees = Counter(x for link in links for x in link)
+    rows = catalog.QUERIES["dedup_similarity_edges"](spark, sf_dir).collect()
+    assert len({r.vec_id for r in rows}) == len(rows) and {r.vec_id: r.n_links for r in rows if r.n_links} == degrees
 
 
 def test_groups_cross_labels(spark, sf_dir):
