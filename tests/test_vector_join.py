@@ -33,6 +33,7 @@ def brute(rows, threshold):
 @pytest.mark.parametrize("threshold, move_cost", [(0.95, 1), (0.95, 10**9), (0.3, 1)])
 def test_classes_and_counts(spark, monkeypatch, threshold, move_cost):
     monkeypatch.setattr(vector_join, "MOVE_COST", move_cost)
+    monkeypatch.setattr(vector_join, "GROUP_COST", 1)
     monkeypatch.setattr(vector_join, "BLOCK_ROWS", 16)
     monkeypatch.setattr(vector_join, "STRIP_ROWS", 5)
     rng = np.random.default_rng(4)
