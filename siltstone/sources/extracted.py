@@ -55,6 +55,8 @@ def company_year(cell: Column) -> Column:
 
 
 def looked_up(values: dict[str, str], key: Column) -> Column:
+    if not values:
+        return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)).cast("map<string,string>"), key)
 
 

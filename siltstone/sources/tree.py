@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone import schemas
+from siltstone import schemas, vocab
 from siltstone.functions.columns import url_key
 from siltstone.operators.matching import identifiers
-from siltstone.sources import readers, sheets
+from siltstone.sources import extracted, readers, sheets
 
 LONG = "geo string, year long, value double, unit string, source_dataset string, source_column string, source_system string"
 #: Suffixes of a source's files.
-STATS = {"eurostat": (".tsv", ".tsv.gz"), "worldbank": (".json",), "ksh": (".xlsx",), "statistik_austria": (".ods",)}
+STATS = {"eurostat": (".tsv", ".tsv.gz"), "worldbank": (".json",), "ksh": (".xlsx",), "statistik_austria": (".ods",), "uic": (".json",)}
 
 
 def latest_folders(spark: SparkSession, root: str, domain: str) -> list[tuple[str, str, str]]:
@@ -52,9 +52,10 @@ def folder_of(level: int) -> Column:
     return F.element_at(F.split(F.substring_index("file", "/ingest_date=", 1), "/"), -1 - level)
 
 
-def stats_from_tree(spark: SparkSession, root: str) -> DataFrame:
+def stats_from_tree(spark: SparkSession, root: str, codes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Long facts of all statistics under root, of the last date of each dataset; unknown sources and files that can't be read give nothing.
 
+    Reports are read from landed extracts, where `codes` and `names` tell countries (by default the codes of `vocab.HOME_COUNTRIES`).
     Files of one layout are one read, however many there are; only coded tables, whose headers are their own, are read one by one.
     """
     out, by_source = [spark.createDataFrame([], LONG)], {}
@@ -67,6 +68,10 @@ def stats_from_tree(spark: SparkSession, root: str) -> DataFrame:
     for source, paths in by_source.items():
         if source == "worldbank":
             out.append(readers.read_worldbank(spark, paths, folder_of(0)))
+        elif source == "uic":
+            files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
+            tables, _ = extracted.landed_reports(files.select(folder_of(0).alias("dataset"), "content"))
+            out.append(extracted.report_facts(tables, codes or {c: c for c in vocab.HOME_COUNTRIES}, names or {}))
         else:
             out.append(sheets.sheet_facts(readers.read_grid(spark, paths), folder_of(0), source))
     return reduce(lambda a, b: a.unionByName(b), (df.select(*out[0].columns) for df in out))

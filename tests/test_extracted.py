@@ -6,6 +6,7 @@ import pytest
 
 from siltstone.sources import extracted as X
 from siltstone.sources.readers import bronze
+from siltstone.sources.tree import stats_from_tree
 
 CODES, NAMES = {"AT": "AT", "HU": "HU", "CZE": "CZ", "SK": "SK", "IT": "IT"}, {"austria": "AT"}
 HEAD = ["Country Code", "Railway company", "Length of lines\nworked at end of year Total", "Passenger.kilometres", "Tonne.kilometres"]
@@ -57,10 +58,11 @@ def test_numbers(spark, cell, value):
 
 
 def test_landed(spark, tmp_path):
-    for name, content in [("a", json.dumps({"text": "x\ny", "tables": [[HEAD, ["HU", "MAV (2024)", "6 876"]]]})), ("b", "%PDF-"), ("c", json.dumps({"text": "only"}))]:
+    for name, content in [("a", json.dumps({"text": "x\ny", "tables": [[HEAD, ["HU", "MAV (2024)", "6 876"], ["??", "X (2024)", "1"]]]})), ("b", "%PDF-"), ("c", json.dumps({"text": "only"}))]:
         folder = tmp_path / "stats" / "uic" / name / "ingest_date=2024-01-01"
         folder.mkdir(parents=True)
         (folder / "r.json").write_text(content)
     tables, texts = X.landed_reports(bronze(spark, str(tmp_path), "stats", ".json"))
     assert [(r.geo, r.value, r.source_dataset) for r in X.report_facts(tables, CODES, NAMES).collect()] == [("HU", 6876.0, "a")]
     assert sorted((r.dataset_id, r.text_chunk) for r in X.staged_texts(texts).collect()) == [("a", "x"), ("a", "y"), ("c", "only")]
+    assert [tuple(r) for r in stats_from_tree(spark, str(tmp_path)).collect()] == [("HU", 2024, 6876.0, "kilometres", "a", "Length of lines worked at end of year - Total", "uic")]
