@@ -8,17 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import component_labels
 from siltstone.operators.matching import BLOCK_ROWS, STRIP_ROWS, close_cells, group_ids, joining
-from siltstone.tables import fresh, settle, small_batches
+from siltstone.tables import fresh, pack, settle, small_batches, unpack
 
 #: What moving a row into one more table and starting a group cost, in comparisons of a row with another (about 4 ns, as measured).
 MOVE_COST, GROUP_COST = 1024, 1 << 17
 #: Most signs of a code.
 MOST_SIGNS = 40
+#: Where all vectors meet all: most rows of a block, its bytes, and the rows and columns of a product of matrices.
+CELL_ROWS, CELL_BYTES, TILE = 1 << 14, 1 << 23, (256, 2048)
+#: Vectors, and their bytes, that all others are compared with before blocks meet.
+SEEDS, SEED_BYTES = 2048, 1 << 22
 
 
 def plan(n: int, threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -57,16 +62,171 @@ def has_cosine(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def met_links(vectors: DataFrame, threshold: float, miss: float = 1e-6) -> DataFrame:
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1 in single precision; a length beyond doubles gives zeros."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return np.nan_to_num(x / np.sqrt((x * x).sum(1))[:, None], nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32)
+
+
+def tiles(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, columns, 1 where they are linked, else 0) of all rows of x and y; with `same`, a row isn't linked with itself.
+
+    Products in single precision decide but where their rounding could; there sums run in order of the components, in doubles.
+    """
+    ux, uy, slack = units(x), units(y).T.copy(), (x.shape[1] + 8) * 2.0**-23
+    for r in range(0, len(x), TILE[0]):
+        for c in range(0, len(y), TILE[1]):
+            rows, columns = slice(r, min(r + TILE[0], len(x))), slice(c, min(c + TILE[1], len(y)))
+            cos = ux[rows] @ uy[:, columns]
+            if same:
+                diagonal = np.arange(max(r, c), min(rows.stop, columns.stop))
+                cos[diagonal - r, diagonal - c] = -2
+            near = np.abs(cos - np.float32(threshold)) < slack
+            some = np.flatnonzero(near.any(axis=1))
+            at_row, at_column = np.nonzero(near[some])
+            open_at = some[at_row] * near.shape[1] + at_column
+            linked = (cos >= threshold).astype(np.float32)
+            for at in (open_at[k : k + 65536] for k in range(0, len(open_at), 65536)):
+                p, q = x[r + at // linked.shape[1]], y[c + at % linked.shape[1]]
+                in_order = lambda a, b: (a * b).cumsum(1)[:, -1]
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    linked.ravel()[at] = in_order(p, q) / (np.sqrt(in_order(p, p)) * np.sqrt(in_order(q, q))) >= threshold
+            yield rows, columns, linked
+
+
+def seed_links(seeds: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """Of each table of seeds, the first seed that links among the seeds reach from each."""
+    out = []
+    for x in seeds:
+        near = np.zeros((len(x), len(x)), bool)
+        for rows, columns, linked in tiles(x, x, threshold, True):
+            near[rows, columns] = linked > 0
+        first = np.full(len(x), -1)
+        for k in range(len(x)):
+            todo = np.array([k] if first[k] < 0 else [], int)
+            while len(todo):
+                first[todo] = k
+                todo = np.flatnonzero(near[todo].any(axis=0) & (first < 0))
+        out.append(first)
+    return out
+
+
+def seeded(vectors: DataFrame, n: int, longest: int, threshold: float) -> DataFrame:
+    """Settled (k, weight, v, label): rows with one label are joined by links. A bounded number of seeds is compared with all rows; what links with
+    none of them keeps k as its label, which says nothing about its other links.
+    """
+    spark = vectors.sparkSession
+    few = vectors.select("k", "v").orderBy(F.xxhash64("k")).limit(max(1, min(SEEDS, SEED_BYTES // (8 * max(longest, 1))))).collect()
+    lengths = sorted({len(r.v) for r in few})
+    seeds = [np.array([r.v for r in few if len(r.v) == d], float) for d in lengths]
+    names = [np.array([r.k for r in few if len(r.v) == d], np.int64) for d in lengths]
+    firsts = seed_links(seeds, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            flat, long = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+            met: list[np.ndarray] = [np.zeros(0, np.int64)] * len(long)
+            for d, y, name, first in zip(lengths, seeds, names, firsts, strict=True):
+                at = np.flatnonzero(long == d)
+                x = flat[np.repeat(long == d, long)].reshape(-1, d)
+                own = np.arange(len(name))
+                for rows, columns, linked in tiles(x, y, threshold, False):
+                    r, c = np.nonzero(linked)
+                    pairs = np.unique((r + rows.start) * len(own) + first[c + columns.start])
+                    for row, found in zip(*np.divmod(pairs, len(own)), strict=True):
+                        met[at[row]] = np.append(met[at[row]], name[found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "weight", "v")), pa.array(met, pa.list_(pa.int64()))], ["k", "weight", "v", "met"])
+
+    rows = settle(vectors.select("k", "weight", "v").mapInArrow(run, "k long, weight long, v array<double>, met array<long>"))
+    both = rows.where("size(met) > 1").select(F.get("met", F.lit(0)).alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
+    roots = component_labels(both) if few else spark.createDataFrame([], "node long, component long")
+    named = rows.withColumn("node", F.get("met", F.lit(0))).join(F.broadcast(roots), "node", "left")  # at most one row for each seed
+    return settle(named.select("k", "weight", "v", F.coalesce("component", "node", "k").alias("label")))
+
+
+def all_links(vectors: DataFrame, n: int, threshold: float, counts: bool) -> DataFrame:
+    """What met_links gives, of all vectors against all, in blocks: each pair of blocks is a task's products of matrices.
+
+    Rows that seeds have joined are linked with their label and links between them are counted only; without `counts`, blocks in which all
+    rows have the largest label don't meet, so that work goes with the rows outside it.
+    """
+    longest = vectors.agg(F.max(F.size("v")).alias("d")).first().d or 1
+    labelled = seeded(vectors, n, longest, threshold)
+    largest = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    inside = F.col("label") == (largest.label if largest else None)
+    most = max(1, min(CELL_ROWS, CELL_BYTES // (8 * longest), max(BLOCK_ROWS // 2, n // 16)))
+
+    def blocked(rows: DataFrame, first: int, whole: bool) -> tuple[DataFrame, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                held = pa.Table.from_batches(held).combine_chunks()
+                v = held.column("v").combine_chunks()
+                flat, lengths = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+                flat = flat.astype(np.float32) if (np.abs(flat) < 1e38).all() and (flat.astype(np.float32) == flat).all() else flat
+                blob = pack((flat, lengths, *(held.column(c).to_numpy() for c in ("k", "weight", "label"))), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([first + TaskContext.get().partitionId()], pa.int32()), pa.array([whole]), pa.array([blob])], ["block", "whole", "blob"])
+
+        parts = math.ceil(rows.count() / most) or 1
+        return settle(rows.repartition(parts).mapInArrow(run, "block int, whole boolean, blob binary")), first + parts
+
+    one, after = blocked(labelled.where(inside), 0, True)
+    other, total = blocked(labelled.where(~inside), after, False)
+    blocks = one.union(other)
+    meets = F.sequence(F.lit(0), F.lit(total - 1)) if counts else F.when(F.col("whole"), F.sequence(F.lit(after), F.lit(total - 1))).otherwise(F.sequence(F.lit(0), F.lit(total - 1)))
+    cells = blocks.withColumn("other", F.explode(meets)).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blob")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key)
+        held = dict(zip(group.column("block").to_pylist(), group.column("blob").to_pylist(), strict=True))
+        found, links = [], [np.zeros((2, 0), np.int64)]
+        if i in held and j in held:  # a number without rows has no block
+            sides = [unpack(held[x], True) for x in (i, j)]
+            totals = [np.zeros(len(s[2]), np.int64) for s in sides]
+            for length in np.intersect1d(sides[0][1], sides[1][1]):
+                ats = [np.flatnonzero(s[1] == length) for s in sides]
+                x, y = (s[0][np.repeat(s[1] == length, s[1])].reshape(-1, length).astype(float) for s in sides)
+                weights, labels = ([s[c][at] for s, at in zip(sides, ats, strict=True)] for c in (3, 4))
+                for rows, columns, linked in tiles(x, y, threshold, i == j):
+                    if counts:
+                        for side, mine, others, table in ((0, rows, columns, linked), (1, columns, rows, linked.T))[: 1 if i == j else 2]:
+                            w = weights[1 - side][others]
+                            heavy = np.flatnonzero(w > 1)
+                            here = (table @ np.ones(len(w), np.float32)).astype(np.int64)
+                            if len(heavy):
+                                here += np.rint(table[:, heavy].astype(float) @ (w[heavy] - 1)).astype(np.int64)
+                            totals[side][ats[side][mine]] += here
+                    a, b = labels[0][rows], labels[1][columns]
+                    if a[0] != b[0] or (a != a[0]).any() or (b != b[0]).any():
+                        r, c = np.nonzero((linked > 0) & (a[:, None] != b))
+                        told = joining(r, c)
+                        links.append(np.unique(np.stack([a[r[told]], b[c[told]]]), axis=1))
+            found = [(s[2][t > 0], t[t > 0]) for s, t in zip(sides, totals, strict=True)]
+        a, b = np.unique(np.concatenate(links, axis=1), axis=1)
+        k, n = (np.concatenate([f[c] for f in found] + [a[:0]]) for c in (0, 1))
+        one = pa.table({"a": pa.array(k, pa.int64()), "b": pa.nulls(len(k), pa.int64()), "n": pa.array(n, pa.int64())})
+        return pa.concat_tables([one, pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.nulls(len(a), pa.int64())})])
+
+    pairs = max(1, min(total * (total + 1) // 2, 1 << 12))
+    met = cells.repartition(pairs, "i", "j").groupBy("i", "j").applyInArrow(run, "a long, b long, n long")
+    told = labelled.where("k <> label").select(F.col("label").alias("a"), F.col("k").alias("b"), F.lit(None).cast("long").alias("n"))
+    return settle(met.union(told))
+
+
+def met_links(vectors: DataFrame, threshold: float, miss: float = 1e-6, counts: bool = True) -> DataFrame:
     """Settled (a, b, n) of different vectors (k long, weight long, v array<double>) by cosine: b null, n the weight that one group found linked with
-    a; or b, a link. Links are only as many as join what all of them join.
+    a (without `counts` there may be none of these); or b, two that links join. Of the latter there are only as many as join what all links join.
 
     Each pair is told in the first table in which its codes meet. A table's bucket beyond BLOCK_ROWS is cut into parts by a hash of k and each
-    pair of parts is a group of its own, so no task takes a whole bucket.
+    pair of parts is a group of its own, so no task takes a whole bucket. Without signs all vectors meet all, by `all_links`.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    signs, tables = plan(vectors.count(), threshold, miss)
+    n = vectors.count()
+    signs, tables = plan(n, threshold, miss)
+    if not signs:
+        return all_links(vectors, n, threshold, counts)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

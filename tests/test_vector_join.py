@@ -66,3 +66,35 @@ def test_plan_keeps_its_bound_and_grows_slowly():
         work[n] = tables * n / 2**signs
     assert work[10**8] < 3 * work[10**6]
     assert vector_join.plan(10**5, 0.3) == (0, 1) and vector_join.plan(0, 0.95) == (0, 1) and vector_join.plan(10**7, 1.0)[1] == 1
+
+
+@pytest.mark.parametrize("seeds, threshold", [(1, 0.5), (40, 0.5), (40, 0.9)])
+def test_all_with_all_in_small_blocks(spark, monkeypatch, seeds, threshold):
+    for name, value in {"CELL_ROWS": 60, "TILE": (7, 11), "SEEDS": seeds, "MOVE_COST": 10**9}.items():
+        monkeypatch.setattr(vector_join, name, value)
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(120, 8)), np.repeat(rng.normal(size=(5, 8)), 12, axis=0) * 3.0])
+    rows = [(k, x.tolist()) for k, x in enumerate(v[rng.permutation(len(v))])] + [(500 + k, x.tolist()) for k, x in enumerate(rng.normal(size=(40, 3)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert sorted(tuple(r) for r in vector_join.linked(df, "id", "v", threshold).collect()) == brute(rows, threshold)
+
+
+def test_links_that_join_are_fewer_than_vectors_of_one_class(spark):
+    v = np.random.default_rng(5).normal(size=(600, 6))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    links = vector_join.met_links(vector_join.different(df, "id", "v"), 0.3).where("b is not null")
+    assert links.count() < len(v)  # 89,000 pairs are linked
+
+
+def test_products_in_single_precision_decide_as_sums_in_order():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 64))
+    y = np.concatenate([x * 3.0, x + rng.normal(size=x.shape) * 1e-9, rng.normal(size=(40, 64))])
+    for threshold in (1.0, 1 - 1e-9, 0.1):
+        want = np.zeros((40, 120), bool)
+        r, c, _ = vector_join.close_cells(x, y, threshold)
+        want[r, c] = True
+        got = np.zeros(want.shape, bool)
+        for rows, columns, linked in vector_join.tiles(x, y, threshold, False):
+            got[rows, columns] = linked > 0
+        assert (got == want).all()
