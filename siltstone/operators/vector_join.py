@@ -286,7 +286,7 @@ def different(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
 def joining_links(rows: DataFrame, row_id: str, vector: str, threshold: float, miss: float = 1e-6) -> DataFrame:
     """(a, b), ids with a < b, that join the rows which links of at least this cosine join. Equal vectors are linked; rows without an id or a direction with nothing."""
     vectors = different(rows, row_id, vector)
-    found = met_links(vectors, threshold, miss).where("b is not null").select("a", "b")
+    found = met_links(vectors, threshold, miss, counts=False).where("b is not null").select("a", "b")
     ends = vectors.select("k", "first_id")
     named = found.join(ends.select(F.col("k").alias("a"), F.col("first_id").alias("p")), "a").join(ends.select(F.col("k").alias("b"), F.col("first_id").alias("q")), "b")
     copies = rows.select(F.col(row_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null").join(vectors.where("weight > 1").select("v", F.col("first_id").alias("p")), "v")

@@ -98,3 +98,14 @@ def test_products_in_single_precision_decide_as_sums_in_order():
         for rows, columns, linked in vector_join.tiles(x, y, threshold, False):
             got[rows, columns] = linked > 0
         assert (got == want).all()
+
+
+def test_classes_without_counts_leave_out_blocks_of_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "CELL_ROWS", 100)
+    v = np.concatenate([np.abs(np.random.default_rng(7).normal(size=(500, 6))), -np.eye(6)])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    vectors = vector_join.different(df, "id", "v")
+    assert vector_join.met_links(vectors, 0.3, counts=False).where("b is null").isEmpty()
+    labels = vector_join.component_labels(vector_join.joining_links(df, "id", "v", 0.3))
+    want = {(k, c) for k, n, c in brute(list(enumerate(v.tolist())), 0.3) if n}
+    assert {tuple(r) for r in labels.collect()} == want
