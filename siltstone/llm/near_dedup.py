@@ -2,7 +2,8 @@
 
 Copies with one shingle set are merged first. Each different set gives ROWS * BANDS minima; sets that agree in all rows of a band
 meet. Within a band's bucket members are first compared with the bucket's least member; the links that this finds are turned into
-components. Members of one bucket that still lie apart are compared and confirmed in place: first each one's likeliest partners, then,
+components. Buckets with one least member are one from then on, so a large group of near copies isn't dealt out once for each band.
+Members of one bucket that still lie apart are compared and confirmed in place: first each one's likeliest partners, then,
 with the components that this has joined, all that still lie apart; only links that join parts become rows. A candidate pair's signatures are compared batch by batch, and it is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls below MISS; survivors are compared on their full sets.
 """
@@ -16,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Block, bucket_of, mixed, settle, small_batches, table, text_parts
+from siltstone.llm.common import Block, bucket_of, forget, mixed, settle, small_batches, table, text_parts
 from siltstone.llm.components import by_shared_ids, clashing, components
 from siltstone.llm.window_dedup import word_hashes
 
@@ -168,11 +169,19 @@ def likely_rows(group: pa.Table, steps: list[tuple[int, int]], best: int | None)
     return p, q, equal
 
 
-def dealt_members(members: DataFrame, blocks: DataFrame, slots: int) -> DataFrame:
-    """members with the group (slot, x, y) in which they meet; keys of `blocks` (key, blocks) are split into blocks that meet pair by pair."""
-    rows = members.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def with_columns(members: DataFrame, columns: DataFrame) -> DataFrame:
+    """members (doc_id, ...) with further columns by doc_id; each document meets them once, whatever the number of its buckets."""
+    mine = members.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in members.columns if c != "doc_id"))).alias("at"))
+    met = mine.join(columns, "doc_id").withColumn("at", F.explode("at"))
+    return met.select("at.*", *columns.columns)
+
+
+def dealt_members(members: DataFrame, columns: DataFrame, blocks: DataFrame, slots: int) -> DataFrame:
+    """members with their columns and the group (slot, x, y) in which they meet; keys of `blocks` (key, blocks) are split into blocks that meet pair by pair."""
+    placed = members.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = with_columns(placed, columns)
     rows = rows.withColumns({"mine": F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    return rows.select(*members.columns, "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
+    return rows.select("key", "part", *columns.columns, "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.pmod("key", F.lit(slots)).alias("slot"))
 
 
 def likely_members(members: DataFrame, sigs: DataFrame, threshold: float, miss: float, best: int | None) -> DataFrame:
@@ -187,7 +196,7 @@ def likely_members(members: DataFrame, sigs: DataFrame, threshold: float, miss:
         p, q, _ = likely_rows(group, steps, best)
         return group.select(["key", "doc_id", "part"]).take(pa.array(np.unique(np.concatenate([p, q]))))
 
-    rows = dealt_members(members.join(sigs, "doc_id"), blocks, slots)
+    rows = dealt_members(members, sigs, blocks, slots)
     return settle(rows.groupBy("slot", "x", "y").applyInArrow(meet, "key long, doc_id long, part long").distinct())
 
 
@@ -200,12 +209,12 @@ def links_within(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: i
     members or CROWD_BYTES of text is split into blocks that meet pair by pair.
     """
     steps, per_cent = least_matches(threshold, miss), round(threshold * 100)
-    sizes = settle(members.join(texts.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    sizes = settle(with_columns(members, texts.select("doc_id", F.octet_length("text").cast("long").alias("size"))).groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     total = sizes.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
     slots = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total.n or 0) // CROWD, (total.size or 0) // CROWD_BYTES)
     crowded = sizes.where((F.col("n") > CROWD) | (F.col("size") > CROWD_BYTES))
     crowded = settle(crowded.select("key", F.greatest(F.ceil(2 * F.col("n") / CROWD), F.ceil(2 * F.col("size") / CROWD_BYTES)).cast("int").alias("blocks")))
-    rows = dealt_members(members.join(sigs, "doc_id").join(texts, "doc_id"), crowded, slots)
+    rows = dealt_members(members, sigs.join(texts, "doc_id"), crowded, slots)
 
     def meet(group: pa.Table) -> pa.Table:
         return joining(group, *likely_rows(group, steps, best), *(group.column(c).to_numpy() for c in ("doc_id", "part")))
@@ -262,8 +271,8 @@ def id_filter(ids: DataFrame) -> bytes:
     return seen.tobytes()
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Settled (doc_id, text) of the documents with these ids."""
+def one_of_each(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Settled rows (doc_id long, ...) with these ids, one for each id; most others don't leave the scan."""
     bits = id_filter(ids)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +281,12 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
             batch = batch.filter(batch.column(0).is_valid())
             yield batch.filter(pa.array(seen[bucket_of(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS)]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(kept, "doc_id long, text string")
-    return settle(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return settle(rows.mapInArrow(kept, rows.schema).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Settled (doc_id, text) of the documents with these ids."""
+    return one_of_each(ids, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -291,7 +304,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, i
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    return settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    out = settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    forget(texts)
+    return out
+
+
+def met_pairs(members: DataFrame) -> DataFrame:
+    """Settled distinct (least, doc_id) of members (key, doc_id): each bucket's least member with each other one. Rows are dealt by key once."""
+    bucket = Window.partitionBy("key")
+    return settle(members.withColumn("least", F.min("doc_id").over(bucket)).where("least < doc_id").select("least", "doc_id").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,22 +331,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
         whole = by_shared_ids(settle(found.join(keyed.select("row", "id"), "row").withColumn("linked", F.col("n_shingles") > 0)))
         return whole.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     sets = settle(rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first")))
+    # a set's copies have its signature, so all but the sets' first rows are left out
     reps = rows.join(sets.select(F.col("first").alias("doc_id"), F.col("set_id").alias("own")), "doc_id").where("set_id = own")
-    members = settle(reps.select("doc_id", F.explode("bands").alias("key")))
-    sigs = settle(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]))
-    shared = settle(members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
-
-    def links(candidates: DataFrame) -> DataFrame:
-        return confirmed(settle(candidates), docs, width, threshold, id_col, text_col)
-
-    def star(pairs: DataFrame) -> DataFrame:
-        return links(likely(pairs.where("a < b").distinct(), sigs, threshold, miss))
-
-    met = settle(members.join(shared, "key").select("key", "doc_id", "least"))
-    found = star(met.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    met = met_pairs(reps.select("doc_id", F.explode("bands").alias("key")))
+    sigs = one_of_each(met.select(F.explode(F.array("least", "doc_id")).alias("doc_id")).distinct(), rows.where("set_id is not null").select("doc_id", "sig"))
+    candidates = settle(likely(met.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), sigs, threshold, miss))
+    found = confirmed(candidates, docs, width, threshold, id_col, text_col)
     parts = settle(components(found))
-    # members of one bucket that still lie apart; pairs with the least member have been compared
-    others = met.where("doc_id <> least").select("key", "doc_id")
+    # buckets with one least member are one; pairs with the least member have been compared
+    others = met.select(F.col("least").alias("key"), "doc_id")
 
     def apart(parts: DataFrame) -> DataFrame:
         labelled = others.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
@@ -339,7 +353,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
             texts = texts_of(near.select("doc_id").distinct(), docs, id_col, text_col)
             found = found.union(links_within(near, sigs, texts, width, threshold, miss, best))
             parts = settle(components(found))
+            for done in (near, texts, rest):
+                forget(done)
             rest = apart(parts) if best else rest
+    for done in (met, sigs, candidates):
+        forget(done)
     # rows without a set or an id link with nothing and take no part in the join, so they don't pile up in one task
     linked = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     groups = sets.join(parts.withColumnRenamed("node", "first"), "first", "left").select("set_id", F.coalesce("component", "first").alias("component_id"))

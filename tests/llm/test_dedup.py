@@ -75,6 +75,26 @@ def test_near_dedup(spark, texts, width):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
 
 
+def test_near_copies_meet_once_for_each_least_member(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = []
+    for d in range(200):
+        words = [f"w{k}" for k in range(60)]
+        for at in rng.choice(60, 2 if d % 4 else 4, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    dealt, deal = [], near_dedup.likely_members
+    monkeypatch.setattr(near_dedup, "likely_members", lambda members, *rest: dealt.append(members.count()) or deal(members, *rest))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=2).collect()}
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    linked = np.array([[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets])
+    root = np.arange(len(sets))
+    for _ in range(20):
+        root = np.array([root[np.flatnonzero(row)].min() for row in linked])
+    assert [got[k] for k in range(len(sets))] == root.tolist() and len(set(root.tolist())) > 20
+    assert 0 < max(dealt) < 12 * len(sets)  # a row for each band would be about 20 times as many
+
+
 def test_posterior_bound():
     steps = near_dedup.least_matches(0.8, 1e-6)
     assert steps[-1][0] == near_dedup.BANDS * near_dedup.ROWS and all(m < 0.8 * n for n, m in steps) and steps[-1][1] > 0.6 * steps[-1][0]
