@@ -349,11 +349,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, mis
     rest = apart(parts)
     for best in (BEST, None):  # first what most likely joins components, which leaves few apart; then all that is left
         if not rest.isEmpty():
-            near = likely_members(rest, sigs, threshold, miss, best)
+            few = one_of_each(rest.select("doc_id").distinct(), sigs)
+            near = likely_members(rest, few, threshold, miss, best)
             texts = texts_of(near.select("doc_id").distinct(), docs, id_col, text_col)
-            found = found.union(links_within(near, sigs, texts, width, threshold, miss, best))
+            found = found.union(links_within(near, few, texts, width, threshold, miss, best))
             parts = settle(components(found))
-            for done in (near, texts, rest):
+            for done in (few, near, texts, rest):
                 forget(done)
             rest = apart(parts) if best else rest
     for done in (met, sigs, candidates):
