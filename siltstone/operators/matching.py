@@ -18,6 +18,8 @@ from siltstone.tables import pack, settle, small_batches, unpack
 
 #: Rows of a block of vectors, and of the strip of it that is compared at a time.
 BLOCK_ROWS, STRIP_ROWS = 2048, 256
+#: Where all vectors meet all: most rows of a block, and its bytes.
+CELL_ROWS, CELL_BYTES = 1 << 14, 1 << 23
 
 
 def identifiers(text: Column) -> Column:
@@ -52,10 +54,15 @@ def exact_groups(rows: DataFrame, text: str, row_id: str) -> DataFrame:
 
 
 def vector_blocks(rows: DataFrame, row_id: str, vector: str) -> tuple[DataFrame, int]:
-    """Settled (block int, ids array, blob binary), about BLOCK_ROWS rows each, and the number of blocks; rows without id or vector are left out."""
+    """Settled (block int, ids array, blob binary) and the number of blocks; rows without id or vector are left out.
+
+    A block has at most CELL_ROWS rows and about CELL_BYTES, as each is sent once for each other one; few rows make smaller ones, so that all cores have some.
+    """
     small_batches(rows.sparkSession)
     kept = rows.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    n = max(1, math.ceil(kept.count() / BLOCK_ROWS))
+    found = kept.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("longest")).first()
+    most = max(1, min(CELL_ROWS, CELL_BYTES // (8 * (found.longest or 1)), max(BLOCK_ROWS // 2, found.n // 16)))
+    n = max(1, math.ceil(found.n / most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -63,6 +70,7 @@ def vector_blocks(rows: DataFrame, row_id: str, vector: str) -> tuple[DataFrame,
             held = pa.Table.from_batches(held)
             ids, v = held.column("id").combine_chunks(), held.column("v").combine_chunks()
             flat = v.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            flat = flat.astype(np.float32) if (np.abs(flat) < 1e38).all() and (flat.astype(np.float32) == flat).all() else flat
             lengths = np.asarray(pc.list_value_length(v), np.int64)
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), listed, pa.array([pack((flat, lengths), 1)])], ["block", "ids", "blob"])
@@ -71,6 +79,17 @@ def vector_blocks(rows: DataFrame, row_id: str, vector: str) -> tuple[DataFrame,
     return settle(kept.repartition(n).mapInArrow(run, f"block int, ids array<{kind}>, blob binary")), n
 
 
+def cosines(p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each row of p with the same row of q; so near to the threshold that rounding matters, sums run in order of the components."""
+    in_order = lambda a, b: (a * b).cumsum(1)[:, -1]
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        cos = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p)) / np.sqrt(np.einsum("ij,ij->i", q, q))
+        near = np.flatnonzero(np.abs(cos - threshold) < 1e-9)
+        p, q = p[near], q[near]
+        cos[near] = in_order(p, q) / (np.sqrt(in_order(p, p)) * np.sqrt(in_order(q, q)))
+    return cos
+
+
 def close_cells(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, cosine) where rows of x and y reach the threshold; so near to it that rounding matters, sums run in order of the components."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -85,6 +104,34 @@ def close_cells(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     return r[sure], c[sure], found[sure]
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1 in single precision; a length beyond doubles gives zeros."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return np.nan_to_num(x / np.sqrt((x * x).sum(1))[:, None], nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32)
+
+
+def close_rows(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, cosine: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, cosine) of all rows of x and y that reach the threshold, a strip and BLOCK_ROWS columns at a time; with `same`, columns after the row only.
+
+    Products in single precision tell what reaches it; where their rounding could decide, doubles do. Without `cosine`, other cosines stay in single precision.
+    """
+    ux, uy, slack = units(x), units(y), (x.shape[1] + 9) * 2.0**-23
+    for u in (ux, uy):
+        u[~u.any(axis=1)] = np.nan  # no cosine, so no threshold is reached
+    uy = uy.T.copy()
+    for first in range(0, len(x), STRIP_ROWS):
+        for start in range(first if same else 0, len(y), BLOCK_ROWS):
+            cells = ux[first : first + STRIP_ROWS] @ uy[:, start : start + BLOCK_ROWS]
+            at = np.flatnonzero(cells.ravel() >= np.float32(threshold - slack))
+            r, c, cos = at // cells.shape[1] + first, at % cells.shape[1] + start, cells.ravel()[at].astype(float)
+            r, c, cos = (z[c > r] for z in (r, c, cos)) if same else (r, c, cos)
+            unsure = np.arange(len(r)) if cosine else np.flatnonzero(cos < threshold + slack)
+            for some in (unsure[k : k + 65536] for k in range(0, len(unsure), 65536)):
+                cos[some] = cosines(x[r[some]], y[c[some]], threshold)
+            sure = cos >= threshold
+            yield r[sure], c[sure], cos[sure]
+
+
 def joining(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Of links (row, column), those that suffice to join what all of them join: each column's first row, and one link for each other row that shares such a column."""
     first = np.full(c.max(initial=-1) + 1, np.iinfo(np.int64).max)
@@ -93,37 +140,44 @@ def joining(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.union1d(told, np.flatnonzero(first[c] == r))
 
 
-def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, forest: bool = False) -> DataFrame:
-    """Pairs a < b of rows whose cosine reaches the threshold, all rows against all rows: each pair of blocks is one product of matrices.
+def similar_pairs(rows: DataFrame, row_id: str, vector: str, threshold: float, forest: bool = False, cosine: bool = True) -> DataFrame:
+    """Pairs a < b of rows whose cosine reaches the threshold, all rows against all rows, and with `cosine` the cosine.
 
+    Each pair of blocks is a task's products of matrices, and its pairs leave the task as they are found, so memory is bound by two blocks.
     A vector without length, or of another length than its partner's, has no cosine. Only pairs that reach the threshold become rows. With
     `forest` these are only as many as join the same rows: no more for a group than a few for each member and strip, whatever the group's size.
     """
     blocks, n = vector_blocks(rows, row_id, vector)
-    number = lambda first, last: F.explode(F.sequence(first, last))
-    left = blocks.select(F.col("block").alias("i"), number(F.col("block"), F.lit(n - 1)).alias("j"), F.col("ids").alias("ids_i"), F.col("blob").alias("blob_i"))
-    right = blocks.select(number(F.lit(0), F.col("block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("ids_j"), F.col("blob").alias("blob_j"))
-    met = left.join(right, ["i", "j"]).select("i", "j", "ids_i", "ids_j", "blob_i", "blob_j")
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ids", "blob")
+    met = cells.repartition(max(1, min(n * (n + 1) // 2, 1 << 12)), "i", "j").sortWithinPartitions("i", "j", "block")
+
+    names = ["p", "q", "cos"] if cosine else ["p", "q"]
+
+    def pairs(left: pa.RecordBatch, right: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
+        ids = [side.column("ids")[0].values for side in (left, right)]
+        (flat_x, long_x), (flat_y, long_y) = (unpack(side.column("blob")[0].as_py(), True) for side in (left, right))
+        for length in np.intersect1d(long_x, long_y):
+            (at_x, x), (at_y, y) = ((np.flatnonzero(lo == length), f[np.repeat(lo == length, lo)].reshape(-1, length).astype(float)) for f, lo in ((flat_x, long_x), (flat_y, long_y)))
+            for r, c, cos in close_rows(x, y, threshold, same, cosine):
+                keep = joining(r, c) if forest else slice(None)
+                p, q = at_x[r[keep]], at_y[c[keep]]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(p)), ids[1].take(pa.array(q)), pa.array(cos[keep])][: len(names)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
-                ids = [batch.column(c)[k].values for c in ("ids_i", "ids_j")]
-                (flat_x, long_x), (flat_y, long_y) = (unpack(batch.column(c)[k].as_py(), True) for c in ("blob_i", "blob_j"))
-                for length in np.intersect1d(long_x, long_y):
-                    (at_x, x), (at_y, y) = ((np.flatnonzero(lo == length), f[np.repeat(lo == length, lo)].reshape(-1, length)) for f, lo in ((flat_x, long_x), (flat_y, long_y)))
-                    for first in range(0, len(x), STRIP_ROWS):
-                        start = first if i == j else 0
-                        r, c, cos = close_cells(x[first : first + STRIP_ROWS], y[start:], threshold)
-                        keep = np.flatnonzero(c > r) if i == j else np.arange(len(r))
-                        keep = keep[joining(r[keep], c[keep])] if forest else keep
-                        p, q = at_x[r[keep] + first], at_y[c[keep] + start]
-                        yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(p)), ids[1].take(pa.array(q)), pa.array(cos[keep])], ["p", "q", "cos"])
+        before = None  # the first block of a pair; a block without rows leaves its partner alone
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            i, j, block = (row.column(c)[0].as_py() for c in ("i", "j", "block"))
+            if i == j:
+                yield from pairs(row, row, True)
+            elif block == i:
+                before = row
+            elif before is not None and before.column("i")[0].as_py() == i and before.column("j")[0].as_py() == j:
+                yield from pairs(before, row, False)
 
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    found = met.mapInArrow(run, f"p {kind}, q {kind}, cos double").where("p <> q")
-    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cos")
+    found = met.mapInArrow(run, f"p {kind}, q {kind}" + ", cos double" * cosine).where("p <> q")
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *names[2:])
 
 
 def group_ids(members: DataFrame) -> DataFrame:

@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import component_labels
-from siltstone.operators.matching import BLOCK_ROWS, STRIP_ROWS, close_cells, group_ids, joining
+from siltstone.operators.matching import BLOCK_ROWS, CELL_BYTES, CELL_ROWS, STRIP_ROWS, close_cells, group_ids, joining, units
 from siltstone.tables import fresh, pack, settle, small_batches, unpack
 
 #: What moving a row into one more table and starting a group cost, in comparisons of a row with another (about 4 ns, as measured).
 MOVE_COST, GROUP_COST = 1024, 1 << 17
 #: Most signs of a code.
 MOST_SIGNS = 40
-#: Where all vectors meet all: most rows of a block, its bytes, and the rows and columns of a product of matrices.
-CELL_ROWS, CELL_BYTES, TILE = 1 << 14, 1 << 23, (256, 2048)
+#: Rows and columns of a product of matrices, where all vectors meet all.
+TILE = (256, 2048)
 #: Vectors, and their bytes, that all others are compared with before blocks meet.
 SEEDS, SEED_BYTES = 2048, 1 << 22
 
@@ -62,12 +62,6 @@ def has_cosine(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def units(x: np.ndarray) -> np.ndarray:
-    """Rows at length 1 in single precision; a length beyond doubles gives zeros."""
-    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        return np.nan_to_num(x / np.sqrt((x * x).sum(1))[:, None], nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32)
-
-
 def tiles(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
     """(rows, columns, 1 where they are linked, else 0) of all rows of x and y; with `same`, a row isn't linked with itself.
 

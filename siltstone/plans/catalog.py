@@ -389,16 +389,16 @@ def _(spark, sf):
 EDGES = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"
 
 
+@register("dedup_similarity_edges", EDGES)
+def _(spark, sf):
+    return matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3, cosine=False)
+
+
 #: One row for each vector: its links and the smallest id that links reach.
 CLASSES = f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) d ON vec_id = d.a LEFT JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON vec_id = m.a"""
 
 
-@register("dedup_similarity_edges", CLASSES)
-def _(spark, sf):
-    return vector_join.linked(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.3)
-
-
 @register("dedup_similarity_links", CLASSES.replace("0.3", "0.95"))
 def _(spark, sf):
     return vector_join.linked(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 0.95)

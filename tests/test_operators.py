@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
-from siltstone.operators import analysis, evaluation, gold, matching, models, news
+from siltstone.operators import analysis, evaluation, gold, matching, models, news, vector_join
 from siltstone.operators.graph import component_labels
 from siltstone.plans import catalog
 from siltstone.plans.views import view
@@ -59,13 +59,39 @@ def brute_links(path, threshold):
 
 def test_links_cross_labels(spark, sf_dir):
     links = brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
-    found = [tuple(r) for r in matching.similar_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.3).select("a", "b").collect()]
+    found = [tuple(r) for r in catalog.QUERIES["dedup_similarity_edges"](spark, sf_dir).collect()]
     assert len(found) == len(set(found)) and set(found) == links
     degrees = Counter(x for link in links for x in link)
-    rows = catalog.QUERIES["dedup_similarity_edges"](spark, sf_dir).collect()
+    rows = vector_join.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.3).collect()
     assert len({r.vec_id for r in rows}) == len(rows) and {r.vec_id: r.n_links for r in rows if r.n_links} == degrees
 
 
+def test_registered_edges_tell_both_ends_of_each_link(spark, tmp_path):
+    v = [[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [1.0, 1.0], [-1.0, 0.0], [1.0, 0.0]]
+    spark.createDataFrame([(10 * k, x, k % 2) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.QUERIES["dedup_similarity_edges"](spark, str(tmp_path))
+    assert found.columns == ["a", "b"]
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 10), (0, 30), (0, 50), (10, 30), (10, 50), (20, 30), (30, 50)]
+
+
+def test_blocks_of_few_and_of_unlike_vectors(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 64, "STRIP_ROWS": 10, "CELL_ROWS": 40}.items():
+        monkeypatch.setattr(matching, name, value)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(3, 8)), 30, axis=0) * 3.0, rng.normal(size=(40, 3)) @ np.eye(3, 8)])
+    rows = [(k, x.tolist() if k < 240 else x[:3].tolist()) for k, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (900, [0.0] * 8), (901, [float("inf")] + [1.0] * 7), (902, [float("nan")] * 8)], "id long, v array<double>")
+    for threshold in (0.3, 1.0, -0.5):
+        found = [(r.a, r.b, r.cos) for r in matching.similar_pairs(df, "id", "v", threshold).collect()]
+        want = []
+        for part in (range(240), range(240, len(v))):
+            for x in part:
+                r, _, cos = matching.close_cells(v[x + 1 : part.stop, : len(rows[x][1])], v[x : x + 1, : len(rows[x][1])], threshold)
+                want += [(x, x + 1 + k, c) for k, c in zip(r.tolist(), cos.tolist(), strict=True)]
+        assert sorted(f[:2] for f in found) == sorted(w[:2] for w in want) == sorted(tuple(r) for r in matching.similar_pairs(df, "id", "v", threshold, cosine=False).collect())
+        assert np.allclose([f[2] for f in sorted(found)], [w[2] for w in sorted(want)], rtol=0, atol=1e-12)
+
+
 def test_groups_cross_labels(spark, sf_dir):
     links = brute_links(f"{sf_dir}/embeddings.parquet", 0.3)
     parent = {x: x for link in links for x in link}
